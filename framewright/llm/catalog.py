@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import linededup, mixing
+from framewright.llm import licenses, linededup, media, mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +16,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(_documents(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir)).drop("spans")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     return linededup.drop_boilerplate(docs, F.col("source"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op6_license_scan, op9_line_dedup)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """

@@ -1,0 +1,6 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def docs_schema():
+    return "doc_id long, text string, lang string, source string, n_chars long"
