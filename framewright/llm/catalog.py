@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, linededup, media, mixing
+from framewright.llm import licenses, linededup, media, mixing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(_documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir)).drop("spans")
 
@@ -29,7 +35,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(docs, F.col("source"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op6_license_scan, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op5_quality, op6_license_scan, op9_line_dedup)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """
