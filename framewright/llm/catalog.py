@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, linededup, media, mixing, quality
+from framewright.llm import bytebpe, licenses, linededup, media, mixing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(docs, F.col("source"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op5_quality, op6_license_scan, op9_line_dedup)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bytebpe.digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op5_quality, op6_license_scan, op9_line_dedup, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """
