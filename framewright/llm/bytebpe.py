@@ -71,7 +71,7 @@ def _encode_shard(data, pattern: str):
         for batch in batches:
             out = []
             for p in batch.column("payload"):
-                codes, words = wb.unpack_words(p.as_py())
+                codes, words, _ = wb.unpack_words(p.as_py())
                 ids = []
                 for w in words:
                     x = memo.get(w)
@@ -100,7 +100,7 @@ def _ids_by_code(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate([p[2] for p in parts]).astype(np.uint32), starts, lengths
 
 
-def _pieces(block: wb.Block, payloads: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(block: wb.Block, payloads: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Documents a to b of a block at a time: their ids, one after another, and each document's bounds in them."""
     values, starts, lengths = _ids_by_code(payloads)
     a, n = 0, len(block.bounds) - 1
@@ -144,7 +144,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
 
     def finish(block: wb.Block, payloads: list[bytes]) -> pa.Table:
         parts = []
-        for a, b, ids, own in _pieces(block, payloads):
+        for a, b, ids, own in pieces(block, payloads):
             lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(ids.astype(np.int32)))
             parts.append(pa.table({"doc_id": block.doc_ids.slice(a, b - a), "ids": lists}))
         return pa.concat_tables(parts)
@@ -175,7 +175,7 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
     def finish(block: wb.Block, payloads: list[bytes]) -> pa.Table:
         table = token_bytes(data.value)
         counts, of_ids, of_bytes = [], [], []
-        for _, _, ids, own in _pieces(block, payloads):
+        for _, _, ids, own in pieces(block, payloads):
             raw = memoryview(ids.astype("<u4").tobytes())
             counts += np.diff(own).tolist()
             of_ids += [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]

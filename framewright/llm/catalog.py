@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bytebpe, licenses, linededup, media, mixing, quality
+from framewright.llm import bytebpe, huffman, licenses, linededup, media, mixing, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(_documents(spark, sf_dir))
 
 
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bytebpe.read_ranks(public_tokenizers.path("word_bpe_49k.json"))
+    return huffman.round_trip(_documents(spark, sf_dir), tokenizer, end_id=2)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,7 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op5_quality, op6_license_scan, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op9_line_dedup, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """

@@ -56,19 +56,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_words(codes: np.ndarray, words: list[bytes]) -> bytes:
-    """Ascending codes and their words."""
-    head = pack(np.diff(codes, prepend=0), np.fromiter(map(len, words), np.int64, len(words)))
+def pack_words(codes: np.ndarray, words: list[bytes], *more: np.ndarray) -> bytes:
+    """Ascending codes, their words and further numbers of each."""
+    head = pack(np.diff(codes, prepend=0), np.fromiter(map(len, words), np.int64, len(words)), *more)
     return struct.pack("<I", len(head)) + head + zstandard.compress(b"".join(words), 3)
 
 
-def unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
     n = struct.unpack_from("<I", data)[0]
-    steps, lengths = unpack(data[4 : 4 + n])
+    steps, lengths, *more = unpack(data[4 : 4 + n])
     ends = np.cumsum(lengths, dtype=np.int64)
     body = zstandard.decompress(data[4 + n :], max_output_size=int(ends[-1]) if len(ends) else 0) if len(ends) and ends[-1] else b""
     starts = ends - lengths
-    return np.cumsum(steps, dtype=np.int64), [body[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.cumsum(steps, dtype=np.int64), [body[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], more
 
 
 @dataclass
@@ -89,12 +89,13 @@ class _Codes(dict):
         return n
 
 
-def word_blocks(docs: DataFrame, split: Callable[[str], list], shards: int, doc_id: str = "doc_id", text: str = "text", extra: str | None = None) -> DataFrame:
+def word_blocks(docs: DataFrame, split: Callable[[str], list], shards: int, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, counted: bool = False) -> DataFrame:
     """Rows of blocks (shard -1: doc_ids, extras, payload of counts and codes) and of their words (shard 0 and up).
 
-    ``split`` gives a text's words; a null text is an empty one. ``extra`` is a boolean column kept by document.
+    ``split`` gives a text's words; a null text is an empty one. ``extra`` is a boolean column kept by document. With ``counted``, words carry the number of their places in the
+    block's documents whose ``extra`` is true.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(extra) if extra else F.lit(False)).alias("extra"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(extra) if extra else F.lit(True)).alias("extra"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def close(number: int, words: _Codes, ids: list, extras: list, counts: list, codes: list, id_type: pa.DataType) -> pa.RecordBatch:
@@ -112,10 +113,11 @@ def word_blocks(docs: DataFrame, split: Callable[[str], list], shards: int, doc_
         of = np.fromiter((zlib.crc32(w) % shards for w in names), np.int64, len(names))
         rows_shard, rows_payload = [-1], [pack(np.array(counts, np.int64), rank[flat])]
         by_shard = np.argsort(of, kind="stable")
+        places = np.bincount(rank[flat][np.repeat(np.array(extras, bool), counts)], minlength=len(order)) if counted else None
         for part in np.split(by_shard, np.flatnonzero(np.diff(of[by_shard])) + 1):
             if len(part):
                 rows_shard.append(int(of[part[0]]))
-                rows_payload.append(pack_words(part, [names[i] for i in part.tolist()]))
+                rows_payload.append(pack_words(part, [names[i] for i in part.tolist()], *([places[part]] if counted else [])))
         n = len(rows_shard)
         return pa.RecordBatch.from_arrays(
             [pa.array([block] * n, pa.int64()), pa.array(rows_shard, pa.int32()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([extras] + [None] * (n - 1), pa.list_(pa.bool_())), pa.array(rows_payload, pa.binary())],
