@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bytebpe, forest, huffman, licenses, linededup, media, mixing, quality, vectors
+from framewright.llm import bytebpe, forest, huffman, licenses, linededup, media, mixing, ngramlm, quality, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_texts(_documents(spark, sf_dir))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.scored(_documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     return linededup.drop_boilerplate(docs, F.col("source"), counts=True)
@@ -54,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op7_jaccard_join, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op7_jaccard_join, op8_ngram_lm, op9_line_dedup, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """

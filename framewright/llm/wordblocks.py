@@ -75,6 +75,7 @@ def unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes], list[np.ndarray]
 class Block:
     """``codes[bounds[i]:bounds[i + 1]]`` are document i's words."""
 
+    number: int
     doc_ids: pa.Array
     extra: pa.Array
     bounds: np.ndarray
@@ -160,7 +161,7 @@ def met(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[byt
         at = int(np.flatnonzero(table.column("shard").to_numpy() < 0)[0])
         counts, codes = unpack(table.column("payload")[at].as_py())
         bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        block = Block(table.column("doc_ids")[at].values, table.column("extras")[at].values, bounds, codes)
+        block = Block(table.column("block")[at].as_py(), table.column("doc_ids")[at].values, table.column("extras")[at].values, bounds, codes)
         return finish(block, [p.as_py() for i, p in enumerate(table.column("payload")) if i != at])
 
     return own.unionByName(answers).groupBy("block").applyInArrow(group, schema)
