@@ -230,13 +230,14 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model accepts, with their columns. Null texts are empty ones."""
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
             for part in slices(batch, str(at)):
                 x = np.array([features_of(t.as_py() or b"") for t in part.column(at).cast(pa.binary())])
-                yield part.filter(pa.array(model.scores(x) >= THRESHOLD)).rename_columns(docs.columns)
+                yield part.filter(pa.array(model.scores(x) >= THRESHOLD)).rename_columns(names)
 
     return docs.mapInArrow(keep, docs.schema)
