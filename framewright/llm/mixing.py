@@ -4,8 +4,9 @@ A document's expected number of copies varies within its source, the shorter doc
 likelier, since they steer a word total more finely; the size-weighted mean of the expected copies
 is exactly target / source size. Whole copies of the expectation are certain. For the fraction p that
 is left, a document draws a fixed uniform u from a hash of its id and text, and ranks by the Pareto
-variable (u / (1 - u)) / (p / (1 - p)). From the smallest on, documents are taken until their words
-make up what the certain copies leave of the target: the sample's size is fixed, in words.
+variable (u / (1 - u)) / (p / (1 - p)). From the smallest on, documents are taken while their words
+fit into what the certain copies leave of the target: the sample's size is fixed, in words. The gap before
+the first document that doesn't fit is filled in the same order with documents that are no larger than it.
 
 No source is ever sorted as a whole. The ranks go into bins, words are summed by (source, bin), and
 only the bin in which the target falls is ordered. The decision then is a comparison with a row per
@@ -70,7 +71,7 @@ def _draw(doc_id: Column, text: Column) -> Column:
 def _shortness() -> Column:
     """0 to 1000, the larger the shorter a document is against its source's mean. Whole, so that sums are exact."""
     mean = F.col("source_size") / F.greatest(F.col("source_docs"), F.lit(1))
-    return F.coalesce(F.floor(1000 * mean / (mean + F.col("size"))), F.lit(0)).cast("long")
+    return F.coalesce(F.floor(F.try_divide(1000 * mean, mean + F.col("size"))), F.lit(0)).cast("long")
 
 
 def _expected() -> Column:
@@ -106,29 +107,46 @@ def sampling_plan(sizes: DataFrame) -> DataFrame:
     plan = targets.join(short, tie(targets, short), "left").select(targets["*"], mean.alias("mean_shortness"))
     plan = stored(plan, "expectations")
     ranked = _ranked(with_plan(plan).withColumn("shortness", _shortness()))
-    bins = stored(ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("certain_words")), "bins")
-    certain = bins.groupBy("source").agg(F.sum("certain_words").alias("certain_words"))
-    plan = plan.join(certain, tie(plan, certain), "left").select(plan["*"], (F.col("target") - F.col("certain_words")).alias("rest"))
-    #: Words of the bins before the one in which the rest falls; none if there is no rest.
+    certain = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("certain_words"))
+    plan = plan.join(certain, tie(plan, certain), "left").select(plan["*"], (F.col("target") - F.coalesce("certain_words", F.lit(0))).alias("rest"))
+    plan = _with_cut(plan, with_plan, "", lambda rows: rows, F.lit(1.0))
+    plan = plan.withColumn("gap", F.col("rest") - F.col("filled"))
+    left = lambda rows: rows.filter(~_chosen("") & (F.col("size") <= F.col("gap")))
+    return _with_cut(plan.drop("rest", "filled").withColumn("rest", F.col("gap")), with_plan, "2", left, F.lit(0.5))
+
+
+def _chosen(which: str) -> Column:
+    """Whether a ranked document stands before a cut of its source."""
+    inside = (F.col("bin") == F.col("cut_bin" + which)) & (F.col("key") <= F.col("cut_key" + which))
+    return F.coalesce((F.col("bin") < F.col("cut_bin" + which)) | inside, F.lit(False))
+
+
+def _with_cut(plan: DataFrame, with_plan, which: str, candidates, part: Column) -> DataFrame:
+    """Adds to each source the cut (bin and key) to which candidates fit into ``rest`` words, and the words up to it.
+
+    A document fits if this ``part`` of it does. Whole bins come first; only the bin of the cut is ordered.
+    """
+    tie = lambda a, b: a["source"].eqNullSafe(b["source"])
+    plan = stored(plan, "expectations")
+    ranked = lambda p: candidates(_ranked(with_plan(p).withColumn("shortness", _shortness()))).filter("bin is not null")
     along = Window.partitionBy("source").orderBy("bin")
-    sums = bins.filter("bin is not null").withColumn("up_to", F.sum("words").over(along))
-    cut = sums.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
-    cut = cut.filter(F.col("up_to") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bin", (F.col("up_to") - F.col("words")).alias("before"))).alias("cut"))
-    plan = plan.join(cut, tie(plan, cut), "left").select(plan["*"], F.coalesce(F.col("cut.bin"), F.lit(RANK_BINS)).alias("cut_bin"), F.coalesce(F.col("cut.before"), F.lit(0)).alias("cut_before"))
+    sums = ranked(plan).groupBy("source", "bin", "rest").agg(F.sum("size").alias("words")).withColumn("up_to", F.sum("words").over(along))
+    over = F.when(F.col("up_to") > F.col("rest"), F.struct("bin", (F.col("up_to") - F.col("words")).alias("before")))
+    cut = sums.groupBy("source").agg(F.min(over).alias("cut"), F.max("up_to").alias("all"))
+    plan = plan.join(cut, tie(plan, cut), "left").select(plan["*"], F.coalesce("cut.bin", F.lit(RANK_BINS)).alias("cut_bin" + which), F.coalesce("cut.before", "all", F.lit(0)).alias("before"))
     plan = stored(plan, "cuts")
-    #: Inside that bin, in the order of ranks, a document comes in if its middle word does.
-    inside = _ranked(with_plan(plan).withColumn("shortness", _shortness())).filter(F.col("bin") == F.col("cut_bin"))
-    ordered = Window.partitionBy("source").orderBy("key")
-    tied = inside.groupBy("source", "key", "cut_before", "rest").agg(F.sum("size").alias("words"))
-    tied = tied.withColumn("before", F.col("cut_before") + F.sum("words").over(ordered) - F.col("words"))
-    last = tied.filter(F.col("before") + F.col("words") / 2 <= F.col("rest")).groupBy("source").agg(F.max("key").alias("cut_key"))
-    return stored(plan.join(last, tie(plan, last), "left").select(plan["*"], "cut_key"), "plan")
+    inside = ranked(plan).filter(F.col("bin") == F.col("cut_bin" + which))
+    tied = inside.groupBy("source", "key", "before", "rest").agg(F.sum("size").alias("words"))
+    tied = tied.withColumn("ahead", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("key")) - F.col("words"))
+    last = tied.filter(F.col("ahead") + F.col("words") * part <= F.col("rest")).groupBy("source").agg(F.max("key").alias("cut_key" + which), F.max(F.col("ahead") + F.col("words")).alias("up_to"))
+    plan = plan.join(last, tie(plan, last), "left").select(plan["*"], "cut_key" + which, F.coalesce("up_to", "before").alias("filled"))
+    return stored(plan.drop("before"), "plan")
 
 
 def _copies(df: DataFrame) -> DataFrame:
     df = _ranked(df.withColumn("shortness", _shortness()))
-    chosen = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("key") <= F.col("cut_key")))
-    return df.withColumn("copies", F.col("certain") + F.coalesce(chosen, F.lit(False)).cast("long"))
+    filler = (F.col("size") <= F.col("gap")) & _chosen("2")
+    return df.withColumn("copies", F.col("certain") + (_chosen("") | filler).cast("long"))
 
 
 def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
