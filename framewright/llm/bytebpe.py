@@ -24,6 +24,8 @@ from framewright.llm.store import stored
 
 #: Words of a block that are put together at a time.
 CHUNK = 500_000
+#: Compression of the blocks: they are written, read and shuffled as a whole.
+LEVEL = 9
 
 
 def read_ranks(path: str) -> bytes:
@@ -53,13 +55,15 @@ def token_bytes(data: bytes) -> pa.Array:
 
 
 def splitter(pattern: str):
-    """A function from a text to its pre-tokens."""
+    """A function from texts to their pre-tokens, as wordblocks wants it."""
     found: list = []
 
-    def split(text: str) -> list[str]:
+    def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         if not found:
             found.append(regex.compile(pattern).findall)
-        return found[0](text)
+        lists = [found[0](t) for t in texts.to_pylist()]
+        words = [pa.array(x, pa.string()) for x in lists]
+        return pa.concat_arrays(words) if words else pa.array([], pa.string()), np.fromiter(map(len, lists), np.int64, len(lists))
 
     return split
 
@@ -130,7 +134,7 @@ def _encoded_blocks(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str, te
     spark: SparkSession = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary file
-    blocks = stored(wb.word_blocks(docs, splitter(pattern), shards, doc_id, text), "words")
+    blocks = stored(wb.word_blocks(docs, splitter(pattern), shards, doc_id, text, level=LEVEL), "words")
     return blocks, wb.answered(blocks, shards, _encode_shard(data, pattern)), data
 
 

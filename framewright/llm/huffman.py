@@ -167,9 +167,9 @@ def tokenizer_of(data: bytes):
     return tokenizer
 
 
-def split_bytes(text: str) -> list[bytes]:
-    """Between ASCII blanks, across which this kind of tokenizer never joins."""
-    return text.encode().split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII blanks, across which this kind of tokenizer never joins."""
+    return wb.blank_split(texts)
 
 
 def _explode_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id:
     spark: SparkSession = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = spark.sparkContext.broadcast(tokenizer)  # as large as the tokenizer file
-    blocks = stored(wb.word_blocks(docs, split_bytes, shards, doc_id, text, counted=True), "words")
+    blocks = stored(wb.word_blocks(docs, split_words, shards, doc_id, text, counted=True), "words")
     answers = stored(wb.answered(blocks, shards, _encode_shard(data)), "word-ids")
     counted = answers.filter("block < 0").mapInArrow(_explode_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = {r["id"]: r["n"] for r in counted.collect()}  # at most the vocabulary

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,11 @@ FOLDS, HELD_OUT = 7, 2
 SHARD_PLACES = 2_000_000
 #: Unigram log10 probabilities travel in steps of this.
 UNIGRAM_STEP = 1 / 24
-END = b""
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between blanks with A-Z lower-cased, then one end."""
-    found = text.encode().translate(_LOWER).split()
-    found.append(END)
-    return found
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between blanks with A-Z lower-cased; the end is added by wordblocks."""
+    return wb.blank_split(pc.ascii_lower(texts))
 
 
 def _number_words(shards: int):
@@ -92,7 +89,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     held_out = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~held_out).alias("train"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    blocks = stored(wb.word_blocks(slim, tokens, shards, extra="train", counted=True), "words")
+    blocks = stored(wb.word_blocks(slim, tokens, shards, extra="train", counted=True, end=True), "words")
     answers = stored(wb.answered(blocks, shards, _number_words(shards)), "word-counts")
     totals = [[int(x[0]) for x in wb.unpack(bytes(r["payload"]))] for r in answers.filter("block < 0").select("payload").collect()]  # a row per shard
     train_tokens, vocabulary = sum(t[0] for t in totals), sum(t[1] for t in totals)

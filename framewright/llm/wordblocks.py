@@ -11,55 +11,66 @@ one entry a block.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
 
-#: A block is closed after a document that takes it to this many words, or distinct words.
-BLOCK_WORDS, BLOCK_DISTINCT = 4_000_000, 400_000
+#: A block is closed after a slice of documents that takes it to this many words.
+BLOCK_WORDS = 4_000_000
 #: Words whose values a shard's task keeps in memory; beyond it they are worked out anew.
 MEMO = 2_000_000
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned integers as one compressed value: each in bytes of equal weight together."""
+def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
+    """Arrays of unsigned integers as one compressed value.
+
+    A first byte holds values up to 254; the excess of the others over 255 stands apart, its bytes of equal weight together.
+    """
     parts = [struct.pack("<B", len(arrays))]
     for a in arrays:
-        top = int(a.max(initial=0))
-        width = max(1, (top.bit_length() + 7) // 8)
-        planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-        body = zstandard.compress(planes.tobytes(), 3)
-        parts += [struct.pack("<IBI", len(a), width, len(body)), body]
+        a = np.asarray(a).astype(np.int64)
+        rest = a[a >= 255] - 255
+        width = (int(rest.max(initial=0)).bit_length() + 7) // 8
+        planes = rest.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        body = [zstandard.compress(x.tobytes(), level) for x in (np.minimum(a, 255).astype(np.uint8), *planes)]
+        parts += [struct.pack("<IIB", len(a), len(rest), width), *(struct.pack("<I", len(x)) + x for x in body)]
     return b"".join(parts)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 1
+
+    def plane(n: int) -> np.ndarray:
+        nonlocal at
+        size = struct.unpack_from("<I", data, at)[0]
+        at += 4 + size
+        return np.frombuffer(zstandard.decompress(data[at - size : at], max_output_size=n) if n else b"", np.uint8)
+
     for _ in range(data[0]):
-        n, width, size = struct.unpack_from("<IBI", data, at)
+        n, n_rest, width = struct.unpack_from("<IIB", data, at)
         at += 9
-        planes = np.frombuffer(zstandard.decompress(data[at : at + size], max_output_size=n * width), np.uint8).reshape(width, n)
-        at += size
-        kind = np.uint32 if width <= 4 else np.uint64
-        values = np.zeros(n, kind)
+        first = plane(n)
+        values = first.astype(np.uint64 if width > 3 else np.uint32)
+        rest = np.full(n_rest, 255, values.dtype)
         for i in range(width):
-            values |= planes[i].astype(kind) << kind(8 * i)
+            rest += plane(n_rest).astype(values.dtype) << values.dtype.type(8 * i)
+        values[first == 255] = rest
         out.append(values)
     return out
 
 
-def pack_words(codes: np.ndarray, words: list[bytes], *more: np.ndarray) -> bytes:
-    """Ascending codes, their words and further numbers of each."""
-    head = pack(np.diff(codes, prepend=0), np.fromiter(map(len, words), np.int64, len(words)), *more)
-    return struct.pack("<I", len(head)) + head + zstandard.compress(b"".join(words), 3)
+def pack_words(codes: np.ndarray, lengths: np.ndarray, body: bytes, *more: np.ndarray, level: int = 3) -> bytes:
+    """Ascending codes, their words (lengths and bytes) and further numbers of each."""
+    head = pack(np.diff(codes, prepend=0), lengths, *more)
+    return struct.pack("<I", len(head)) + head + zstandard.compress(body, level)
 
 
 def unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
@@ -82,43 +93,62 @@ class Block:
     codes: np.ndarray
 
 
-class _Codes(dict):
-    """A word's code; a new word gets the next one."""
+def _shards_of(lengths: np.ndarray, body: np.ndarray, shards: int) -> np.ndarray:
+    """A shard for each word by a polynomial hash of its bytes."""
+    ends = np.cumsum(lengths)
+    powers = np.full(int(lengths.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers = np.cumprod(powers, dtype=np.uint64)
+    place = np.arange(len(body)) - np.repeat(ends - lengths, lengths)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((body + np.uint64(1)) * powers[place], dtype=np.uint64)])
+    h = total[ends] - total[ends - lengths] + lengths.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
-    def __missing__(self, word) -> int:
-        self[word] = n = len(self)
-        return n
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Lengths and bytes of an array of binary values without nulls."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.diff(at), bytes(memoryview(data)[at[0] : at[-1]]) if data is not None else b""
 
-def word_blocks(docs: DataFrame, split: Callable[[str], list], shards: int, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, counted: bool = False) -> DataFrame:
+
+def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], shards: int, doc_id: str = "doc_id", text: str = "text", extra: str | None = None, counted: bool = False, end: bool = False, level: int = 3) -> DataFrame:
     """Rows of blocks (shard -1: doc_ids, extras, payload of counts and codes) and of their words (shard 0 and up).
 
-    ``split`` gives a text's words; a null text is an empty one. ``extra`` is a boolean column kept by document. With ``counted``, words carry the number of their places in the
-    block's documents whose ``extra`` is true.
+    ``split`` gives the words of an array of texts, one after another, and each text's number of them; a null text is
+    an empty one. With ``end`` an empty word follows each text's last. ``extra`` is a boolean column kept by
+    document. With ``counted``, words carry the number of their places in the block's documents whose ``extra`` is true.
+    ``level`` is the compression of codes and words.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(extra) if extra else F.lit(True)).alias("extra"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
-    def close(number: int, words: _Codes, ids: list, extras: list, counts: list, codes: list, id_type: pa.DataType) -> pa.RecordBatch:
+    def close(number: int, ids: list, extras: list, counts: np.ndarray, words: list[pa.Array], id_type: pa.DataType) -> pa.RecordBatch:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 24 | number
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        coded = pa.chunked_array(words, pa.binary()).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        flat, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        if end:
+            flat = np.insert(flat, np.cumsum(counts), len(names))
+            names, counts = pa.concat_arrays([names, pa.array([b""], pa.binary())]), counts + 1
         # Frequent words get small codes, which pack well.
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        names = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
-        names = [names[i] for i in order.tolist()]
-        of = np.fromiter((zlib.crc32(w) % shards for w in names), np.int64, len(names))
-        rows_shard, rows_payload = [-1], [pack(np.array(counts, np.int64), rank[flat])]
+        flat, names = rank[flat], names.take(pa.array(order))
+        lengths, body = _bytes_of(names)
+        of = _shards_of(lengths, np.frombuffer(body, np.uint8), shards)
+        places = np.bincount(flat[np.repeat(np.array(extras, bool), counts)], minlength=len(names)) if counted else None
+        rows_shard, rows_payload = [-1], [pack(counts, flat, level=level)]
         by_shard = np.argsort(of, kind="stable")
-        places = np.bincount(rank[flat][np.repeat(np.array(extras, bool), counts)], minlength=len(order)) if counted else None
         for part in np.split(by_shard, np.flatnonzero(np.diff(of[by_shard])) + 1):
             if len(part):
+                own_lengths, own_body = _bytes_of(names.take(pa.array(part)))
                 rows_shard.append(int(of[part[0]]))
-                rows_payload.append(pack_words(part, [names[i] for i in part.tolist()], *([places[part]] if counted else [])))
+                rows_payload.append(pack_words(part, own_lengths, own_body, *([places[part]] if counted else []), level=level))
         n = len(rows_shard)
         return pa.RecordBatch.from_arrays(
             [pa.array([block] * n, pa.int64()), pa.array(rows_shard, pa.int32()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([extras] + [None] * (n - 1), pa.list_(pa.bool_())), pa.array(rows_payload, pa.binary())],
@@ -126,26 +156,37 @@ def word_blocks(docs: DataFrame, split: Callable[[str], list], shards: int, doc_
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, words, ids, extras, counts, codes, total, id_type = 0, _Codes(), [], [], [], [], 0, pa.int64()
+        number, ids, extras, counts, words, total, id_type = 0, [], [], [], [], 0, pa.int64()
         for batch in batches:
             id_type = batch.column("doc_id").type
             for part in slices(batch, "text"):
-                for d, t, x in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("extra").to_pylist(), strict=True):
-                    found = split(t.as_py() or "")
-                    codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
-                    ids.append(d)
-                    extras.append(x)
-                    counts.append(len(found))
-                    total += len(found)
-                    if total >= BLOCK_WORDS or len(words) >= BLOCK_DISTINCT:
-                        yield close(number, words, ids, extras, counts, codes, id_type)
-                        number, words, ids, extras, counts, codes, total = number + 1, _Codes(), [], [], [], [], 0
+                found, n = split(pc.fill_null(part.column("text").cast(pa.string()), ""))
+                ids += part.column("doc_id").to_pylist()
+                extras += part.column("extra").to_pylist()
+                words.append(found.cast(pa.binary()))
+                counts.append(n)
+                total += len(found)
+                if total >= BLOCK_WORDS:
+                    yield close(number, ids, extras, np.concatenate(counts), words, id_type)
+                    number, ids, extras, counts, words, total = number + 1, [], [], [], [], 0
         if ids:
-            yield close(number, words, ids, extras, counts, codes, id_type)
+            yield close(number, ids, extras, np.concatenate(counts), words, id_type)
 
     return slim.mapInArrow(cut, f"block long, shard int, doc_ids array<{kind}>, extras array<boolean>, payload binary")
 
 
+def blank_split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII blanks."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not full.all():
+        owner = np.repeat(np.arange(len(counts)), counts)
+        counts = np.bincount(owner[full], minlength=len(counts))
+        words = words.filter(pa.array(full))
+    return words, counts
+
+
 def answered(blocks: DataFrame, shards: int, answer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Deals the word rows out by shard and lets ``answer`` give rows of the same columns back."""
     asked = blocks.filter("shard >= 0").select("block", "shard", "payload").repartition(shards, "shard")
