@@ -763,3 +763,78 @@ def custom_transform(spark, sf_dir):
 def samples(spark, sf_dir):
     rows = pk.explode_samples(fx.frames_f32(spark, sf_dir).withColumn("pts", F.lit(0)), F.lit(2), ("vec_id",))
     return rows.select("vec_id", "frame_idx", "channel", (c("value").cast("double") * 16777216).cast("long").alias("scaled"))
+
+
+# --- Files: written from the tables into the shared folder and read by the sources --------------------------
+
+_FILES = _RAW + ", files as (select *, octet_length(content)::bigint as n, depth // 8 * channels as block from raw_files where octet_length(content) > 0)"
+
+
+def _file_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as the one packet of a file."""
+    rows = fx.raw_files(spark, sf_dir).filter("octet_length(content) > 0")
+    about = F.create_map(F.lit("title"), c("path"), F.lit("track"), c("doc_id").cast("string"))
+    return rows.select("doc_id", F.concat(F.lit("doc-"), c("doc_id").cast("string"), F.lit(".wav")).alias("path"), F.lit(0).alias("k"), c("content").alias("data"), "channels", "sample_rate", c("depth").alias("bit_depth"), about.alias("metadata"))
+
+
+def _written(spark: SparkSession, packets: DataFrame, container: str) -> tuple[str, DataFrame]:
+    from framewright.sources import files, wav
+
+    wav.register(spark)
+    folder = files.new_folder(spark, container)
+    done = wav.write_files(wav.files_of(packets, container), folder)
+    done.write.parquet(f"{folder}-written")
+    return folder, spark.read.parquet(f"{folder}-written")
+
+
+def _doc_id(path: Column) -> Column:
+    return F.regexp_extract(path, r"doc-(\d+)[.]", 1).cast("long").alias("doc_id")
+
+
+@query(f"""with {_FILES} select doc_id, channels::integer as channels, sample_rate, depth::integer as bit_depth, case depth when 32 then 3 else 1 end as format_code, n as data_size, n // block as frames,
+ {_codec("depth")} as codec, true as supported, null::varchar as error from files""")
+def wav_scan(spark, sf_dir):
+    folder, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
+    heads = spark.read.format("wav").options(path=folder, include="header").load()
+    return heads.select(_doc_id(c("path")), "channels", "sample_rate", "bit_depth", "format_code", "data_size", "frames", "codec", "supported", "error")
+
+
+@query(f"with {_FILES} select doc_id, path as title, doc_id::varchar as track, 2::bigint as n_fields from files")
+def wav_metadata(spark, sf_dir):
+    folder, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
+    heads = spark.read.format("wav").options(path=folder, include="header").load()
+    return heads.select(_doc_id(c("path")), c("metadata")["title"].alias("title"), c("metadata")["track"].alias("track"), F.size("metadata").cast("long").alias("n_fields"))
+
+
+@query(f"""with {_RAW} select doc_id, k, md5(content[k * 1020 + 1 : least(n, (k + 1) * 1020)]) as data_md5, least(1020, n - k * 1020) as size, k * 1020 // 6 as pts
+ from (select *, unnest(range(0, (n + 1019) // 1020)) as k from (select doc_id, content, octet_length(content)::bigint as n from raw_files) where n > 0)""")
+def raw_scan(spark, sf_dir):
+    folder, _ = _written(spark, _file_packets(spark, sf_dir).withColumn("path", F.regexp_replace("path", "wav$", "pcm")), "pcm")
+    rows = spark.read.format("rawpcm").options(path=folder, depth=24, channels=2, limit=LIMIT).load()
+    return rows.select(_doc_id(c("path")), "k", F.md5("data").alias("data_md5"), "size", "pts")
+
+
+@query(f"""with {_FILES} select doc_id, case depth when 32 then 46 else 44 end + n + n % 2 + 12 + 8 + (length(path) + 1) + (length(path) + 1) % 2 + 8 + (length(doc_id::varchar) + 1) + (length(doc_id::varchar) + 1) % 2 as size from files""")
+def wav_sink(spark, sf_dir):
+    _, sizes = _written(spark, _file_packets(spark, sf_dir), "wav")
+    return sizes.select(_doc_id(c("path")), "size")
+
+
+@query(f"""with {_FILES}, words as (select doc_id, generate_subscripts(w, 1) as i, unnest(w) as q from (select doc_id, regexp_extract_all(hex(content), '....') as w from files where depth = 16 and n % 2 = 0))
+ select doc_id, 24 as bit_depth, md5(string_agg('00' || q, '' order by i)) as hex_md5 from words group by doc_id""")
+def wav_to_wav(spark, sf_dir):
+    source, _ = _written(spark, _file_packets(spark, sf_dir).filter("bit_depth = 16 and octet_length(data) % 2 = 0"), "wav")
+    packets = pk.transcode(spark.read.format("wav").options(path=source, limit=LIMIT).load(), c("bit_depth"), F.lit(24)).withColumn("bit_depth", F.lit(24))
+    folder, _ = _written(spark, packets, "wav")
+    out = spark.read.format("wav").options(path=folder).load()
+    return pk.mux(out, "path").join(out.filter("k = 0").select(c("path").alias("p"), "bit_depth"), c("path") == c("p")).select(_doc_id(c("path")), "bit_depth", F.md5(F.hex("data")).alias("hex_md5"))
+
+
+@query(f"with {_FILES} select doc_id, md5(content) as data_md5, n as size from files")
+def wav_to_raw(spark, sf_dir):
+    from framewright.sources.wav import renamed
+
+    source, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
+    folder, _ = _written(spark, renamed(spark.read.format("wav").options(path=source, limit=LIMIT).load(), "raw"), "raw")
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(_doc_id(c("path")), F.md5("content").alias("data_md5"), c("length").alias("size"))

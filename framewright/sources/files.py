@@ -43,3 +43,12 @@ def read_range(path: str, start: int, size: int) -> bytes:
     with system.open_input_file(at) as f:
         f.seek(start)
         return f.read(size)
+
+
+def new_folder(spark, name: str) -> str:
+    """A fresh folder in the one that driver and executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-framewright-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
