@@ -54,6 +54,17 @@ def float_32_of(bits: Column) -> Column:
     return F.when(exponent == 255, special).when(exponent == 0, small).otherwise(normal).cast("float")
 
 
+def float_64(digits: Column) -> Column:
+    """An IEEE double from its 16 hex digits, most significant first."""
+    high, low = unsigned(F.substr(digits, F.lit(1), F.lit(8))), unsigned(F.substr(digits, F.lit(9), F.lit(8)))
+    sign = F.when(F.shiftright(high, 31) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+    exponent = F.shiftright(high, 20).bitwiseAND(2047)
+    fraction = high.bitwiseAND(0xFFFFF) * F.lit(2.0**-20) + low * F.lit(2.0**-52)
+    special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    normal = sign * (F.lit(1.0) + fraction) * F.pow(F.lit(2.0), exponent - 1023)
+    return F.when(exponent == 2047, special).when(exponent == 0, sign * fraction * F.lit(2.0**-1022)).otherwise(normal)
+
+
 def little_endian(value: Column, width: int) -> Column:
     """A non-negative whole number as ``width`` bytes, least significant first; higher bits are cut off."""
     digits = F.lpad(F.hex(value.cast("long")), 16, "0")

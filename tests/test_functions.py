@@ -79,6 +79,15 @@ def test_byte_numbers(spark):
     assert (r["a"], r["b"], r["c"], r["d"], bytes(r["e"])) == (-1, 0x8001, -(2**63) + 0x80, None, b"abc")
 
 
+@pytest.mark.parametrize("value", [0.0, -0.0, 1.0, -1.5, 0.1, 1.7976931348623157e308, 5e-324, 2.2250738585072014e-308, float("inf"), float("-inf"), float("nan")])
+def test_floats_in_bytes(spark, value):
+    single = struct.unpack("<f", struct.pack("<f", value))[0] if abs(value) < 1e38 or value != value or math.isinf(value) else 0.5
+    data = F.lit(struct.pack("<d", value) + struct.pack(">d", value) + struct.pack("<f", single))
+    r = one(spark, a=binary.float_64(binary.hex_at(data, 0, 8)), b=binary.float_64(binary.hex_at(data, 8, 8, False)), c=binary.float_32(binary.hex_at(data, 16, 4)))
+    for got, want in ((r["a"], value), (r["b"], value), (r["c"], single)):
+        assert struct.pack("<d", got) == struct.pack("<d", want) or got != got and want != want
+
+
 @pytest.mark.parametrize(
     ("channels", "rate", "code", "bits", "error"),
     [
