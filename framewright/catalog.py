@@ -722,7 +722,7 @@ def write_primitives(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select(k, le(k % 256, 1, "u8"), le(k, 2, "u16_le"), le(k * 65537, 4, "u32_le"), le(k * 4294967311, 8, "u64_le"), be(k, 2, "u16_be"), be(k * 65537, 4, "u32_be"))
 
 
-# --- Transforms (beyond the reference, which leaves them empty) -------------------------------------------
+# --- Transforms -------------------------------------------------------------------------------------------
 
 _SAMPLES = f"{_FRAMES}, s as (select vec_id, g, samples, unnest(range(1, len(samples) + 1)) as i from frames)"
 
