@@ -92,26 +92,37 @@ class EliasFano:
         high = self._select(i, zeros=False) - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)).astype(np.int64)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first number that is ``x`` or more; n if there is none."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place of the first number that is ``x`` or more, the end of those with the upper half of x, x's lower half."""
         h, low = x >> self.low_bits, (x & ((1 << self.low_bits) - 1)).astype(np.uint64)
         h = np.minimum(h, self.buckets - 1)
         start = np.where(h > 0, self._select(np.maximum(h - 1, 0), zeros=True) + 1 - h, 0)
         end = self._select(h, zeros=True) - h
+        # Numbers with one upper half stand together, often many of them: halve the stretch by the lower half.
         todo = np.flatnonzero(start < end)
+        a, b, x_low = start[todo], end[todo], low[todo]
         while len(todo):
-            todo = todo[self._low(start[todo]) < low[todo]]
-            start[todo] += 1
-            todo = todo[start[todo] < end[todo]]
-        return start
+            middle = (a + b) >> 1
+            less = self._low(middle) < x_low
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            done = a >= b
+            if done.any():
+                start[todo[done]] = a[done]
+                open_ = ~done
+                todo, a, b, x_low = todo[open_], a[open_], b[open_], x_low[open_]
+        return start, end, low
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The place of the first number that is ``x`` or more; n if there is none."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of ``x``, or -1."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        i = self.successor(x)
-        there = np.minimum(i, self.n - 1)
-        return np.where((i < self.n) & (self.access(there) == x), i, -1)
+        i, end, low = self._search(x)
+        inside = i < end
+        return np.where(inside & (self._low(np.where(inside, i, 0)) == low), i, -1)
 
 
 def _or_runs(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
@@ -133,6 +144,21 @@ def probability(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (-STEP * q)
 
 
+def _numbered(values: np.ndarray, counted: bool = False):
+    """Distinct values and each value's place among them (32 bits), in little more memory than a sorted copy."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    heads = np.flatnonzero(new)
+    distinct = ordered[heads]
+    counts = np.diff(heads, append=len(ordered)) if counted else None
+    del ordered, new, heads
+    place = np.empty(len(values), np.int32)
+    for i in range(0, len(values), 1 << 18):
+        place[i : i + (1 << 18)] = np.searchsorted(distinct, values[i : i + (1 << 18)])
+    return (distinct, place, counts) if counted else (distinct, place)
+
+
 class Trie:
     """Trigrams (u, v, w) under their middle words v, counted from some training places.
 
@@ -146,28 +172,47 @@ class Trie:
 
     def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, words: int) -> None:
         """Equal-length arrays of training trigrams, repeats standing for counts; all ids are below ``words``."""
+        v, u, w = (a if a.dtype.kind == "i" else a.astype(np.int64) for a in (v, u, w))
         levels, d = Levels(), self.DISCOUNT
         self.words = words
-        contexts, place = np.unique(v, return_inverse=True)
+        contexts, place = _numbered(v)
         EliasFano.put(levels, "contexts", contexts, words)
-        n = len(contexts)
-        pairs, place2, counts = np.unique(place * words + w, return_inverse=True, return_counts=True)
+        n, totals = len(contexts), np.bincount(place, minlength=len(contexts))
+        keys = place.astype(np.int64)
+        keys *= words
+        keys += w
+        pairs, place2, counts = _numbered(keys, counted=True)
         of = pairs // words
         EliasFano.put(levels, "pairs", pairs, n * words)
-        types, totals = np.bincount(of, minlength=n), np.bincount(place, minlength=n)
+        types = np.bincount(of, minlength=n)
         pointers = np.concatenate([[0], np.cumsum(types)])
         EliasFano.put(levels, "pair_pointers", pointers, len(pairs) + 1)
         levels.put("pair_p", quantised((counts - d) / totals[of]))
         levels.put("context_b", quantised(d * types / np.maximum(totals, 1)))
-        befores, place1 = np.unique(place * words + u, return_inverse=True)
+        del of, counts, pairs
+        keys += u
+        keys -= w
+        place2 -= pointers.astype(np.int32)[place]
+        del place, v, u, w
+        befores, place1 = _numbered(keys)
+        del keys
         EliasFano.put(levels, "befores", befores, n * words)
         room = types[befores // words]  # a successor's place among those of v is below this
         bases = np.concatenate([[0], np.cumsum(room)])
         EliasFano.put(levels, "base_pointers", bases, int(bases[-1]) + 1)
-        triples, counts3 = np.unique(bases[place1] + place2 - pointers[place], return_counts=True)
+        totals3 = np.bincount(place1, minlength=len(befores))
+        keys = bases[place1]
+        keys += place2
+        del place1, place2
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        heads = np.flatnonzero(new)
+        triples, counts3 = keys[heads], np.diff(heads, append=len(keys))
+        del keys, new, heads
         EliasFano.put(levels, "triples", triples, int(bases[-1]) + 1)
         owner = np.searchsorted(bases, triples, side="right") - 1
-        types3, totals3 = np.bincount(owner, minlength=len(befores)), np.bincount(place1, minlength=len(befores))
+        types3 = np.bincount(owner, minlength=len(befores))
         levels.put("triple_p", quantised((counts3 - d) / totals3[owner]))
         levels.put("before_b", quantised(d * types3 / np.maximum(totals3, 1)))
         self.levels = levels

@@ -26,7 +26,7 @@ from framewright.llm.store import stored
 
 FOLDS, HELD_OUT = 7, 2
 #: Places that a shard of the trie should see.
-SHARD_PLACES = 2_000_000
+SHARD_PLACES = 1_000_000
 #: Unigram log10 probabilities travel in steps of this.
 UNIGRAM_STEP = 1 / 24
 
@@ -132,20 +132,27 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def score_shard(table: pa.Table) -> pa.Table:
         if table.column("shard")[0].as_py() < 0:
             return table
-        rows = [wb.unpack(p.as_py()) for p in table.column("payload")]
-        v, u, w, single, train = (np.concatenate([r[i] for r in rows]).astype(np.int64) for i in range(1, 6))
-        ends = np.cumsum([len(r[0]) for r in rows])
-        owners = [np.cumsum(r[0], dtype=np.int64) for r in rows]
-        del rows
-        learn = train > 0
-        trie = Trie(v[learn], u[learn], w[learn], start + 1)
+        kind = np.int32 if start < 2**31 else np.int64
+
+        def learned() -> list[np.ndarray]:
+            parts: list[list[np.ndarray]] = [[], [], []]
+            for p in table.column("payload"):
+                _, *ids, _, train = wb.unpack(p.as_py())
+                for part, x in zip(parts, ids, strict=True):
+                    part.append(x[train > 0].astype(kind))
+            return [np.concatenate(part) for part in parts]
+
+        trie = Trie(*learned(), start + 1)
         out = []
-        for owner, b in zip(owners, ends.tolist(), strict=True):
-            a = b - len(owner)
-            p = trie.probabilities(v[a:b], u[a:b], w[a:b], 10.0 ** (-UNIGRAM_STEP * single[a:b]))
+        # Rows are unpacked a second time: all of them at once would be larger than the trie.
+        for payload in table.column("payload"):
+            steps, v, u, w, single, _ = wb.unpack(payload.as_py())
+            owner = np.cumsum(steps, dtype=np.int64)
+            p = trie.probabilities(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), 10.0 ** (-UNIGRAM_STEP * single))
             heads = np.flatnonzero(np.diff(owner, prepend=-1))
             sums = np.add.reduceat(np.log10(np.minimum(p, 1.0)), heads)
             out.append(wb.pack(np.diff(owner[heads], prepend=0)) + sums.astype("<f4").tobytes())
+        pa.default_memory_pool().release_unused()
         return table.set_column(table.column_names.index("payload"), "payload", pa.array(out, pa.binary()))
 
     def gather(table: pa.Table) -> pa.Table:
