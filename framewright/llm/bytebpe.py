@@ -23,7 +23,7 @@ from framewright.llm import wordblocks as wb
 from framewright.llm.store import stored
 
 #: Words of a block that are put together at a time.
-CHUNK = 500_000
+CHUNK = 250_000
 #: Compression of the blocks: they are written, read and shuffled as a whole.
 LEVEL = 9
 

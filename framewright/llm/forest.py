@@ -40,7 +40,7 @@ SIMILARITY_BINS = 50
 CLUSTER_CHUNK = 128
 #: Up to so many ids (8 bytes each) are sent to every executor to pick rows; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
-MEMO = 1_000_000
+MEMO = 200_000
 _RNG = np.random.default_rng(5489)
 _FACTORS = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
 _TERMS = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
@@ -103,7 +103,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 hashed, bounds = shingles([t.as_py() or b"" for t in part.column("text").cast(pa.binary())], hashes)
                 some = np.diff(bounds) > 0
                 rows: list[bytes | None] = [None] * part.num_rows
@@ -235,7 +235,7 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 hashed, bounds = shingles([t.as_py() for t in part.column("text").cast(pa.binary())], hashes, words)
                 sets = [np.unique(hashed[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(sets, pa.binary())], names=[*(f.name for f in others), "shingles"])

@@ -25,8 +25,10 @@ from framewright.llm.arrow import slices
 
 #: A block is closed after a slice of documents that takes it to this many words.
 BLOCK_WORDS = 4_000_000
+#: Bytes of text that are split at a time.
+SLICE_BYTES = 2 << 20
 #: Words whose values a shard's task keeps in memory; beyond it they are worked out anew.
-MEMO = 2_000_000
+MEMO = 300_000
 
 
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
@@ -36,10 +38,11 @@ def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """
     parts = [struct.pack("<B", len(arrays))]
     for a in arrays:
-        a = np.asarray(a).astype(np.int64)
-        rest = a[a >= 255] - 255
+        a = np.asarray(a)
+        a = a if a.dtype == np.uint32 else a.astype(np.int64)
+        rest = a[a >= 255] - a.dtype.type(255)
         width = (int(rest.max(initial=0)).bit_length() + 7) // 8
-        planes = rest.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        planes = rest.view(np.uint8).reshape(-1, a.dtype.itemsize)[:, :width].T
         body = [zstandard.compress(x.tobytes(), level) for x in (np.minimum(a, 255).astype(np.uint8), *planes)]
         parts += [struct.pack("<IIB", len(a), len(rest), width), *(struct.pack("<I", len(x)) + x for x in body)]
     return b"".join(parts)
@@ -130,15 +133,17 @@ def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
         block = (context.partitionId() if context else 0) << 24 | number
         coded = pa.chunked_array(words, pa.binary()).dictionary_encode().combine_chunks()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        flat, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        words.clear()
+        flat, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         if end:
             flat = np.insert(flat, np.cumsum(counts), len(names))
             names, counts = pa.concat_arrays([names, pa.array([b""], pa.binary())]), counts + 1
         # Frequent words get small codes, which pack well.
         order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         flat, names = rank[flat], names.take(pa.array(order))
+        del coded, rank
         lengths, body = _bytes_of(names)
         of = _shards_of(lengths, np.frombuffer(body, np.uint8), shards)
         places = np.bincount(flat[np.repeat(np.array(extras, bool), counts)], minlength=len(names)) if counted else None
@@ -159,7 +164,7 @@ def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
         number, ids, extras, counts, words, total, id_type = 0, [], [], [], [], 0, pa.int64()
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 found, n = split(pc.fill_null(part.column("text").cast(pa.string()), ""))
                 ids += part.column("doc_id").to_pylist()
                 extras += part.column("extra").to_pylist()
@@ -168,9 +173,11 @@ def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
                 total += len(found)
                 if total >= BLOCK_WORDS:
                     yield close(number, ids, extras, np.concatenate(counts), words, id_type)
+                    pa.default_memory_pool().release_unused()
                     number, ids, extras, counts, words, total = number + 1, [], [], [], [], 0
         if ids:
             yield close(number, ids, extras, np.concatenate(counts), words, id_type)
+        pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(cut, f"block long, shard int, doc_ids array<{kind}>, extras array<boolean>, payload binary")
 
