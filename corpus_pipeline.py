@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bytebpe, forest, linededup, mixing, quality
-from framewright.llm.store import stored
+from framewright.llm import bytebpe, forest, linededup, mixing, quality, store
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage made on the way, and its input, go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = set(store.given())
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = store.new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        store.clear(spark, keep={path} | before)
+        docs = spark.read.parquet(path)
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths given out by this process and not yet cleared.
+_given: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def given() -> list[str]:
+    return list(_given)
+
+
+def clear(spark: SparkSession, keep: Collection[str] = ()) -> None:
+    """Deletes the tables that this process has made, but for ``keep``. Frames that still read them fail then."""
+    for path in [p for p in _given if p not in keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _given.remove(path)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
