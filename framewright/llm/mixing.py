@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 RANK_BINS = 16384
+#: A document of so many words is half as short as an empty one.
+TYPICAL_WORDS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -39,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     water-filling: the sources that fill first come first in the order of capacity over weight.
     One row per source is left when the windows without partition run.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(_shortness() * F.col("size")).alias("short_words"))
     order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*map(F.lit, weights)), ((order - 1) % len(weights) + 1).cast("int")).cast("long")
     per = per.withColumn("weight", weight).withColumn("capacity", F.col("source_size") * max_copies)
@@ -61,7 +63,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     })
     share = (F.col("weight").cast("double") * F.col("rest_words").cast("double")) / F.col("rest_weights").cast("double")
     target = F.when(F.col("full"), F.col("capacity").cast("double")).otherwise(share)
-    return per.select("source", "source_size", "source_docs", "weight", target.alias("target"))
+    mean = F.when(F.col("source_size") > 0, F.col("short_words") / F.col("source_size")).otherwise(F.lit(0.0))
+    return per.select("source", "source_size", "weight", target.alias("target"), mean.alias("mean_shortness"))
 
 
 def _draw(doc_id: Column, text: Column) -> Column:
@@ -69,9 +72,8 @@ def _draw(doc_id: Column, text: Column) -> Column:
 
 
 def _shortness() -> Column:
-    """0 to 1000, the larger the shorter a document is against its source's mean. Whole, so that sums are exact."""
-    mean = F.col("source_size") / F.greatest(F.col("source_docs"), F.lit(1))
-    return F.coalesce(F.floor(F.try_divide(1000 * mean, mean + F.col("size"))), F.lit(0)).cast("long")
+    """1 to 1000, the larger the shorter a document is. Whole, so that sums are exact."""
+    return F.ceil(1000 * TYPICAL_WORDS / (TYPICAL_WORDS + F.col("size"))).cast("long")
 
 
 def _expected() -> Column:
@@ -101,15 +103,11 @@ def sampling_plan(sizes: DataFrame) -> DataFrame:
         plan = plan.withColumnRenamed("source", "plan_source")
         return sizes.join(plan, sizes["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
 
-    targets = stored(targets, "targets")
-    short = with_plan(targets).withColumn("shortness", _shortness()).groupBy("source").agg(F.sum(F.col("shortness") * F.col("size")).alias("s"))
-    mean = F.when(F.col("source_size") > 0, F.col("s") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets.join(short, tie(targets, short), "left").select(targets["*"], mean.alias("mean_shortness"))
-    plan = stored(plan, "expectations")
+    plan = stored(targets, "targets")
     ranked = _ranked(with_plan(plan).withColumn("shortness", _shortness()))
     certain = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("certain_words"))
     plan = plan.join(certain, tie(plan, certain), "left").select(plan["*"], (F.col("target") - F.coalesce("certain_words", F.lit(0))).alias("rest"))
-    plan = _with_cut(plan, with_plan, "", lambda rows: rows, F.lit(1.0))
+    plan = _with_cut(stored(plan, "rests"), with_plan, "", lambda rows: rows, F.lit(1.0))
     plan = plan.withColumn("gap", F.col("rest") - F.col("filled"))
     left = lambda rows: rows.filter(~_chosen("") & (F.col("size") <= F.col("gap")))
     return _with_cut(plan.drop("rest", "filled").withColumn("rest", F.col("gap")), with_plan, "2", left, F.lit(0.5))
@@ -127,7 +125,6 @@ def _with_cut(plan: DataFrame, with_plan, which: str, candidates, part: Column)
     A document fits if this ``part`` of it does. Whole bins come first; only the bin of the cut is ordered.
     """
     tie = lambda a, b: a["source"].eqNullSafe(b["source"])
-    plan = stored(plan, "expectations")
     ranked = lambda p: candidates(_ranked(with_plan(p).withColumn("shortness", _shortness()))).filter("bin is not null")
     along = Window.partitionBy("source").orderBy("bin")
     sums = ranked(plan).groupBy("source", "bin", "rest").agg(F.sum("size").alias("words")).withColumn("up_to", F.sum("words").over(along))
