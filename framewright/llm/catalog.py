@@ -27,7 +27,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bytebpe.read_ranks(public_tokenizers.path("word_bpe_49k.json"))
-    return huffman.round_trip(_documents(spark, sf_dir), tokenizer, end_id=2)
+    return huffman.round_trip(_documents(spark, sf_dir), tokenizer, end_id=2, added=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

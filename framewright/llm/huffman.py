@@ -10,6 +10,7 @@ documents in them.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -128,9 +129,10 @@ def decode_lanes(data: bytes, at: np.ndarray, counts: np.ndarray, table: tuple[n
     return out
 
 
-def _encode_shard(data):
+def _encode_shard(data, added: dict[str, int]):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(data.value)
+        known = {_word_of(i).encode(): [i] for i in added.values()}
         memo: dict[bytes, list[int]] = {}
         totals = np.zeros(1, np.int64)
         for batch in batches:
@@ -142,7 +144,7 @@ def _encode_shard(data):
                     memo.clear()
                     fresh = words
                 memo.update(zip(fresh, encode_words(tokenizer, [w.decode() for w in fresh]), strict=True))
-                ids = [memo[w] for w in words]
+                ids = [known.get(w) or memo[w] for w in words]
                 lengths = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum()))
                 if len(flat):
@@ -163,10 +165,51 @@ def tokenizer_of(data: bytes):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(data.decode())
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = True  # lower-cased words that look like added tokens are ordinary text
     return tokenizer
 
 
+def added_tokens(data: bytes) -> dict[str, int]:
+    """The strings that the tokenizer finds in a raw text, before it lower-cases the rest, and their ids."""
+    return {t.content: i for i, t in tokenizer_of(data).get_added_tokens_decoder().items()}
+
+
+def _word_of(added_id: int) -> str:
+    """Stands for an added token among lower-cased words, none of which has a capital of A-Z."""
+    return f"ID{added_id}"
+
+
+def splitter(added: dict[str, int]):
+    """As split_words, with each of these exact spellings in the raw text as a word of its own."""
+    if not added:
+        return split_words
+    pattern = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+
+    def cut(text: str) -> str:
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            out += [_split_marks(text[at : m.start()]), _word_of(added[m[0]])]
+            at = m.end()
+        return " ".join([*out, _split_marks(text[at:])])
+
+    def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        has = pc.match_substring_regex(texts, pattern.pattern)
+        words = _cut_marks(texts)
+        if pc.any(has).as_py():
+            words = pc.replace_with_mask(words, has, pa.array([cut(t) for t in texts.filter(has).to_pylist()], words.type))
+        return wb.blank_split(words)
+
+    return split
+
+
+def _cut_marks(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,])(\s|$)", r"\1 \2\3")
+
+
+def _split_marks(text: str) -> str:
+    return _cut_marks(pa.array([text]))[0].as_py()
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII blanks, across which this kind of tokenizer never joins.
 
@@ -174,7 +217,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     Latin-1 letter and a blank is taken off, where the tokenizer cuts anyway. (Other letters may end in a mark when
     lower-cased, which goes with what follows.)
     """
-    return wb.blank_split(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,])(\s|$)", r"\1 \2\3"))
+    return wb.blank_split(_cut_marks(texts))
 
 
 def encode_words(tokenizer, words: list[str], together: int = 128) -> list[list[int]]:
@@ -204,9 +247,12 @@ def part_starts(docs: DataFrame, doc_id: str, parts: int) -> np.ndarray:
     return np.array(sorted(r["first"] for r in found), np.int64)
 
 
-def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> None:
     """Encodes every whole text, appends ``end_id`` to each and writes a file set to ``path``.
 
+    With ``added``, the tokenizer's added tokens are found in the texts, as it does by default; without, their strings
+    are ordinary text.
+
     Words between blanks are encoded once for the whole table (see wordblocks); their counts and ids give the
     global counts of ids without another pass. A null text is an empty one: it has the end id alone. Ids are
     whole numbers; rows with a null one come last, equal ids one after another. Other columns aren't read.
@@ -214,8 +260,9 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id:
     spark: SparkSession = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = spark.sparkContext.broadcast(tokenizer)  # as large as the tokenizer file
-    blocks = stored(wb.word_blocks(docs, split_words, shards, doc_id, text, counted=True), "words")
-    answers = stored(wb.answered(blocks, shards, _encode_shard(data)), "word-ids")
+    found = added_tokens(tokenizer) if added else {}
+    blocks = stored(wb.word_blocks(docs, splitter(found), shards, doc_id, text, counted=True), "words")
+    answers = stored(wb.answered(blocks, shards, _encode_shard(data, found)), "word-ids")
     counted = answers.filter("block < 0").mapInArrow(_explode_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = {r["id"]: r["n"] for r in counted.collect()}  # at most the vocabulary
     n_docs = blocks.filter("shard < 0").select(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]
@@ -338,8 +385,8 @@ def ids_of(spark: SparkSession, path: str) -> DataFrame:
     return read_ids(spark, path, id_rows, "doc_id long, start long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, tokenizer: bytes, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: bytes, end_id: int, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Writes a file set to the shared folder and reads back doc_id, start, n_tokens, ids_crc32."""
     path = new_path(docs.sparkSession, "token-ids")
-    write_ids(docs, tokenizer, end_id, path, doc_id, text)
+    write_ids(docs, tokenizer, end_id, path, doc_id, text, added)
     return read_ids(docs.sparkSession, path, crc_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -289,6 +289,19 @@ def test_token_files(spark, sf, tmp_path):
     assert huffman.round_trip(empty(spark), data, 2).count() == 0
 
 
+def test_added_tokens_are_the_library_s(spark, monkeypatch):
+    from framewright.llm import catalog
+
+    texts = ["one <|endoftext|> two", "One.<|endoftext|>Two, <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>, <|endoftext|", "Id49407 ID49407 é<|startoftext|>\u0301x. y", "<|endoftext|>", "it<|endoftext|>'s", "plain Text.", None]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert ids[0] == [637, 49407, 1237, 2]
+    monkeypatch.setattr(catalog, "_documents", lambda *_: docs(spark, rows))
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in catalog.op4_huffman_ids(spark, "").collect()}
+    assert got == {i: (sum(map(len, ids[:i])), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 # --- Language model ---------------------------------------------------------------------------------------
 
 
