@@ -218,8 +218,8 @@ class Trie:
         self.levels = levels
         self._of = {k: EliasFano(levels, k) for k in ("contexts", "pairs", "pair_pointers", "befores", "base_pointers", "triples")}
 
-    def probabilities(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """Interpolated probabilities of w after u, v; ``single`` holds those of w alone."""
+    def probabilities(self, v: np.ndarray, u: np.ndarray | None, w: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Interpolated probabilities of w after u, v, or after v if ``u`` is None; ``single`` holds those of w alone."""
         get, ef = self.levels.get, self._of
         heads, back = np.unique(v, return_inverse=True)
         context = ef["contexts"].find(heads)[back]
@@ -234,6 +234,8 @@ class Trie:
         seen = np.zeros(len(known))
         seen[has] = probability(get("pair_p")[pair[has]])
         p[known] = seen + probability(get("context_b")[context]) * p[known]
+        if u is None:
+            return p
         befores, back = np.unique(context * self.words + u[known], return_inverse=True)
         before = ef["befores"].find(befores)[back]
         longer = np.flatnonzero(before >= 0)

@@ -8,6 +8,11 @@ Flow: distinct words of each block meet by word, get a number and their training
 block sums its base scores and sends every place (word before, middle word, word, document) to the shard of its
 middle word; a shard counts its training trigrams, builds the trie, maps its levels and scores all its places;
 blocks gather sums by document.
+
+A middle word of more than HOT_PLACES training places is cut a second time. Its counts (v, w) are summed over distinct
+rows of each block and the blocks get them back, so that its places travel with the probability of w after v and meet by
+(v, u), which is all that the next level needs. What follows a pair (u, v) that is as frequent is counted in the same way
+by (v, u, w); its places are scored where they stand.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from framewright.llm.store import stored
 FOLDS, HELD_OUT = 7, 2
 #: Places that a shard of the trie should see.
 SHARD_PLACES = 1_000_000
+#: Training places after one word, or after one pair of words, that a task may take; beyond, they are cut again.
+HOT_PLACES = 4_000_000
 #: Unigram log10 probabilities travel in steps of this.
 UNIGRAM_STEP = 1 / 24
 
@@ -36,8 +43,8 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return wb.blank_split(pc.ascii_lower(texts))
 
 
-def _number_words(shards: int):
-    """Answers each word with its number and its training count, and says each shard's totals."""
+def _number_words(shards: int, hot: int):
+    """Answers each word with its number and its training count, and says each shard's totals and words of over ``hot`` places."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -59,7 +66,45 @@ def _number_words(shards: int):
                 own = np.fromiter((number[w] for w in words), np.int64, n), np.fromiter((counts[w] for w in words), np.int64, n)
                 yield _row(block, shard, wb.pack(np.diff(codes, prepend=0), *own))
             values = np.fromiter(counts.values(), np.int64, len(counts))
-            yield _row(-1, shard, wb.pack(np.array([values.sum()]), np.array([(values > 0).sum()]), np.array([len(values) * shards + shard])))
+            yield _row(-1, shard, wb.pack(np.array([values.sum()]), np.array([(values > 0).sum()]), np.array([len(values) * shards + shard]), np.array([number[w] for w, n in counts.items() if n > hot], np.int64)))
+
+    return answer
+
+
+def _distinct(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+    """Distinct (v, u, w) in order, the sums of n, and each row's place among them. Ids are below ``base``."""
+    pairs, first = np.unique(v * base + u, return_inverse=True)
+    keys, back = np.unique(first * base + w, return_inverse=True)
+    of = pairs[keys // base]
+    return of // base, of % base, keys % base, np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64), back
+
+
+def _sum_counts(base: int, hot: int):
+    """Answers rows (v, u, w, n) with the sums of n. ``base - 1`` stands for no word: such rows with no w aren't answered.
+
+    Says (v, u, n, types) of what follows each v or (v, u), and of rows with no w those of over ``hot`` places, types 0.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), ([x.astype(np.int64) for x in wb.unpack(p.as_py())] for p in batch.column("payload")), strict=True)
+        if not rows:
+            return
+        v, u, w, n, back = _distinct(*(np.concatenate([r[2][i] for r in rows]) for i in range(4)), base)
+        at = 0
+        for block, shard, own in rows:
+            of = back[at : at + len(own[0])]
+            at += len(of)
+            of = of[own[2] < base - 1]
+            if len(of):
+                yield _row(block, shard, wb.pack(v[of], u[of], w[of], n[of]))
+        whole = w < base - 1
+        heads, of = np.unique((v * base + u)[whole], return_inverse=True)
+        totals = (np.bincount(of, weights=x, minlength=len(heads)).astype(np.int64) for x in (n[whole], n[whole] > 0))
+        frequent = ~whole & (n > hot)
+        more = v[frequent], u[frequent], n[frequent], np.zeros(int(frequent.sum()), np.int64)
+        yield _row(-1, -1, wb.pack(*(np.concatenate(x) for x in zip((heads // base, heads % base, *totals), more, strict=True))))
 
     return answer
 
@@ -73,6 +118,19 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _among(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``x`` in ascending keys, and which of them are there."""
+    at = np.searchsorted(keys, x)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == x[there]
+    return np.where(there, at, 0), there
+
+
+def _discounted(n: np.ndarray, total: np.ndarray, types: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    d, total = Trie.DISCOUNT, np.maximum(total, 1)
+    return np.maximum(n - d, 0) / total + np.where(types > 0, d * types / total, 1) * shorter
+
+
 def _shard_of(v: np.ndarray, shards: int) -> np.ndarray:
     return ((v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
@@ -90,17 +148,21 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~held_out).alias("train"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     blocks = stored(wb.word_blocks(slim, tokens, shards, extra="train", counted=True, end=True), "words")
-    answers = stored(wb.answered(blocks, shards, _number_words(shards)), "word-counts")
-    totals = [[int(x[0]) for x in wb.unpack(bytes(r["payload"]))] for r in answers.filter("block < 0").select("payload").collect()]  # a row per shard
-    train_tokens, vocabulary = sum(t[0] for t in totals), sum(t[1] for t in totals)
-    start = max((t[2] for t in totals), default=0) + 1  # the number of what stands before a text
-    every = blocks.filter("shard < 0").select(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
+    answers = stored(wb.answered(blocks, shards, _number_words(shards, HOT_PLACES)), "word-counts")
+    totals = [wb.unpack(bytes(r["payload"])) for r in answers.filter("block < 0").select("payload").collect()]  # a row per shard
+    train_tokens, vocabulary = sum(int(t[0][0]) for t in totals), sum(int(t[1][0]) for t in totals)
+    start = max((int(t[2][0]) for t in totals), default=0) + 1  # the number of what stands before a text
+    every, n_docs = blocks.filter("shard < 0").select(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)), F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()
+    # At most (tokens / HOT_PLACES) words.
+    hot = np.sort(np.concatenate([*(t[3].astype(np.int64) for t in totals), np.array([start] if n_docs > HOT_PLACES else [], np.int64)]))
+    none, base = start + 1, start + 2
     # About a byte and a half of packed codes a place.
     parts = max(shards, int(every / 1.5 / SHARD_PLACES) + 1)
     mass = np.log10(train_tokens + vocabulary + 1)
     fields = f"block long, shard long, doc_ids array<{kind}>, held array<boolean>, payload binary"
 
-    def places(block: wb.Block, payloads: list[bytes]) -> pa.Table:
+    def placed(block: wb.Block, payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Word, word before and word before that of each place; the training counts of the block's words."""
         numbers, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         got = [wb.unpack(p) for p in payloads]
         if got:
@@ -108,22 +170,94 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             numbers, counts = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
             numbers[codes], counts[codes] = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
         w, bounds = numbers[block.codes], block.bounds
-        logs = np.log10(counts + 1.0)
-        base = _sums(logs[block.codes], bounds) - np.diff(bounds) * mass
-        known = _sums((counts > 0)[block.codes], bounds).astype(np.int64)
-        single = np.round((mass - logs) / UNIGRAM_STEP).astype(np.int64)[block.codes]
         v = np.concatenate([[start], w[:-1]])
         v[bounds[:-1]] = start
         u = np.concatenate([[start], v[:-1]])
         u[bounds[:-1]] = start
+        return w, v, u, counts
+
+    def counted(pairs: np.ndarray | None) -> DataFrame:
+        """Counts of what follows the hot words and of what stands before them; with ``pairs``, of what follows these."""
+
+        def ask(block: wb.Block, payloads: list[bytes]) -> pa.Table:
+            w, v, u, _ = placed(block, payloads)
+            train = np.repeat(np.array(block.extra, bool), np.diff(block.bounds)).astype(np.int64)
+            some = np.flatnonzero(_among(hot, v)[1] if pairs is None else _among(pairs, v * base + u)[1])
+            v, u, w, train = v[some], u[some], w[some], train[some]
+            no = np.full(len(some), none)
+            rows = []
+            for own in [(v, no, w, train), (v, u, no, train)] if pairs is None else [(v, u, w, train)]:
+                *own, _ = _distinct(*own, base)
+                of = _shard_of(own[0] * 31 + own[1] * 7919 + own[2], parts)
+                order = np.argsort(of, kind="stable")
+                rows += [(int(of[x[0]]), wb.pack(*(y[x] for y in own))) for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(x)]
+            return pa.table({"block": pa.array([block.number] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+        asked = wb.met(blocks, answers.filter("block >= 0"), ask, "block long, shard int, payload binary")
+        return stored(wb.answered(asked, parts, _sum_counts(base, HOT_PLACES)), "hot-counts")
+
+    def said(counts: DataFrame) -> np.ndarray:
+        """v, u, n and types, summed over the shards: a row per hot word or pair and shard."""
+        rows = [wb.unpack(bytes(r["payload"])) for r in counts.filter("block < 0").select("payload").collect()]
+        return np.array([np.concatenate([np.zeros(0, np.int64), *(r[i].astype(np.int64) for r in rows)]) for i in range(4)])
+
+    def summed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, back = np.unique(x[0] * base + x[1], return_inverse=True)
+        return keys, *(np.bincount(back, weights=y, minlength=len(keys)).astype(np.int64) for y in x[2:])
+
+    after_hot, after_pairs, pairs, given = summed(np.zeros((4, 0), np.int64)), summed(np.zeros((4, 0), np.int64)), np.zeros(0, np.int64), answers.filter("block >= 0")
+    if len(hot):
+        counts_two = counted(None)
+        x = said(counts_two)
+        frequent = x[:, (x[1] != none)]
+        after_hot, pairs = summed(x[:, x[1] == none]), np.unique(frequent[0] * base + frequent[1])
+        given = given.unionByName(counts_two.filter("block >= 0"))
+        if len(pairs):
+            counts_three = counted(pairs)
+            after_pairs, given = summed(said(counts_three)), given.unionByName(counts_three.filter("block >= 0"))
+
+    def sure(v: np.ndarray, u: np.ndarray, w: np.ndarray, table: list[np.ndarray], after: tuple[np.ndarray, ...], shorter: np.ndarray) -> np.ndarray:
+        """Probabilities of w after contexts (v, u) whose counts the block has been given."""
+        contexts, at = np.unique(v * base + u, return_inverse=True)
+        of, there = _among(contexts, table[0] * base + table[1])
+        keys = of[there] * base + table[2][there]
+        order = np.argsort(keys)
+        found, has = _among(keys[order], at * base + w)
+        n = np.where(has, table[3][there][order][found], 0) if len(keys) else np.zeros(len(w), np.int64)
+        total, known = _among(after[0], contexts[at])
+        return np.where(known, _discounted(n, after[1][total], after[2][total], shorter), shorter) if len(after[0]) else shorter
+
+    def places(block: wb.Block, payloads: list[bytes]) -> pa.Table:
+        # The answers for words have three arrays, those for hot ones four.
+        w, v, u, counts = placed(block, [p for p in payloads if p[0] == 3])
+        bounds = block.bounds
+        logs = np.log10(counts + 1.0)
+        base_score = _sums(logs[block.codes], bounds) - np.diff(bounds) * mass
+        known = _sums((counts > 0)[block.codes], bounds).astype(np.int64)
+        single = np.round((mass - logs) / UNIGRAM_STEP).astype(np.int64)[block.codes]
+        of, local = _shard_of(v, parts), np.zeros(len(w))
+        own_hot = np.flatnonzero(_among(hot, v)[1])
+        if len(own_hot):
+            got = [wb.unpack(p) for p in payloads if p[0] == 4]
+            table = [np.concatenate([g[i].astype(np.int64) for g in got]) for i in range(4)]
+            two, x, y, z = table[1] == none, v[own_hot], u[own_hot], w[own_hot]
+            p = sure(x, np.full(len(x), none), z, [t[two] for t in table], after_hot, 10.0 ** (logs[block.codes[own_hot]] - mass))
+            single[own_hot] = np.maximum(np.round(-np.log10(p) / UNIGRAM_STEP), 0).astype(np.int64)
+            of[own_hot] = parts + _shard_of(x * 31 + y * 7919, parts)
+            here = _among(pairs, x * base + y)[1]
+            if here.any():
+                p = sure(x[here], y[here], z[here], [t[~two] for t in table], after_pairs, p[here])
+                local[own_hot[here]], of[own_hot[here]] = np.log10(np.minimum(p, 1.0)), -1
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        of = _shard_of(v, parts)
         order = np.argsort(of, kind="stable")
+        order = order[int((of < 0).sum()) :]
         train = np.array(block.extra, bool)
         ids = block.doc_ids
         number = block.number
-        rows = [(number, -1 - number, ids, pa.array(~train), wb.pack(np.diff(bounds), known) + base.tobytes())]
+        rows = [(number, -1 - number, ids, pa.array(~train), wb.pack(np.diff(bounds), known) + base_score.tobytes() + _sums(local, bounds).tobytes())]
         for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            if not len(part):
+                continue
             own = owner[part]
             rows.append((number, int(of[part[0]]), None, None, wb.pack(np.diff(own, prepend=0), v[part], u[part], w[part], single[part], train[own])))
         lists = lambda i, t: pa.array([r[i].to_pylist() if r[i] is not None else None for r in rows], pa.list_(t))
@@ -133,6 +267,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         if table.column("shard")[0].as_py() < 0:
             return table
         kind = np.int32 if start < 2**31 else np.int64
+        by_pair = table.column("shard")[0].as_py() >= parts  # contexts of the hot words, whose shorter ones are worked out
 
         def learned() -> list[np.ndarray]:
             parts: list[list[np.ndarray]] = [[], [], []]
@@ -142,13 +277,24 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     part.append(x[train > 0].astype(kind))
             return [np.concatenate(part) for part in parts]
 
-        trie = Trie(*learned(), start + 1)
+        if by_pair:
+            v, u, w = learned()
+            contexts, place = np.unique(v.astype(np.int64) * base + u, return_inverse=True)
+            trie = Trie(place, np.zeros(len(place), np.int64), w.astype(np.int64), max(start, len(contexts)) + 1)
+            del v, u, w, place
+        else:
+            trie = Trie(*learned(), start + 1)
         out = []
         # Rows are unpacked a second time: all of them at once would be larger than the trie.
         for payload in table.column("payload"):
             steps, v, u, w, single, _ = wb.unpack(payload.as_py())
             owner = np.cumsum(steps, dtype=np.int64)
-            p = trie.probabilities(v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), 10.0 ** (-UNIGRAM_STEP * single))
+            v, u, w, single = v.astype(np.int64), u.astype(np.int64), w.astype(np.int64), 10.0 ** (-UNIGRAM_STEP * single)
+            if by_pair:
+                at, there = _among(contexts, v * base + u)
+                p = trie.probabilities(np.where(there, at, len(contexts)), None, w, single)
+            else:
+                p = trie.probabilities(v, u, w, single)
             heads = np.flatnonzero(np.diff(owner, prepend=-1))
             sums = np.add.reduceat(np.log10(np.minimum(p, 1.0)), heads)
             out.append(wb.pack(np.diff(owner[heads], prepend=0)) + sums.astype("<f4").tobytes())
@@ -161,15 +307,15 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         own = table.column("payload")[at].as_py()
         ids = table.column("doc_ids")[at].values
         n, known = (x.astype(np.int64) for x in wb.unpack(own))
-        base = np.frombuffer(own[len(own) - 8 * len(ids) :], np.float64)
-        score = np.zeros(len(ids))
+        base_score, score = np.frombuffer(own[len(own) - 16 * len(ids) :], np.float64).reshape(2, -1)
+        score = score.copy()
         for i in np.argsort(shard, kind="stable").tolist():
             if i != at:
                 p = table.column("payload")[i].as_py()
                 owner = np.cumsum(wb.unpack(p)[0], dtype=np.int64)
                 score[owner] += np.frombuffer(p[len(p) - 4 * len(owner) :], "<f4")
-        return pa.table({"doc_id": ids, "held_out": table.column("held")[at].values, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(ids), train_tokens), "base_score": base, "score": score})
+        return pa.table({"doc_id": ids, "held_out": table.column("held")[at].values, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(ids), train_tokens), "base_score": base_score, "score": score})
 
-    sent = wb.met(blocks, answers.filter("block >= 0"), places, fields)
+    sent = wb.met(blocks, given, places, fields)
     done = sent.groupBy("shard").applyInArrow(score_shard, fields)
     return done.groupBy("block").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

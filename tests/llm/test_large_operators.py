@@ -343,6 +343,29 @@ def test_language_model(spark, sf):
     assert lone is None or (lone["train_tokens"] == 0 and math.isclose(lone["score"], 0.0, abs_tol=1e-6))
 
 
+@pytest.mark.parametrize("most", [3, 40])
+def test_hot_words_are_cut_again(spark, sf, monkeypatch, most):
+    rows = ODD + [(i, "the the the " * (i % 4) + f"of the w{i % 9} the of", "s") for i in range(100, 160)] + [(r["doc_id"] + 1000, r["text"], "s") for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    frame = docs(spark, rows)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["n_tokens"], r["base_score"])
+    want = sorted(ngramlm.scored(frame).collect(), key=key)
+    monkeypatch.setattr(ngramlm, "HOT_PLACES", most, raising=False)
+    met, sent = wb.met, []
+    monkeypatch.setattr(wb, "met", lambda *a: sent.append(met(*a)) or sent[-1])
+    got = sorted(ngramlm.scored(frame).collect(), key=key)
+    for a, b in zip(got, want, strict=True):
+        assert a[:6] == b[:6] and abs(a["score"] - b["score"]) < 0.05 * a["n_tokens"] + 0.01
+    # Training places that meet in a task: after one word, or in the second cut after one pair of words.
+    one, two = collections.Counter(), collections.Counter()
+    for r in sent[-1].filter("shard >= 0").collect():
+        _, v, u, _, _, train = wb.unpack(bytes(r["payload"]))
+        for x in zip([r["shard"]] * len(v), v[train > 0].tolist(), u[train > 0].tolist(), strict=False):
+            one[x[:2]] += 1
+            two[x] += 1
+    top = max(s for s, _ in one) // 2 + 1
+    assert all(n <= most for x, n in two.items()) and all(n <= most or s >= top for (s, _), n in one.items())
+
+
 # --- Pipeline ---------------------------------------------------------------------------------------------
 
 
