@@ -16,8 +16,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; n_chars follows the text."""
-    clean = linededup.drop_boilerplate(docs, F.col("source"))
+    """Lines on more than a tenth of a source's documents go, long ones on more than a thousandth; n_chars follows the text."""
+    clean = linededup.drop_boilerplate(docs, F.col("source"), long_ratio=linededup.LONG_RATIO)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 

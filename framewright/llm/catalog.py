@@ -53,12 +53,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(docs, F.col("source"), counts=True)
 
 
+def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    return linededup.drop_boilerplate(docs, F.col("source"), counts=True, long_ratio=linededup.LONG_RATIO)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bytebpe.digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op7_jaccard_join, op8_ngram_lm, op9_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op7_jaccard_join, op8_ngram_lm, op9_line_dedup, op9_line_dedup_long, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """
@@ -75,3 +80,8 @@ select doc_id, source, case when lines is null or text is null then text else ar
   (case when lines is null or text is null then 0 else len(ls) - len(ks) end)::bigint as n_dropped
 from k""",
 }
+
+#: As op9_line_dedup's, with the ratio of long lines.
+ORACLE_SQL["op9_line_dedup_long"] = ORACLE_SQL["op9_line_dedup"].replace(
+    "n.n > 0.1 * t.pages", r"n.n > (case when len(regexp_extract_all(n.line, '[^ \t\n\x0B\f\r]+')) > 50 then 0.001 else 0.1 end) * t.pages"
+)

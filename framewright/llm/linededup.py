@@ -3,8 +3,12 @@
 Pages are grouped by host. A line is boilerplate on a host if the pages that contain it, divided by all
 pages of the host, exceed a ratio. Such lines are dropped from the host's pages.
 
+A long line hardly stands on several pages of a host by chance, so with ``long_ratio`` lines of more than LONG_WORDS
+words have this smaller ratio, with the least number of pages as its floor. Copies spread over hosts aren't seen.
+
 Only 64-bit fingerprints of lines are counted. At most (mean lines of a page) / ratio lines of a host can
-exceed the ratio, so the list of them that joins a host's pages stays short however large the host is.
+exceed the ratio, so the list of them that joins a host's pages stays short however large the host is; with
+``long_ratio`` the same holds of long lines and it.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from framewright.llm.store import stored
 #: A line on more than this share of a host's pages is boilerplate, if on this many pages at least.
 RATIO = 0.1
 MIN_PAGES = 3
+#: A line of more words than this is long; its ratio where callers ask for it. Below 3,000 pages of a host the floor decides.
+LONG_WORDS, LONG_RATIO = 50, 0.001
 
 
 def host_of(url: Column) -> Column:
@@ -33,16 +39,26 @@ def _print(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _is_long(line: Column) -> Column:
+    """More than LONG_WORDS words between ASCII blanks."""
+    return F.regexp_count(line, F.lit(r"[^ \t\n\x0B\f\r]+")) > LONG_WORDS
+
+
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, long_ratio: float | None = None) -> DataFrame:
     """host, lines: the fingerprints of each host's boilerplate. A page counts once for a line."""
-    slim = pages.select(host.alias("host"), F.array_distinct(F.transform(_lines(text), _print)).alias("prints")).filter("host is not null")
+    entry = _print if long_ratio is None else lambda x: F.when(_print(x).isNotNull(), F.struct(_print(x).alias("print"), _is_long(x).alias("long")))
+    slim = pages.select(host.alias("host"), F.array_distinct(F.transform(_lines(text), entry)).alias("prints")).filter("host is not null")
     totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = slim.select("host", F.explode("prints").alias("print")).filter("print is not null").groupBy("host", "print").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    over = seen.join(totals, "host").filter(F.col("n") > ratio * F.col("pages"))
+    lines = slim.select("host", F.explode("prints").alias("print")).filter("print is not null")
+    least = F.lit(ratio)
+    if long_ratio is not None:
+        lines, least = lines.select("host", "print.print", "print.long"), F.when(F.col("long"), long_ratio).otherwise(ratio)
+    seen = lines.groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    over = seen.join(totals, "host").filter(F.col("n") > least * F.col("pages"))
     return over.groupBy("host").agg(F.collect_list("print").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, long_ratio: float | None = None) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text``; with ``counts`` also n_lines and n_dropped.
 
     Null texts stay null and have no lines; a page of nothing but boilerplate becomes empty and stays.
@@ -50,7 +66,7 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio:
     once for the ratio, and all its repeats go. Repeated rows are pages of their own. Other columns
     pass through, whatever their names.
     """
-    found = stored(boilerplate(pages, host, F.col(text), ratio, min_pages), "boilerplate")
+    found = stored(boilerplate(pages, host, F.col(text), ratio, min_pages, long_ratio), "boilerplate")
     packed = pages.select(F.struct(*pages.columns).alias("page"), host.alias("own_host"))
     rows = packed.join(found, packed["own_host"] == found["host"], "left").select("page", "lines")
     before = _lines(F.col(f"page.{text}"))

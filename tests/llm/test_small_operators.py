@@ -194,6 +194,16 @@ def test_line_dedup(spark):
     assert spark.range(1).select(linededup.host_of(F.lit("https://A.Example.org:80/x"))).first()[0] == "a.example.org"
 
 
+def test_long_lines_have_their_own_ratio(spark, sf):
+    import corpus_pipeline
+
+    long, short, twice = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 51), ("b", 50), ("c", 60)))
+    rows = [(i, f"own {i}" + (f"\n{long}\n{short}" if i % 20 == 0 else f"\n{twice}" if i % 50 == 1 else ""), "s") for i in range(100)]
+    for frame in (docs(spark, rows), docs(spark, rows).repartition(7)):
+        got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, frame, sf).collect()}
+        assert got == {i: t.replace(f"\n{long}", "") for i, t, _ in rows}
+
+
 def test_few_pages_have_no_boilerplate(spark):
     rows = [(1, "a", "s"), (2, "a", "s")]
     assert [r["text"] for r in linededup.drop_boilerplate(docs(spark, rows), F.col("source")).collect()] == ["a", "a"]
