@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.names import col, packed, quoted
 from framewright.llm.store import stored
 
 #: A line on more than this share of a host's pages is boilerplate, if on this many pages at least.
@@ -63,18 +64,19 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio:
 
     Null texts stay null and have no lines; a page of nothing but boilerplate becomes empty and stays.
     Pages without a host belong to no site and stay as they are. A line repeated on one page counts
-    once for the ratio, and all its repeats go. Repeated rows are pages of their own. Other columns
-    pass through, whatever their names.
+    once for the ratio, and all its repeats go. Repeated rows are pages of their own. A share of exactly the ratio stays.
+    A text of any length is one page, cut into lines where it stands. An empty table gives an empty result. Other columns
+    pass through, whatever their names, but with ``counts`` n_lines and n_dropped are added to them.
     """
-    found = stored(boilerplate(pages, host, F.col(text), ratio, min_pages, long_ratio), "boilerplate")
-    packed = pages.select(F.struct(*pages.columns).alias("page"), host.alias("own_host"))
-    rows = packed.join(found, packed["own_host"] == found["host"], "left").select("page", "lines")
-    before = _lines(F.col(f"page.{text}"))
+    found = stored(boilerplate(pages, host, col(text), ratio, min_pages, long_ratio), "boilerplate")
+    rows = pages.select(packed(pages).alias("page"), host.alias("own_host"))
+    rows = rows.join(found, rows["own_host"] == found["host"], "left").select("page", "lines")
+    field = lambda c: F.col(f"page.{quoted(c)}")
+    before = _lines(field(text))
     kept = F.filter(before, lambda x: ~F.coalesce(F.array_contains(F.col("lines"), _print(x)), F.lit(False)))
-    clean = F.when(F.col("lines").isNull(), F.col(f"page.{text}")).otherwise(F.array_join(kept, "\n"))
-    out = [clean.alias(c) if c == text else F.col(f"page.{c}").alias(c) for c in pages.columns]
+    clean = F.when(F.col("lines").isNull(), field(text)).otherwise(F.array_join(kept, "\n"))
+    out = [(clean if c == text else field(c)).alias(c) for c in pages.columns]
     if counts:
-        n = lambda lines: F.coalesce(F.size(lines), F.lit(0))
-        n_lines, n_kept = F.when(F.col(f"page.{text}").isNull(), 0).otherwise(n(before)), F.when(F.col(f"page.{text}").isNull(), 0).otherwise(n(kept))
-        out += [n_lines.cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(n_lines - n_kept).cast("long").alias("n_dropped")]
+        n = lambda lines: F.when(field(text).isNull(), 0).otherwise(F.coalesce(F.size(lines), F.lit(0)))
+        out += [n(before).cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(n(before) - n(kept)).cast("long").alias("n_dropped")]
     return rows.select(*out)
