@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
+from framewright.llm.names import col
 
 #: Bounds of the sample that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -57,14 +58,7 @@ def features_of(text: bytes) -> list[float]:
     pairs = len(set(zip(words, words[1:], strict=False))) / m
     lines = [x for x in text.split(b"\n") if x.strip()]
     k = max(1, len(lines))
-    # How many words stand again where they stood one period, of at most 64 words, before.
-    head = words[: min(8, m // 2)]
-    cycle = 0.0
-    if head:
-        for i in range(1, min(200, m - len(head) + 1)):
-            if words[i] == head[0] and words[i : i + len(head)] == head:
-                cycle = sum(map(bytes.__eq__, words, words[i:])) / m
-                break
+    cycle = _cycle(words)
     return [
         *shares, float(-(p * np.log2(p)).sum()), math.log1p(m), float(lengths.mean()), len(seen) / m ** 0.8, repeat,
         max(seen.values(), default=0) / m, sum(w[-1] in b"!?" for w in words) / m, sum(w[-1] in b".," for w in words) / m,
@@ -73,9 +67,31 @@ def features_of(text: bytes) -> list[float]:
     ]
 
 
+#: Words of a run that has to stand again for its distance to count.
+RUN = 4
+
+
+def _cycle(words: list[bytes]) -> float:
+    """Share of the words that stand again one period later; the period is the commonest distance between two equal runs of RUN words."""
+    n = len(words) - RUN + 1
+    if n < 2:
+        return 0.0
+    index: dict[bytes, int] = {}
+    codes = np.fromiter((index.setdefault(w, len(index)) for w in words), np.uint64, len(words))
+    runs = np.zeros(n, np.uint64)
+    for i in range(RUN):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + codes[i : n + i]
+    order = np.argsort(runs, kind="stable")
+    gaps = np.diff(order)[runs[order][1:] == runs[order][:-1]]
+    if not len(gaps):
+        return 0.0
+    period = int(np.bincount(gaps).argmax())
+    return int((codes[period:] == codes[:-period]).sum()) / len(words)
+
+
 def featured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, features (array of doubles); a null text is an empty one."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,21 +156,26 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
     A classifier of positive against unlabelled is fitted on one half of each; on the other half, for each
     threshold, the unlabelled's share above it over the positives' bounds the prior from above, up to noise
-    that is added as a confidence term; the least bound is the estimate.
+    that is added as a confidence term; the least bound is an estimate. The halves then change places, and the lower
+    of the two estimates is taken.
     """
+    return min(_bound(pos[::2], unl[::2], pos[1::2], unl[1::2]), _bound(pos[1::2], unl[1::2], pos[::2], unl[::2]))
+
+
+def _bound(pos: np.ndarray, unl: np.ndarray, pos_after: np.ndarray, unl_after: np.ndarray) -> float:
     layers = _start(pos.shape[1])
-    x = np.vstack([pos[::2], unl[::2]])
-    y = np.r_[np.ones(len(pos[::2])), np.zeros(len(unl[::2]))]
+    x = np.vstack([pos, unl])
+    y = np.r_[np.ones(len(pos)), np.zeros(len(unl))]
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
 
     def gradient(_t: int) -> list[np.ndarray]:
         hidden, z = _forward(layers, x)
         return _gradient(layers, x, hidden, weight * (_sigmoid(z) - y))
 
-    _adam(layers, EPOCHS // 2, gradient)
-    p, u = (np.sort(_forward(layers, a[1::2])[1]) for a in (pos, unl))
-    if not len(p) or not len(u):
+    if not len(pos) or not len(unl) or not len(pos_after) or not len(unl_after):
         return 0.5
+    _adam(layers, EPOCHS // 2, gradient)
+    p, u = (np.sort(_forward(layers, a)[1]) for a in (pos_after, unl_after))
     at = np.quantile(p, np.linspace(0, 0.95, 96))
     above = lambda a: 1 - np.searchsorted(a, at) / len(a)
     noise = np.sqrt(np.log(200) / (2 * len(u))) + np.sqrt(np.log(200) / (2 * len(p)))
@@ -163,6 +184,22 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(above(u)[best] / above(p)[best], 0.05, 0.98))
 
 
+def risk_of(layers: list[np.ndarray], pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """Non-negative unbiased risk, its part for the negatives (before it is cut at 0), and the gradient to step down along.
+
+    Where that part is below 0 the step climbs it back instead: the unlabelled are overfitted.
+    """
+    (hp, zp), (hu, zu) = _forward(layers, pos), _forward(layers, unl)
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    risk = float(prior * np.logaddexp(0, -zp).mean()) + max(0.0, negative)
+    if negative >= 0:
+        by_p, by_u = prior * (sp - 1) / len(zp) - prior * sp / len(zp), su / len(zu)
+    else:
+        by_p, by_u = prior * sp / len(zp), -su / len(zu)
+    return risk, negative, [a + b for a, b in zip(_gradient(layers, pos, hp, by_p), _gradient(layers, unl, hu, by_u), strict=True)]
+
+
 def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     """Non-negative PU risk with the logistic loss. Without positives or unlabelled, every score is one half."""
     width = len(FEATURES)
@@ -175,17 +212,10 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     best: list = [np.inf, None]
 
     def gradient(t: int) -> list[np.ndarray]:
-        (hp, zp), (hu, zu) = _forward(layers, pos), _forward(layers, unl)
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+        risk, _, by = risk_of(layers, pos, unl, prior)
         if t > EPOCHS // 2 and risk < best[0]:
             best[:] = [risk, [a.copy() for a in layers]]
-        if negative >= 0:
-            by_p, by_u = prior * (sp - 1) / len(zp) - prior * sp / len(zp), su / len(zu)
-        else:  # step back from overfitting: climb the negative part
-            by_p, by_u = prior * sp / len(zp), -su / len(zu)
-        return [a + b for a, b in zip(_gradient(layers, pos, hp, by_p), _gradient(layers, unl, hu, by_u), strict=True)]
+        return by
 
     _adam(layers, EPOCHS, gradient)
     return Model(mean, scale, best[1] or layers, prior)
@@ -194,28 +224,32 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits on rows outside the held-out fold: labelled good ones, and any, whose labels are not looked at.
 
-    Rows with null ids are in no fold and are not learned from. Repeated labels of an id count once.
+    Rows with null ids are in no fold and are not learned from. Repeated labels of an id count once; of repeated ids
+    the row of the least features is learned from. Without labels or rows every score is one half.
     """
     learn = fold(F.col("id")) != HELD_OUT
     good = labels.select(F.col("doc_id").alias("id"), "quality").filter(learn & (F.col("quality") == 1)).select("id").distinct()
-    some = docs.select(F.col(doc_id).alias("id")).filter(learn).distinct()
+    some = docs.select(col(doc_id).alias("id")).filter(learn).distinct()
     order = lambda seed: (F.xxhash64(F.lit(seed), "id"), F.col("id"))
     good = good.orderBy(*order(1)).limit(POSITIVES).withColumn("kind", F.lit(1))
     some = some.orderBy(*order(2)).limit(UNLABELLED).withColumn("kind", F.lit(0))
     picked = good.unionByName(some).groupBy("id").agg(F.collect_set("kind").alias("kinds"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     # At most POSITIVES + UNLABELLED ids: a proven bound.
     sample = rows.join(F.broadcast(picked), rows["doc_id"] == picked["id"], "left_semi")
-    found = featured(sample).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "features", "kinds").collect()
-    first = {}
-    for r in sorted(found, key=lambda r: (r["doc_id"], r["features"])):
-        first.setdefault(r["doc_id"], r)
-    of = lambda kind: np.array([r["features"] for r in first.values() if kind in r["kinds"]]).reshape(-1, len(FEATURES))
+    # One row an id, whatever its repeats, so what is collected has the same bound.
+    one = featured(sample).groupBy("doc_id").agg(F.min("features").alias("features"))
+    found = sorted(one.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "features", "kinds").collect(), key=lambda r: r["doc_id"])
+    of = lambda kind: np.array([r["features"] for r in found if kind in r["kinds"]]).reshape(-1, len(FEATURES))
     return fit(of(1), of(0))
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted. Null texts are empty ones; a row with a null id is not held out."""
+    """doc_id, held_out, score, predicted (1 from THRESHOLD on, a tie with it too).
+
+    Null texts are empty ones; a row with a null id is not held out. Texts of any length are read whole. Repeated rows
+    score alike; an empty table gives an empty result; other columns aren't read.
+    """
 
     @F.pandas_udf("double")
     def score(features):
@@ -229,15 +263,15 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with their columns. Null texts are empty ones."""
+    """The rows of ``docs`` that the model accepts, with their columns, whatever their names. Null texts are empty ones."""
     names = docs.columns
-    at = names.index(text)
+    own = f"c{names.index(text)}"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
-            for part in slices(batch, str(at)):
-                x = np.array([features_of(t.as_py() or b"") for t in part.column(at).cast(pa.binary())])
-                yield part.filter(pa.array(model.scores(x) >= THRESHOLD)).rename_columns(names)
+            for part in slices(batch, own):
+                x = np.array([features_of(t.as_py() or b"") for t in part.column(own).cast(pa.binary())])
+                yield part.filter(pa.array(model.scores(x) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return rows.mapInArrow(keep, rows.schema).toDF(*names)
