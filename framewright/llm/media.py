@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
+from framewright.llm.names import col
 from framewright.llm.store import stored
 
 #: Payloads are padded with this byte to a positive multiple of UNIT and laid out in rows of WIDTH samples.
@@ -31,7 +32,7 @@ _NETPBM = re.compile(rb"P([1-6])" + _TOKEN + rb"(\d{1,9})" + _TOKEN + rb"(\d{1,9
 
 def decode_netpbm(data: bytes) -> np.ndarray | None:
     """PBM, PGM and PPM, plain and raw; samples of more than 8 bits are scaled to 8. Null if malformed."""
-    found = _NETPBM.match(data[:4096])
+    found = _NETPBM.match(data)
     if not found:
         return None
     kind, w, h = int(found[1]), int(found[2]), int(found[3])
@@ -178,7 +179,7 @@ def tiles(df: DataFrame, content: str, tile: tuple[int, int] | None = None) -> D
         return pd.DataFrame(out, columns=["media_width", "media_height", "media_channels", "tile", "dhash"], dtype=object)
 
     own = "__media"
-    df = df.withColumn(own, decode(F.col(content)))
+    df = df.withColumn(own, decode(col(content)))
     return df.withColumns({c.split()[0]: F.col(f"{own}.{c.split()[0]}") for c in schema.split(", ")}).drop(own)
 
 
@@ -200,7 +201,7 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                     media.append(npy_bytes(image))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     return slim.mapInArrow(store, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
@@ -229,7 +230,8 @@ def media_column(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Stores every text as a tile in a Parquet table of the shared folder, reads it back and digests it.
 
     A null text is an empty one: one unit of padding. Rows with a null or repeated id are rows like any
-    other; equal texts give equal values. An empty table gives an empty result. Other columns aren't read.
+    other; equal texts give equal values. A long text is one image, of as many rows as it needs, held whole by its task.
+    An empty table gives an empty result. Other columns aren't read.
     """
     return media_digests(stored(text_media(docs, doc_id, text), "media"))
 
