@@ -19,12 +19,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
+from framewright.llm.names import col
 
 #: Phrases that alone give a label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label and template.
+# Label and template. Whole license texts first, with the regions that their publishers let vary, then notices.
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of <<var 8>> <<optional>>the software <</optional>>to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software "
+    "is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph <</optional>>shall be "
+    "included in all copies or substantial portions of the software"
+)
+_MIT_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose "
+    "and noninfringement in no event shall <<var 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+    "connection with the software or the use or other dealings in the software"
+)
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1 <</optional>>"
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2 <</optional>>redistributions in binary "
+    "form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = "<<optional>>3 <</optional>>neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_WARRANTY = (
+    "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a "
+    "particular purpose are disclaimed in no event shall <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+    "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+    "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_GNU_PROGRAM = "is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>{kind} <</optional>>general public license as published by the free software foundation either version {version} of the license or <<optional>>at your option <</optional>>any later version"
+
 TEMPLATES = (
+    ("mit", f"{_MIT_GRANT} {_MIT_WARRANTY}"),
+    ("isc", "permission to use copy modify and <<optional>>or <</optional>>distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", f"{_BSD_TERMS}<<optional>>{_BSD_NAMES}<</optional>>{_BSD_WARRANTY}"),
+    ("apache-2", "licensed under the apache license version 2 0 <<optional>>the license <</optional>>you may not use <<var 3>> except in compliance with the license you may obtain a copy of the license at <<optional>>http <</optional>><<optional>>https <</optional>>www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl-3", _GNU_PROGRAM.format(kind="affero", version="3")),
+    ("gpl-2", _GNU_PROGRAM.format(kind="affero", version="2")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<optional>>http <</optional>><<optional>>https <</optional>>mozilla org mpl 2 0"),
     ("mit", "<<optional>>this <<var 3>> is <</optional>>released under the <<optional>>terms of the <</optional>>mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<var 8>> to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license <<optional>>version <</optional>>2 <<optional>>0<</optional>>"),
@@ -38,7 +71,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under <<optional>>a <</optional>>cc by nc <<optional>>sa <</optional>><<var 1>> 0"),
     ("cc-by", "licensed under <<optional>>a <</optional>>cc by <<optional>>sa <</optional>>4 0"),
     ("cc-by", "licensed under <<optional>>a <</optional>>cc by <<optional>>sa <</optional>>3 0"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("all-rights-reserved", "all rights reserved <<optional>>worldwide<</optional>>"),
 )
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,8 +90,6 @@ class Automaton:
     steps: tuple[tuple[tuple[bytes | None, int], ...], ...]
     free: tuple[tuple[int, ...], ...]
     accept: int
-    #: The longest mandatory word: a text without it can't match.
-    key: bytes
     #: Words with which a match can begin.
     first: frozenset[bytes]
     #: Mandatory words up to each state, the most on a path.
@@ -90,7 +121,7 @@ def compile_template(label: str, template: str) -> Automaton:
     """Raises ValueError for unbalanced markup, or if a match could begin with any word or be empty."""
     steps: list[list[tuple[bytes | None, int]]] = [[]]
     free: list[list[int]] = [[]]
-    depth, opened, mandatory = [0], [], []
+    depth, opened = [0], []
 
     def new(at: int, more: int) -> int:
         steps.append([])
@@ -103,8 +134,6 @@ def compile_template(label: str, template: str) -> Automaton:
         if word:
             nxt = new(at, not opened)
             steps[at].append((word.encode(), nxt))
-            if not opened:
-                mandatory.append(word.encode())
             at = nxt
         elif mark == "optional":
             opened.append(at)
@@ -125,14 +154,14 @@ def compile_template(label: str, template: str) -> Automaton:
                 at = nxt
             free[at].append(end)
             at = end
-    if opened or not mandatory:
+    if opened or not depth[at]:
         raise ValueError(f"{label}: optional region not closed, or nothing mandatory")
-    draft = Automaton(label, tuple(map(tuple, steps)), tuple(map(tuple, free)), at, max(mandatory, key=len), frozenset(), tuple(depth))
+    draft = Automaton(label, tuple(map(tuple, steps)), tuple(map(tuple, free)), at, frozenset(), tuple(depth))
     begins = draft.closure({0})
     first = {w for s in begins for w, _ in steps[s]}
     if None in first or at in begins:
         raise ValueError(f"{label}: a match must begin with a word of the template")
-    return Automaton(label, draft.steps, draft.free, at, draft.key, frozenset(first), draft.depth)
+    return Automaton(label, draft.steps, draft.free, at, frozenset(first), draft.depth)
 
 
 def compile_all(templates=TEMPLATES) -> list[Automaton]:
@@ -142,19 +171,16 @@ def compile_all(templates=TEMPLATES) -> list[Automaton]:
 def spans(words: list[bytes], automata: list[Automaton]) -> tuple[list[tuple[str, int, int]], float]:
     """Accepted stretches (label, first word, end) and the best share of a template's mandatory words."""
     found, best = [], 0.0
-    present = set(words) if words else set()
-    live = [a for a in automata if a.key in present]
-    if not live:
-        return found, best
-    wanted = frozenset().union(*(a.first for a in live))
+    begins: dict[bytes, list[Automaton]] = {}
+    for a in automata:
+        for w in a.first:
+            begins.setdefault(w, []).append(a)
     for i, w in enumerate(words):
-        if w in wanted:
-            for a in live:
-                if w in a.first:
-                    end, share = a.run(words, i)
-                    best = max(best, share)
-                    if end is not None:
-                        found.append((a.label, i, end))
+        for a in begins.get(w, ()):
+            end, share = a.run(words, i)
+            best = max(best, share)
+            if end is not None:
+                found.append((a.label, i, end))
     return found, best
 
 
@@ -170,7 +196,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
 
     doc_id, n_words, n_base (places of phrases), first_word and last_word (smallest and largest start of a
     phrase, from 0), base_labels, labels (with the templates'), score, spans (label, start, end of accepted
-    stretches). Score: 1 with a label, else the best share of a template's mandatory words found in order.
+    stretches). Score: 1 with a label, else the largest share of a template's mandatory words that a stretch covers, from
+    a word with which the template can begin to where it departs from it. A text of any length is read whole. Labels
+    found twice stand once; of two stretches from one word the longer counts.
     A null text is an empty one: no words, no labels (empty strings), score 0. Repeated rows and null ids are
     rows like any other; an empty table gives an empty result; other columns aren't read.
     """
@@ -179,7 +207,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(span))
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
