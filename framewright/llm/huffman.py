@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import wordblocks as wb
 from framewright.llm.bytebpe import pieces
+from framewright.llm.names import col
 from framewright.llm.store import new_path, stored
 
 #: The longest code, unless there are more symbols than it can tell apart; tokens of a block, at least; tokens of a lane.
@@ -242,7 +243,7 @@ def _explode_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def part_starts(docs: DataFrame, doc_id: str, parts: int) -> np.ndarray:
     """The first ids of about ``parts`` ranges of ids with as many rows; only ids are shuffled."""
-    ids = docs.select(F.col(doc_id).alias("doc_id")).filter("doc_id is not null").repartitionByRange(parts, "doc_id")
+    ids = docs.select(col(doc_id).alias("doc_id")).filter("doc_id is not null").repartitionByRange(parts, "doc_id")
     found = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first")).collect()
     return np.array(sorted(r["first"] for r in found), np.int64)
 

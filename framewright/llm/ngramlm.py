@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import wordblocks as wb
 from framewright.llm.eliasfano import Trie
+from framewright.llm.names import col
 from framewright.llm.store import stored
 
 FOLDS, HELD_OUT = 7, 2
@@ -44,29 +45,39 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _number_words(shards: int, hot: int):
-    """Answers each word with its number and its training count, and says each shard's totals and words of over ``hot`` places."""
+    """Answers each word with its number and its training count, and says each shard's totals and words of over ``hot`` places.
+
+    One shard at a time is held: its words once, its rows packed.
+    """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        held: list[tuple[int, bytes]] = []
+        own = None
         for batch in batches:
             for block, shard, p in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                held.setdefault(shard, []).append((block, p))
-        for shard, rows in held.items():
-            counts.clear()
-            for _, p in rows:
-                _, words, (places,) = wb.unpack_words(p)
-                for w, n in zip(words, places.tolist(), strict=True):
-                    counts[w] = counts.get(w, 0) + n
-            # Frequent words get small numbers, which pack well; ties by the word.
-            number = {w: i * shards + shard for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
-            for block, p in rows:
-                codes, words, _ = wb.unpack_words(p)
-                n = len(words)
-                own = np.fromiter((number[w] for w in words), np.int64, n), np.fromiter((counts[w] for w in words), np.int64, n)
-                yield _row(block, shard, wb.pack(np.diff(codes, prepend=0), *own))
-            values = np.fromiter(counts.values(), np.int64, len(counts))
-            yield _row(-1, shard, wb.pack(np.array([values.sum()]), np.array([(values > 0).sum()]), np.array([len(values) * shards + shard]), np.array([number[w] for w, n in counts.items() if n > hot], np.int64)))
+                if held and shard != own:
+                    yield from one(own, held)
+                    held = []
+                own = shard
+                held.append((block, p))
+        if held:
+            yield from one(own, held)
+
+    def one(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, int] = {}
+        for _, p in rows:
+            _, words, (places,) = wb.unpack_words(p)
+            for w, n in zip(words, places.tolist(), strict=True):
+                counts[w] = counts.get(w, 0) + n
+        # Frequent words get small numbers, which pack well; ties by the word.
+        number = {w: i * shards + shard for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
+        for block, p in rows:
+            codes, words, _ = wb.unpack_words(p)
+            n = len(words)
+            own = np.fromiter((number[w] for w in words), np.int64, n), np.fromiter((counts[w] for w in words), np.int64, n)
+            yield _row(block, shard, wb.pack(np.diff(codes, prepend=0), *own))
+        values = np.fromiter(counts.values(), np.int64, len(counts))
+        yield _row(-1, shard, wb.pack(np.array([values.sum()]), np.array([(values > 0).sum()]), np.array([len(values) * shards + shard]), np.array([number[w] for w, n in counts.items() if n > hot], np.int64)))
 
     return answer
 
@@ -139,13 +150,14 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32 of the id's text modulo FOLDS is not HELD_OUT; a null id is in no fold and
-    is learned from. A null text is an empty one, of one end. Repeated rows count as often as they stand. An empty
-    table gives an empty result; without training rows the model is the uniform one. Other columns aren't read.
+    is learned from. A null text is an empty one, of one end. Repeated rows count as often as they stand. A long text is
+    one document of one block, scored whole. An empty table gives an empty result; without training rows the model is the
+    uniform one. Other columns aren't read.
     """
     spark: SparkSession = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held_out = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (~held_out).alias("train"))
+    held_out = F.coalesce(F.pmod(F.crc32(col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), (~held_out).alias("train"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     blocks = stored(wb.word_blocks(slim, tokens, shards, extra="train", counted=True, end=True), "words")
     answers = stored(wb.answered(blocks, shards, _number_words(shards, HOT_PLACES)), "word-counts")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
+from framewright.llm.names import col
 
 #: A block is closed after a slice of documents that takes it to this many words.
 BLOCK_WORDS = 4_000_000
@@ -123,7 +124,7 @@ def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
     document. With ``counted``, words carry the number of their places in the block's documents whose ``extra`` is true.
     ``level`` is the compression of codes and words.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(extra) if extra else F.lit(True)).alias("extra"))
+    slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), (col(extra) if extra else F.lit(True)).alias("extra"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def close(number: int, ids: list, extras: list, counts: np.ndarray, words: list[pa.Array], id_type: pa.DataType) -> pa.RecordBatch:
@@ -195,8 +196,8 @@ def blank_split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def answered(blocks: DataFrame, shards: int, answer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Deals the word rows out by shard and lets ``answer`` give rows of the same columns back."""
-    asked = blocks.filter("shard >= 0").select("block", "shard", "payload").repartition(shards, "shard")
+    """Deals the word rows out by shard, a shard's rows one after another, and lets ``answer`` give rows of the same columns back."""
+    asked = blocks.filter("shard >= 0").select("block", "shard", "payload").repartition(shards, "shard").sortWithinPartitions("shard")
     return asked.mapInArrow(answer, "block long, shard int, payload binary")
 
 
