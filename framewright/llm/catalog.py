@@ -58,12 +58,33 @@ def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(docs, F.col("source"), counts=True, long_ratio=linededup.LONG_RATIO)
 
 
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of web pages, between their tags, by the host of the page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    return linededup.drop_boilerplate(pages, linededup.host_of(F.col("url")), counts=True)
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_mixing."""
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3_media."""
+    return op3_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6_license_scan."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bytebpe.digests(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op7_jaccard_join, op8_ngram_lm, op9_line_dedup, op9_line_dedup_long, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_mixing, op3_media, op4_huffman_ids, op5_quality, op6_license_scan, op7_jaccard_join, op8_ngram_lm, op9_line_dedup, op9_line_dedup_long, op10_byte_bpe, line_dedup_pages, mixing_targets, media_payloads, license_phrases)}
 
 ORACLE_SQL = {
     "op9_line_dedup": """
@@ -85,3 +106,41 @@ from k""",
 ORACLE_SQL["op9_line_dedup_long"] = ORACLE_SQL["op9_line_dedup"].replace(
     "n.n > 0.1 * t.pages", r"n.n > (case when len(regexp_extract_all(n.line, '[^ \t\n\x0B\f\r]+')) > 50 then 0.001 else 0.1 end) * t.pages"
 )
+
+ORACLE_SQL["line_dedup_pages"] = """
+with l as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as host, regexp_replace(html, '<[^>]*>', chr(10), 'g') as text from pages),
+s as (select page_id, url, nullif(host, '') as host, text, string_split(text, chr(10)) as ls from l),
+t as (select host, count(*) as pages from s where host is not null group by host),
+x as (select distinct page_id, host, trim(u.line, ' ') as line from s, unnest(s.ls) as u(line) where host is not null),
+n as (select host, line, count(*) as n from x where line <> '' group by host, line having count(*) >= 3),
+b as (select n.host, list(n.line) as lines from n join t using (host) where n.n > 0.1 * t.pages group by n.host),
+k as (select s.page_id, s.url, s.text, s.ls, b.lines, list_filter(s.ls, lambda z: not coalesce(list_contains(b.lines, trim(z, ' ')), false)) as ks from s left join b on s.host = b.host)
+select page_id, url, case when lines is null or text is null then text else array_to_string(ks, chr(10)) end as text, coalesce(len(ls), 0)::bigint as n_lines,
+  (case when lines is null or text is null then 0 else len(ls) - len(ks) end)::bigint as n_dropped
+from k"""
+
+#: Targets are filled like vessels: sources in the order of capacity by weight are full as long as the rest's even share is no less.
+ORACLE_SQL["mixing_targets"] = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+p as (select source, sum(size)::bigint as source_size, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from d group by source),
+q as (select *, 3 * source_size as capacity, sum(source_size) over () as words, sum(weight) over () as weights,
+  coalesce(sum(3 * source_size) over o, 0) as full_words, coalesce(sum(weight) over o, 0) as full_weights
+  from p window o as (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+f as (select *, capacity::hugeint * (weights - full_weights) <= (words - full_words)::hugeint * weight as is_full from q),
+r as (select *, words - sum(case when is_full then capacity else 0 end) over () as rest_words, weights - sum(case when is_full then weight else 0 end) over () as rest_weights from f)
+select d.doc_id, d.size, r.source_size, case when is_full then capacity::double else weight::double * rest_words::double / rest_weights::double end as target
+from d join r on d.source is not distinct from r.source"""
+
+ORACLE_SQL["media_payloads"] = r"""
+with b as (select doc_id, encode(coalesce(text, '')) as raw from documents),
+n as (select doc_id, raw, octet_length(raw)::bigint as n, greatest(1, (octet_length(raw) + 575) // 576) * 576 as full_size from b)
+select doc_id, n as n_bytes, full_size::bigint as payload_bytes, sha256(raw || repeat('\xFF'::blob, (full_size - n)::bigint)) as payload_sha256 from n"""
+
+ORACLE_SQL["license_phrases"] = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+p as (select doc_id, ws, list_filter(range(len(ws)), lambda i: ws[i + 1:i + 4] = ['under', 'the', 'mit', 'license']) as m,
+  list_filter(range(len(ws)), lambda i: ws[i + 1:i + 4] = ['apache', 'license', 'version', '2']) as a,
+  list_filter(range(len(ws)), lambda i: ws[i + 1:i + 3] = ['cc', 'by', 'nc']) as c from w)
+select doc_id, len(ws)::bigint as n_words, (len(m) + len(a) + len(c))::bigint as n_base, list_min(m || a || c)::bigint as first_word, list_max(m || a || c)::bigint as last_word,
+  array_to_string(list_filter([case when len(a) > 0 then 'apache-2' end, case when len(c) > 0 then 'cc-by-nc' end, case when len(m) > 0 then 'mit' end], lambda x: x is not null), ',') as base_labels
+from p"""
