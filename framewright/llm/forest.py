@@ -2,14 +2,14 @@
 
 A document is the set of its word 5-shingles (words stand between blanks; a text of fewer words is one shingle).
 Its MinHash signature is cut into TREES labels of DEPTH values; each tree is a prefix trie over the labels, and two
-documents match in a tree to a depth if their labels share that long a prefix. A trie node of depth d is the group
-of documents with one prefix, held together by a sort.
+documents match in a tree to a depth if their labels share that long a prefix. All tries are one sorted table of
+labels: a node of depth d is a run of labels with one prefix, and a label that shares none with its neighbours leaves.
 
-Matching starts at the full depth. In the nodes, members' signatures are compared, which gives the similarities of
-the pairs found; a pair of similarity s is found at depth d with probability 1 - (1 - s^d)^TREES, so the pairs
-found tell how many there are. While found / estimated is below the target recall, prefixes are shortened by one.
-Pairs whose signatures come near the threshold link documents into clusters. In a cluster every two documents'
-whole shingle sets are compared exactly.
+A pair of similarity s matches to depth d with probability 1 - (1 - s^d)^TREES. Prefixes are shortened from the whole
+label until a pair right at the threshold matches with the target recall, whatever else the table holds. They are
+shortened by one more wherever the node stays small, tree by tree: that costs little and finds more. In a node, members
+whose signatures come near the threshold link into clusters. In a cluster every two documents' whole shingle sets are
+compared exactly, unless their numbers of shingles alone rule a link out.
 
 Equal texts count as one with a weight. Nodes and clusters are compared in bounded blocks (see groups), from which
 a row per member leaves, not a row per pair.
@@ -17,25 +17,28 @@ a row per member leaves, not a row per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
 from framewright.llm.components import components
-from framewright.llm.groups import compare_blocks, in_blocks, roots_of
+from framewright.llm.groups import chunk_of, compare_blocks, near_edges, neighbours, paired, roots_of
+from framewright.llm.names import col, packed, unpacked
 from framewright.llm.store import stored
 
 #: Words of a shingle; pairs of this Jaccard similarity or more are links; share of them that has to be found.
 WORDS, JACCARD, RECALL = 5, 0.8, 0.9995
-TREES, DEPTH, LEAST_DEPTH = 24, 6, 3
-#: A signature's estimate has a standard deviation of sqrt(J (1 - J) / (TREES * DEPTH)), 0.033 at 0.8; this is 4 of them.
-MARGIN = 0.134
-SIMILARITY_BINS = 50
+TREES, DEPTH = 24, 6
+#: A signature's estimate has a standard deviation of sqrt(J (1 - J) / (TREES * DEPTH)); pairs so many below the threshold are looked at.
+DEVIATIONS = 4
+#: Nodes of so many members are taken with a shorter prefix than the recall needs.
+SMALL_NODE = 64
 #: Documents of a chunk in a cluster: the larger, the more shingle sets a task holds.
 CLUSTER_CHUNK = 128
 #: Up to so many ids (8 bytes each) are sent to every executor to pick rows; beyond, the join shuffles.
@@ -98,7 +101,7 @@ def signatures(hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h1 and h2 (a 128-bit hash of the text), signature (null without shingles)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2"), F.col(text).alias("text"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(text)).alias("h1"), F.xxhash64(F.lit(1), col(text)).alias("h2"), col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -116,74 +119,39 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(sign, "doc_id long, h1 long, h2 long, signature binary")
 
 
-def _match(table: pa.Table, bounds: np.ndarray, depth: int, least: float) -> pa.Table:
-    """In nodes of a depth: each member's least id over near signatures, and the similarities of new pairs."""
-    rep, side, tree = (table.column(c).to_numpy() for c in ("rep", "side", "tree"))
-    sig = np.frombuffer(b"".join(x.as_py() for x in table.column("signature")), np.uint16).reshape(len(rep), TREES, DEPTH)
-    roots, seen = rep.copy(), np.zeros(SIMILARITY_BINS + 1, np.int64)
-
-    def count(i: np.ndarray, j: np.ndarray, similar: np.ndarray, t: np.ndarray) -> None:
-        """Counts pairs that share no prefix of an earlier tree."""
-        for s in range(0, len(i), 16384):
-            equal = (sig[i[s : s + 16384], :, :depth] == sig[j[s : s + 16384], :, :depth]).all(axis=2)
-            new = np.argmax(equal, axis=1) == t[s : s + 16384]
-            np.add.at(seen, (similar[s : s + 16384][new] * SIMILARITY_BINS + 1e-9).astype(np.int64), 1)
-
-    n = np.diff(bounds)
-    two = bounds[:-1][(n == 2)]
-    if len(two):
-        similar = (sig[two] == sig[two + 1]).mean(axis=(1, 2))
-        ok = (similar >= least) & ((side[two] == 0) | (side[two] != side[two + 1]))
-        near = two[ok]
-        roots[near] = roots[near + 1] = np.minimum(rep[near], rep[near + 1])
-        sure = ok & (similar >= JACCARD)
-        count(two[sure], two[sure] + 1, similar[sure], tree[two[sure]])
-    for a, b in zip(bounds[:-1][n > 2].tolist(), bounds[1:][n > 2].tolist(), strict=True):
-        own = sig[a:b].reshape(b - a, -1)
-        similar = np.empty((b - a, b - a), np.float32)
-        for i in range(0, b - a, 64):
-            similar[i : i + 64] = (own[i : i + 64, None, :] == own[None, :, :]).mean(axis=2, dtype=np.float32)
-        linked = similar >= least
-        np.fill_diagonal(linked, False)
-        if side[a:b].any():
-            linked &= side[a:b, None] != side[None, a:b]
-        if linked.any():
-            roots[a:b] = roots_of(rep[a:b], linked)
-            i, j = np.nonzero(np.triu(linked & (similar >= JACCARD)))
-            count(i + a, j + a, similar[i, j], np.full(len(i), tree[a]))
-    some = roots != rep
-    bins = np.flatnonzero(seen)
-    return pa.table({
-        "a": pa.concat_arrays([pa.array(rep[some]), pa.array(bins.astype(np.int64))]),
-        "b": pa.concat_arrays([pa.array(roots[some]), pa.nulls(len(bins), pa.int64())]),
-        "n": pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(seen[bins])]),
-    })
-
-
 def found_at(similarity: float, depth: int) -> float:
     """Probability that a pair matches to this depth in some tree."""
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def candidate_edges(reps: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> tuple[DataFrame, int, float]:
-    """Edges (a, b) over reps (rep, signature) that hold near pairs together; the depth reached; the estimated recall."""
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        # A tree's label is DEPTH values of 2 bytes; its node of a depth is known by the label's prefix.
-        nodes = [F.xxhash64(F.lit(t), F.expr(f"substring(signature, {2 * DEPTH * t + 1}, {2 * depth})")) for t in range(TREES)]
-        entries = reps.select("rep", F.posexplode(F.array(*nodes)).alias("tree", "node"))
-        shared = entries.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed("node", "shared")
-        members = entries.join(shared, F.col("node") == F.col("shared")).select("rep", "tree", "node", "size")
-        members = members.join(reps.select(F.col("rep").alias("id"), "signature"), F.col("rep") == F.col("id"))
-        blocks = in_blocks(members.select("rep", "tree", "node", "size", "signature"), "node", "size", F.col("rep")).drop("node", "size")
-        found = stored(compare_blocks(blocks, lambda t, b, d=depth: _match(t, b, d, jaccard - MARGIN), "a long, b long, n long"), "matches")
-        seen = {r["a"]: r["n"] for r in found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n")).collect()}  # SIMILARITY_BINS rows
-        pairs = sum(seen.values())
-        # The lower end of each bin, and the threshold at least, is the cautious reading.
-        total = sum(n / found_at(max(jaccard, b / SIMILARITY_BINS), depth) for b, n in seen.items())
-        reached = pairs / total if total else found_at(jaccard, depth)
-        if reached >= recall or depth == LEAST_DEPTH:
-            return found.filter("n is null").select("a", "b"), depth, reached
-    raise AssertionError("unreachable")
+def prefix_depth(jaccard: float = JACCARD, recall: float = RECALL) -> int:
+    """How long prefixes may be for pairs right at ``jaccard`` to match with probability ``recall``: shortened from the whole label."""
+    for depth in range(DEPTH, 0, -1):
+        if found_at(jaccard, depth) >= recall:
+            return depth
+    raise ValueError(f"{TREES} trees can't reach a recall of {recall} at a similarity of {jaccard}")
+
+
+def least_estimate(jaccard: float) -> float:
+    """Signatures that agree in this share may belong to a pair of ``jaccard``: DEVIATIONS standard deviations below it."""
+    return max(0.0, jaccard - DEVIATIONS * math.sqrt(jaccard * (1 - jaccard) / (TREES * DEPTH)))
+
+
+def candidate_edges(reps: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b) over reps (rep, signature) that hold near pairs together."""
+    depth = prefix_depth(jaccard, recall)
+    short = max(1, depth - 1)
+    # A label is the tree's number and DEPTH values of 2 bytes: sorted, the labels are the tries one after another.
+    labels = [F.concat(F.lit(bytes([t])), F.expr(f"substring(signature, {2 * DEPTH * t + 1}, {2 * DEPTH})")) for t in range(TREES)]
+    entries = reps.select("rep", F.explode(F.array(*labels)).alias("label"))
+    prefix = lambda d: F.xxhash64(F.substring("label", 1, 1 + 2 * d))
+    matched = neighbours(entries, "label", "rep", 1 + 2 * short).select("rep", prefix(short).alias("short"), prefix(depth).alias("long"))
+    matched = stored(matched, "prefixes")
+    sizes = matched.groupBy("short").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("short", "of")
+    members = matched.join(sizes, F.col("short") == F.col("of")).select("rep", F.when(F.col("n") <= SMALL_NODE, F.col("short")).otherwise(F.col("long")).alias("node"))
+    least = math.ceil(least_estimate(jaccard) * TREES * DEPTH - 1e-9)
+    near = lambda x, y: np.count_nonzero(x == y, axis=-1) >= least
+    return near_edges(members, reps.select(F.col("rep").alias("id"), F.col("signature").alias("code")), near, np.uint16, TREES * DEPTH)
 
 
 def _verify(table: pa.Table, bounds: np.ndarray, jaccard: float) -> pa.Table:
@@ -229,7 +197,7 @@ def _common(sets: list[np.ndarray], sizes: np.ndarray, columns: int = 16384) ->
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """rep, shingles (sorted, distinct, 8 bytes each) of rows (rep, text, ...); the other columns pass."""
+    """rep, shingles (sorted, distinct, 8 bytes each), n (their number) of rows (rep, text, ...); the other columns pass."""
     others = [f for f in docs.schema.fields if f.name != "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,52 +206,100 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             for part in slices(batch, "text", 2 << 20):
                 hashed, bounds = shingles([t.as_py() for t in part.column("text").cast(pa.binary())], hashes, words)
                 sets = [np.unique(hashed[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(sets, pa.binary())], names=[*(f.name for f in others), "shingles"])
+                n = pa.array([len(x) // 8 for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(sets, pa.binary()), n], names=[*(f.name for f in others), "shingles", "n"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", shingles binary"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", shingles binary, n long"
     return docs.mapInArrow(cut, schema)
 
 
+def _cluster_blocks(sets: DataFrame, jaccard: float) -> DataFrame:
+    """Rows (rep, copies, component, size, shingles, n) in blocks.
+
+    The members of a cluster of more than a chunk stand in bands by their number of shingles, each 1 / jaccard times as
+    wide as the one before: a link never leaves a band for another than the next, so only these are compared.
+    """
+    step = -math.log(jaccard) + 1e-9 if jaccard < 1 else 1e-9
+    rows = sets.withColumn("band", F.when(F.col("size") > CLUSTER_CHUNK, F.floor(F.log("n") / step)).otherwise(F.lit(0)).cast("long"))
+    along = Window.partitionBy("c").orderBy("b")
+    held = rows.groupBy(F.col("component").alias("c"), F.col("band").alias("b")).agg(F.ceil(F.count(F.lit(1)) / CLUSTER_CHUNK).cast("long").alias("chunks"))
+    beside = lambda f, by: F.when(f("b", 1).over(along) == F.col("b") + by, f("chunks", 1).over(along)).otherwise(F.lit(0).cast("long"))
+    held = held.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)})
+    # Chunk i of a band is number band * 2^32 + i.
+    first = lambda band: F.shiftleft(band, 32)
+    some = lambda band, n: F.when(n > 0, F.sequence(first(band), first(band) + F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<long>"))
+    rows = rows.join(held, (F.col("component") == F.col("c")) & (F.col("band") == F.col("b")))
+    others = F.concat(some(F.col("band") - 1, F.col("below")), some(F.col("band"), F.col("chunks")), some(F.col("band") + 1, F.col("above")))
+    own = first(F.col("band")) + chunk_of(F.col("rep"), F.col("chunks"))
+    return paired(rows, "component", own, others).select("block_key", "side", "rep", "copies", "shingles")
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str, jaccard: float, recall: float) -> DataFrame:
+    """A row per document: doc_id, h1, h2, usable (has an id and shingles), links, class, copies (these null if not usable)."""
+    rows = stored(signed(docs, doc_id, text), "signatures")
+    usable = F.col("doc_id").isNotNull() & F.col("signature").isNotNull()
+    # A text is known by 128 bits of hash; 64 of them name it in the graph, where two texts of one name would be one node.
+    reps = rows.filter(usable).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    reps = stored(reps.withColumn("rep", F.col("h1")), "texts")
+    clusters = stored(components(candidate_edges(reps, jaccard, recall)), "clusters")
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c")
+    clustered = clusters.join(sizes, F.col("component") == F.col("c")).drop("c").join(reps.drop("signature"), F.col("node") == F.col("rep"))
+    clustered = stored(clustered.select("rep", "least", "copies", "h1", "h2", "component", "size"), "clustered")
+    # 8 bytes an id; beyond the bound the join shuffles.
+    ids = clustered.select(F.col("least").alias("picked"))
+    ids = F.broadcast(ids) if clustered.count() <= BROADCAST_IDS else ids
+    own = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text"))
+    own = own.join(ids, F.col("id") == F.col("picked"), "left_semi").select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    same = (F.col("id") == F.col("least")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2"))
+    texts = own.dropDuplicates(["id", "t1", "t2"]).join(clustered, same)
+    sets = stored(_shingle_sets(texts.select("rep", "copies", "component", "size", "text"), WORDS), "shingles")
+    found = stored(compare_blocks(_cluster_blocks(sets, jaccard), lambda t, b: _verify(t, b, jaccard), "rep long, links long, root long"), "links")
+    links = found.groupBy(F.col("rep").alias("r")).agg(F.sum("links").alias("links"))
+    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    ids = classes.join(clustered.select("rep", "least"), F.col("node") == F.col("rep")).select("node", "component", "least")
+    ids = ids.join(ids.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("class")), F.col("component") == F.col("c")).select("node", "class")
+    per = reps.select("h1", "h2", "rep", "least", "copies").join(links, F.col("rep") == F.col("r"), "left").join(ids, F.col("rep") == F.col("node"), "left")
+    per = per.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("class", "least").alias("class"))
+    named = rows.select("doc_id", "h1", "h2", usable.alias("usable"))
+    return named.join(per, F.col("usable") & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "left").drop("t1", "t2")
+
+
 def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """A row per document: doc_id, n_links, class_id, copies (equal texts, itself included), kept.
 
     n_links counts the other documents of similarity ``jaccard`` or more, equal texts among them; class_id is the
     least id reachable over links; kept: doc_id is its class_id. Null texts and texts without words have no
-    shingles and link with nothing. Ids are whole numbers that name documents: rows of one id and different
-    texts are one node of a class, repeated rows are copies. A row with a null id links with nothing, its class
-    is null and it is kept. Other columns aren't read.
+    shingles and link with nothing. Ids are whole numbers that name documents (others are an error). Rows of one id
+    and different texts are linked text by text, repeated rows are copies. A row with a null id links with nothing, its
+    class is null and it is kept. A similarity of exactly ``jaccard`` is a link. A long text is one document, whose
+    shingles one task holds at once (8 bytes a word). An empty table gives an empty result; other columns aren't read.
     """
-    spark: SparkSession = docs.sparkSession
-    rows = stored(signed(docs, doc_id, text), "signatures")
-    usable = rows.filter("doc_id is not null and signature is not null")
-    reps = stored(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")), "texts")
-    edges, _, _ = candidate_edges(reps, jaccard, recall)
-    clusters = stored(components(edges), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    clustered = clusters.join(sizes.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).drop("c")
-    clustered = clustered.join(reps.select("rep", "copies", "h1", "h2"), F.col("node") == F.col("rep")).select("rep", "copies", "h1", "h2", "component", "size")
-    clustered = stored(clustered, "clustered")
-    n = clustered.count()
-    picked = F.broadcast(clustered.select("rep")) if n <= BROADCAST_IDS else clustered.select("rep")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(picked, F.col("id") == F.col("rep"), "left_semi")
-    same = (F.col("id") == F.col("rep")) & (F.xxhash64("text") == F.col("h1")) & (F.xxhash64(F.lit(1), F.col("text")) == F.col("h2"))
-    texts = texts.join(F.broadcast(clustered) if n <= BROADCAST_IDS // 8 else clustered, same).dropDuplicates(["rep", "h1", "h2"])
-    sets = _shingle_sets(texts.select("rep", "copies", "component", "size", "text"), WORDS)
-    blocks = in_blocks(sets, "component", "size", F.col("rep"), CLUSTER_CHUNK).drop("component", "size")
-    found = stored(compare_blocks(blocks, lambda t, b: _verify(t, b, jaccard), "rep long, links long, root long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per = reps.select("h1", "h2", "rep", "copies").join(links.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").join(classes, F.col("rep") == F.col("node"), "left")
-    per = per.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("class"))
-    named = rows.select("doc_id", "h1", "h2", (F.col("doc_id").isNotNull() & F.col("signature").isNotNull()).alias("usable"))
-    out = named.join(per, F.col("usable") & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "left")
+    out = _classified(docs, doc_id, text, jaccard, recall)
     own = F.coalesce("class", "doc_id")
     return out.select("doc_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the least id, and of its repeated rows one."""
-    gone = stored(near_texts(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    return left
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class: its least id and, of that id's texts in the class, the one of the least hash.
+
+    Of repeated rows (equal id and text) one stays. Rows with a null id or without words are in no class and all stay.
+    A text is judged by itself: if another text of its id goes, it stays. Columns may have any names.
+    """
+    rows = stored(_classified(docs, doc_id, text, jaccard, recall).filter("usable").select("doc_id", "h1", "h2", "links", "class"), "classes")
+    key = F.struct("doc_id", "h1", "h2")
+    linked = rows.filter("links > 0").select("class", key.alias("key"))
+    first = linked.groupBy(F.col("class").alias("of")).agg(F.min("key").alias("first"))
+    gone = linked.join(first, F.col("class") == F.col("of")).filter(F.col("key") != F.col("first")).select("key.*").distinct()
+    gone = stored(gone, "gone")
+    twice = stored(rows.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").join(gone, ["doc_id", "h1", "h2"], "left_anti"), "repeated")
+    packed_rows = docs.select(packed(docs).alias("row"), col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("t1"), F.xxhash64(F.lit(1), col(text)).alias("t2"))
+
+    def split(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        small = keys.count() <= BROADCAST_IDS // 3  # 24 bytes a key
+        same = (of["id"] == keys["doc_id"]) & (of["t1"] == keys["h1"]) & (of["t2"] == keys["h2"])
+        return of.join(F.broadcast(keys) if small else keys, same, how)
+
+    left = split(gone, "left_anti", packed_rows)
+    if twice.limit(1).count():
+        left = split(twice, "left_anti", left).unionByName(split(twice, "left_semi", left).dropDuplicates(["id", "t1", "t2"]))
+    return left.select(*unpacked("row", docs.columns))

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as hs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -143,23 +144,67 @@ def test_join_on_given_documents(spark, sf):
     against_all_pairs(rows, forest.near_texts(frame).collect())
 
 
-def test_prefixes_are_shortened_until_recall(spark):
-    """Pairs right at the threshold are too rarely found at the full depth, so a shorter prefix is taken."""
-    rng = np.random.default_rng(3)
-    rows = []
-    for i in range(300):
-        t = [f"w{x}" for x in rng.integers(0, 10**6, 104)]
+def pairs_of(n, words, changed, seed):
+    """Texts in pairs that differ in single words far from each other."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        t = [f"w{x}" for x in rng.integers(0, 10**6, words)]
         s = list(t)
-        s[50] = s[52] = "other"
-        s[60] = "third"
+        for j in range(changed):
+            s[10 + 7 * j] = f"other{j}"
         rows += [(2 * i, " ".join(t), "s"), (2 * i + 1, " ".join(s), "s")]
-    signed = forest.signed(docs(spark, rows)).selectExpr("doc_id as rep", "signature")
-    _, depth, reached = forest.candidate_edges(signed, recall=0.99999)
-    assert depth < forest.DEPTH and reached >= 0.99999 or depth == forest.LEAST_DEPTH
-    assert forest.candidate_edges(signed, recall=0.9)[1] == forest.DEPTH
-
-
-# --- Word blocks and encoders -----------------------------------------------------------------------------
+    return rows
+
+
+@pytest.mark.parametrize(("jaccard", "words", "changed"), [(0.8, 94, 2), (0.65, 54, 2)])
+def test_recall_of_pairs_at_the_threshold(spark, jaccard, words, changed):
+    """Pairs right at the threshold are found, whatever it is; a group of almost equal copies beside them changes nothing."""
+    rows = pairs_of(300, words, changed, 3)
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert jaccard <= len(a & b) / len(a | b) < jaccard + 0.02
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(400)) + f" end{i}", "s") for i in range(100)]
+    got = forest.near_texts(docs(spark, rows), jaccard=jaccard).collect()
+    assert sum(r["n_links"] == 1 for r in got if r["doc_id"] < 1000) == 600 and all(r["n_links"] == 99 for r in got if r["doc_id"] >= 1000)
+
+
+def test_prefixes_are_shortened_until_recall():
+    assert forest.prefix_depth(0.8, 0.99) == forest.DEPTH and forest.prefix_depth(0.8, 0.9995) == forest.DEPTH - 1
+    for jaccard in (0.4, 0.65, 0.8, 0.95):
+        depth = forest.prefix_depth(jaccard)
+        assert forest.found_at(jaccard, depth) >= forest.RECALL and (depth == forest.DEPTH or forest.found_at(jaccard, depth + 1) < forest.RECALL)
+    with pytest.raises(ValueError, match="recall"):
+        forest.prefix_depth(0.1)
+
+
+def test_one_of_each_with_repeats(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base, "more"])
+    rows = [(1, " ".join(base), "a"), (1, " ".join(base), "b"), (1, " ".join(base), "c"), (2, near, "s"), (2, "a text of its own", "s"), (3, near, "s"), (None, " ".join(base), "s"), (None, " ".join(base), "s"), (4, None, "s"), (4, None, "s"), (5, "twice the same words", "s"), (5, "twice the same words", "s")]
+    frame = docs(spark, rows).withColumnRenamed("source", "the.source").withColumnRenamed("text", "a text")
+    kept = forest.one_of_each(frame, text="a text")
+    assert kept.columns == frame.columns
+    assert sorted(map(str, ((r["doc_id"], r["a text"]) for r in kept.collect()))) == sorted(map(str, [(1, " ".join(base)), (2, "a text of its own"), (None, " ".join(base)), (None, " ".join(base)), (4, None), (4, None), (5, "twice the same words")]))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        forest.near_texts(docs(spark, rows[:1]).withColumn("doc_id", F.lit("x1"))).collect()
+
+
+def test_long_texts_join(spark):
+    words = [f"w{i % 9973}" for i in range(700_000)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join([*words[:-1000], *("x",) * 1000]), "s"), (3, "short", "s")]
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in forest.near_texts(docs(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_clusters_are_cut_by_size(spark, monkeypatch):
+    """Texts of very different lengths in one cluster meet only if their lengths are near."""
+    monkeypatch.setattr(forest, "CLUSTER_CHUNK", 8)
+    sizes = [(i, 10 + 3 * i) for i in range(60)]
+    sets = spark.createDataFrame([(i, 1, 5, 60, bytearray(np.arange(n, dtype=np.uint64).tobytes()), n) for i, n in sizes], "rep long, copies long, component long, size long, shingles binary, n long")
+    found = groups.compare_blocks(forest._cluster_blocks(sets, 0.8), lambda t, b: forest._verify(t, b, 0.8), "rep long, links long, root long").groupBy("rep").agg(F.sum("links").alias("n")).collect()
+    want = {i: sum(j != i and min(n, m) >= 0.8 * max(n, m) for j, m in sizes) for i, n in sizes}
+    assert {r["rep"]: r["n"] for r in found} == {i: n for i, n in want.items() if n}
+    rows = forest._cluster_blocks(sets, 0.8).groupBy("block_key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert rows < 0.6 * 4 * 60 * 60
 
 
 @settings(max_examples=50, deadline=None)
@@ -339,8 +384,9 @@ def test_language_model(spark, sf):
         assert fit and fit[0]["held_out"] == h and fit[0]["n_known"] == sum(one[w] > 0 for w in t) and fit[0]["train_tokens"] == n
         assert abs(fit[0]["score"] - score(t)) < 0.03 * len(t) + 0.01
     assert sum(map(len, got.values())) == len(rows) and ngramlm.scored(empty(spark)).count() == 0
-    lone = ngramlm.scored(docs(spark, [(8, "a b", "s")])).first() if zlib.crc32(b"8") % 7 == 2 else None
-    assert lone is None or (lone["train_tokens"] == 0 and math.isclose(lone["score"], 0.0, abs_tol=1e-6))
+    only = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    lone = ngramlm.scored(docs(spark, [(only, "a b", "s")])).first()
+    assert lone["train_tokens"] == 0 and math.isclose(lone["score"], 0.0, abs_tol=1e-6)
 
 
 @pytest.mark.parametrize("most", [3, 40])
