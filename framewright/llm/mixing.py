@@ -8,9 +8,9 @@ variable (u / (1 - u)) / (p / (1 - p)). From the smallest on, documents are take
 fit into what the certain copies leave of the target: the sample's size is fixed, in words. The gap before
 the first document that doesn't fit is filled in the same order with documents that are no larger than it.
 
-No source is ever sorted as a whole. The ranks go into bins, words are summed by (source, bin), and
-only the bin in which the target falls is ordered. The decision then is a comparison with a row per
-source, so that no text is shuffled.
+No source is ever sorted as a whole. A rank is a place in 0 .. 2^52; places go into 2^BIN_BITS bins, words are summed by
+(source, bin), and only the bin in which the target falls, one document in 2^BIN_BITS or so, is ordered. The decision
+then is a comparison with a row per source, so that no text is shuffled.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.names import col, packed, unpacked
 from framewright.llm.store import stored
 
 #: What stands between words.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-RANK_BINS = 16384
+#: Bits of a document's place by rank, and of a bin's.
+PLACE_BITS, BIN_BITS = 52, 14
 #: A document of so many words is half as short as an empty one.
 TYPICAL_WORDS = 256
 
@@ -80,74 +82,77 @@ def _expected() -> Column:
     """Expected copies, from 0 to the most allowed."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     room = F.least(ratio, F.lit(float(MAX_COPIES)) - ratio) * 0.5
-    tilt = (F.col("shortness") - F.col("mean_shortness")) / 1000.0
+    tilt = (_shortness() - F.col("mean_shortness")) / 1000.0
     return F.greatest(F.lit(0.0), F.least(F.lit(float(MAX_COPIES)), ratio + room * tilt))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
-    """Adds certain copies, the Pareto rank (null without a fraction), its bin and its key."""
+    """Adds certain copies and the place by Pareto rank (null without a fraction) to rows (size, draw and their source's row)."""
     u = (F.pmod(F.col("draw"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
     df = df.withColumn("expected", _expected()).withColumn("certain", F.floor("expected").cast("long"))
-    df = df.withColumn("fraction", F.col("expected") - F.col("certain"))
-    rank = F.when((F.col("fraction") > 0) & (F.col("size") > 0), (u / (1.0 - u)) * ((1.0 - F.col("fraction")) / F.col("fraction")))
-    df = df.withColumn("rank", rank)
-    return df.withColumn("bin", F.floor(F.col("rank") / (1.0 + F.col("rank")) * RANK_BINS).cast("int")).withColumn("key", F.struct("rank", "draw"))
+    part = F.col("expected") - F.col("certain")
+    # Of odds u / (1 - u) over odds p / (1 - p): their share of themselves and 1.
+    above, below = u * (1.0 - part), (1.0 - u) * part
+    place = F.floor(above / (above + below) * float(1 << PLACE_BITS)).cast("long")
+    return df.withColumn("place", F.when((part > 0) & (F.col("size") > 0), place)).drop("expected")
 
 
-def sampling_plan(sizes: DataFrame) -> DataFrame:
-    """``sizes`` (source, size, draw): a row per source with all that a document's decision needs."""
-    targets = source_targets(sizes)
-    tie = lambda a, b: a["source"].eqNullSafe(b["source"])
+def _beside(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with their source's row of ``plan``."""
+    return rows.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")), how).drop("plan_source")
 
-    def with_plan(plan: DataFrame) -> DataFrame:
-        plan = plan.withColumnRenamed("source", "plan_source")
-        return sizes.join(plan, sizes["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
 
-    plan = stored(targets, "targets")
-    ranked = _ranked(with_plan(plan).withColumn("shortness", _shortness()))
-    certain = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("certain_words"))
-    plan = plan.join(certain, tie(plan, certain), "left").select(plan["*"], (F.col("target") - F.coalesce("certain_words", F.lit(0))).alias("rest"))
-    plan = _with_cut(stored(plan, "rests"), with_plan, "", lambda rows: rows, F.lit(1.0))
-    plan = plan.withColumn("gap", F.col("rest") - F.col("filled"))
-    left = lambda rows: rows.filter(~_chosen("") & (F.col("size") <= F.col("gap")))
-    return _with_cut(plan.drop("rest", "filled").withColumn("rest", F.col("gap")), with_plan, "2", left, F.lit(0.5))
+#: What a document needs to know of its source.
+_OF = ("source", "source_size", "target", "mean_shortness")
 
 
-def _chosen(which: str) -> Column:
-    """Whether a ranked document stands before a cut of its source."""
-    inside = (F.col("bin") == F.col("cut_bin" + which)) & (F.col("key") <= F.col("cut_key" + which))
-    return F.coalesce((F.col("bin") < F.col("cut_bin" + which)) | inside, F.lit(False))
+def sampling_plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``sizes`` (source, size, draw and others): the ranked rows, and the cuts of each source that has any."""
+    ranked = stored(_ranked(_beside(sizes, source_targets(sizes).drop("weight"))), "ranked")
+    cut = stored(_cut(ranked, F.col("target"), 1.0, "cut"), "cut")
+    left = _beside(ranked.filter("place is not null"), cut.select("source", "gap", "cut_place", "cut_draw")).filter(~_before("cut") & (F.col("size") <= F.col("gap")))
+    fill = _cut(left.withColumn("certain", F.lit(0)), F.col("gap"), 0.5, "fill", "gap")
+    fill = fill.select(F.col("source").alias("fill_source"), "fill_place", "fill_draw")
+    plan = cut.join(fill, F.col("source").eqNullSafe(F.col("fill_source")), "left").select("source", "gap", "cut_place", "cut_draw", "fill_place", "fill_draw")
+    return ranked, stored(plan, "plan")
 
 
-def _with_cut(plan: DataFrame, with_plan, which: str, candidates, part: Column) -> DataFrame:
-    """Adds to each source the cut (bin and key) to which candidates fit into ``rest`` words, and the words up to it.
+def _before(which: str) -> Column:
+    """Whether a document stands before a cut of its source, or at it."""
+    place, draw = F.col(which + "_place"), F.col(which + "_draw")
+    return F.coalesce((F.col("place") < place) | ((F.col("place") == place) & (F.col("draw") <= draw)), F.lit(False))
 
-    A document fits if this ``part`` of it does. Whole bins come first; only the bin of the cut is ordered.
+
+def _cut(rows: DataFrame, budget: Column, part: float, name: str, *more: str) -> DataFrame:
+    """source, and ``name`` _place and _draw: to where documents fit into what certain copies leave of the ``budget``; gap: what is left then.
+
+    A document fits if this ``part`` of it does. Rows of equal place and draw are taken together. Sources without a
+    document that has a place have no row.
     """
-    tie = lambda a, b: a["source"].eqNullSafe(b["source"])
-    ranked = lambda p: candidates(_ranked(with_plan(p).withColumn("shortness", _shortness()))).filter("bin is not null")
-    along = Window.partitionBy("source").orderBy("bin")
-    sums = ranked(plan).groupBy("source", "bin", "rest").agg(F.sum("size").alias("words")).withColumn("up_to", F.sum("words").over(along))
-    over = F.when(F.col("up_to") > F.col("rest"), F.struct("bin", (F.col("up_to") - F.col("words")).alias("before")))
-    cut = sums.groupBy("source").agg(F.min(over).alias("cut"), F.max("up_to").alias("all"))
-    plan = plan.join(cut, tie(plan, cut), "left").select(plan["*"], F.coalesce("cut.bin", F.lit(RANK_BINS)).alias("cut_bin" + which), F.coalesce("cut.before", "all", F.lit(0)).alias("before"))
-    plan = stored(plan, "cuts")
-    inside = ranked(plan).filter(F.col("bin") == F.col("cut_bin" + which))
-    tied = inside.groupBy("source", "key", "before", "rest").agg(F.sum("size").alias("words"))
-    tied = tied.withColumn("ahead", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("key")) - F.col("words"))
-    last = tied.filter(F.col("ahead") + F.col("words") * part <= F.col("rest")).groupBy("source").agg(F.max("key").alias("cut_key" + which), F.max(F.col("ahead") + F.col("words")).alias("up_to"))
-    plan = plan.join(last, tie(plan, last), "left").select(plan["*"], "cut_key" + which, F.coalesce("up_to", "before").alias("filled"))
-    return stored(plan.drop("before"), "plan")
-
-
-def _copies(df: DataFrame) -> DataFrame:
-    df = _ranked(df.withColumn("shortness", _shortness()))
-    filler = (F.col("size") <= F.col("gap")) & _chosen("2")
-    return df.withColumn("copies", F.col("certain") + (_chosen("") | filler).cast("long"))
+    of, shift = [*_OF, *more], PLACE_BITS - BIN_BITS
+    every, along = Window.partitionBy("source"), Window.partitionBy("source").orderBy("bin")
+    sums = rows.groupBy(*of, F.shiftright("place", shift).alias("bin")).agg(F.sum(F.when(F.col("place").isNotNull(), F.col("size"))).alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"))
+    sums = sums.select("source", "bin", "words", (budget - F.sum("sure").over(every)).alias("rest"), F.sum("words").over(along).alias("up_to")).filter("bin is not null")
+    here = F.struct("bin", (F.col("up_to") - F.col("words")).alias("ahead"))
+    # Where everything fits, the last bin is the one that is ordered.
+    at = sums.groupBy("source", "rest").agg(F.coalesce(F.min(F.when(F.col("up_to") > F.col("rest"), here)), F.max(here)).alias("at"))
+    at = at.select("source", "rest", "at.*")
+    inside = _beside(rows.select("source", "size", "place", "draw"), at).filter(F.shiftright("place", shift) == F.col("bin"))
+    tied = inside.groupBy("source", "place", "draw", "rest", "bin", "ahead").agg(F.sum("size").alias("words"))
+    tied = tied.withColumn("up_to", F.col("ahead") + F.sum("words").over(Window.partitionBy("source").orderBy("place", "draw")))
+    fits = F.col("up_to") - F.col("words") * (1.0 - part) <= F.col("rest")
+    last = tied.groupBy("source", "rest", "bin", "ahead").agg(F.max(F.when(fits, F.struct("place", "draw", "up_to"))).alias("last"))
+    place = F.coalesce("last.place", F.shiftleft("bin", shift))
+    return last.select("source", place.alias(name + "_place"), F.col("last.draw").alias(name + "_draw"), (F.col("rest") - F.coalesce("last.up_to", "ahead")).alias("gap"))
+
+
+def _copies() -> Column:
+    filler = F.coalesce(F.col("size") <= F.col("gap"), F.lit(False)) & _before("fill")
+    return F.col("certain") + (_before("cut") | filler).cast("long")
 
 
 def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _draw(F.col(doc_id), F.col(text)).alias("draw"))
+    return docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), word_count(col(text)).alias("size"), _draw(col(doc_id), col(text)).alias("draw"))
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -155,30 +160,23 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
     Null texts have no words; documents without words are taken by no draw, so their taken is 0. A null
     source is a source, a null id is an id as any other. Rows equal in id and text share one draw and
-    so one fate; equal texts under other ids draw apart. An empty table gives an empty result. Other
-    columns are not read.
+    so one fate, and no other rows tie but by a hash's chance; equal texts under other ids draw apart. A text of any
+    length is counted whole and is taken whole or not at all. An empty table gives an empty result. Other columns are
+    not read.
     """
-    sizes = stored(_sizes(docs, doc_id, text, source), "sizes")
-    plan = sampling_plan(sizes).withColumnRenamed("source", "plan_source")
-    rows = _copies(sizes.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))))
+    ranked, plan = sampling_plan(stored(_sizes(docs, doc_id, text, source), "sizes"))
+    rows = _beside(ranked, plan, "left").withColumn("copies", _copies())
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents of the mix, each row as often as it is taken. Same columns as ``docs``.
+    """The documents of the mix, each row as often as it is taken. Same columns as ``docs``, whatever their names.
 
     A first pass reads ids and sizes; the second compares each document with its source's row. Only
-    the plan, a row per source, is joined.
+    the plan, a row per source, is joined. Nulls, ties and empty tables are as in ``mixture``.
     """
-    own = "__mix_"
-    plan = sampling_plan(stored(_sizes(docs, doc_id, text, source), "sizes"))
-    row = _copies_of_documents(docs, plan, own, doc_id, text, source)
-    return row.withColumn(own + "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(own + "copies")))).select(*docs.columns)
-
-
-def _copies_of_documents(docs: DataFrame, plan: DataFrame, own: str, doc_id: str, text: str, source: str) -> DataFrame:
-    """Documents that are taken at least once; the computation's columns live in one struct."""
-    packed = docs.select(F.struct(*docs.columns).alias(own + "row"), word_count(F.col(text)).alias("size"), _draw(F.col(doc_id), F.col(text)).alias("draw"), F.col(source).alias("source"))
-    joined = packed.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
-    taken = _copies(joined).filter(F.col("copies") > 0)
-    return taken.select(own + "row.*", F.col("copies").alias(own + "copies"))
+    ranked, plan = sampling_plan(stored(_sizes(docs, doc_id, text, source), "sizes"))
+    plan = _beside(ranked.select(*_OF).distinct(), plan, "left")
+    rows = docs.select(packed(docs).alias("row"), word_count(col(text)).alias("size"), _draw(col(doc_id), col(text)).alias("draw"), col(source).alias("source"))
+    taken = _ranked(_beside(rows, plan)).select("row", _copies().alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*unpacked("row", docs.columns))

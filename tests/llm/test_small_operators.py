@@ -154,6 +154,28 @@ def test_tiles(spark):
     assert np.load(io.BytesIO(bytes(got[1]["tile"]))).shape == (8, 6, 3) and got[2]["tile"] is got[3]["dhash"] is None
 
 
+def plain_hash(image):
+    """The hash by means over the source areas, pixel by pixel."""
+    h, w = image.shape
+    up = np.kron(image.astype(float), np.ones((8, 9))).reshape(8, h, 9, w).mean(axis=(1, 3))
+    bits = "".join("1" if round(a, 6) > round(b, 6) else "0" for row in up for a, b in zip(row, row[1:], strict=False))
+    return f"{int(bits, 2):016x}"
+
+
+def test_features_against_areas(spark):
+    texts = ["abc " * 200, "é" * 700, "Zebra zoo " * 97, "x"]
+    rows = media.media_column(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert r["feature"] == plain_hash(np.frombuffer(raw + b"\xff" * (-len(raw) % 576), np.uint8).reshape(-1, 24))
+
+
+def test_long_image_heads():
+    image = np.arange(6, dtype=np.uint8).reshape(2, 3)
+    for n in (0, 5000, 100_000):
+        assert (media.decode_image(b"P5 #" + b"c" * n + b"\n3 2\n255\n" + image.tobytes()) == image).all()
+
+
 # --- Licenses ---------------------------------------------------------------------------------------------
 
 
@@ -180,6 +202,53 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def as_pattern(template):
+    """A template as a regular expression over words with a blank after each, written without the automata."""
+    import re
+
+    out = ""
+    for mark, word in re.findall(r"<<([^>]*)>>|([^\s<]+)", template):
+        if word:
+            out += re.escape(word) + " "
+        elif mark == "optional":
+            out += "(?:"
+        elif mark == "/optional":
+            out += ")?"
+        else:
+            out += r"(?:\S+ ){0,%s}" % mark.split()[1]
+    return re.compile(out)
+
+
+def longest(pattern, words, start):
+    """The end of the longest match from a word."""
+    ends = [e for e in range(start + 1, len(words) + 1) if pattern.fullmatch("".join(w + " " for w in words[start:e]))]
+    return max(ends, default=None)
+
+
+def test_automata_against_patterns():
+    rng = np.random.default_rng(8)
+    small = ["a <<optional>>b <<optional>>c <</optional>>d <</optional>>e", "a <<var 2>> b <<optional>>c<</optional>>", "<<optional>>a <</optional>>b <<var 1>> <<optional>>d <</optional>>a b"]
+    for template in small:
+        automaton, pattern = licenses.compile_template("x", template), as_pattern(template)
+        for _ in range(400):
+            words = [str(w) for w in rng.choice(list("abcde"), rng.integers(1, 9))]
+            assert automaton.run([w.encode() for w in words], 0)[0] == longest(pattern, words, 0), (template, words)
+    for label, template in licenses.TEMPLATES:
+        automaton, pattern = licenses.compile_template(label, template), as_pattern(template)
+        bare = [w for w in __import__("re").sub(r"<<[^>]*>>", " ", template).split()]
+        for _ in range(12):
+            words = [w for w in bare if rng.random() > 0.01] + ["tail"]
+            found = pattern.match("".join(w + " " for w in words))
+            assert (automaton.run([w.encode() for w in words], 0)[0] is not None) == (found is not None)
+
+
+def test_share_of_a_broken_license(spark):
+    template = dict((k, t) for k, t in licenses.TEMPLATES if "optional" not in t and "var" not in t)["bsd"]
+    words = template.split()
+    rows = licenses.scan(docs(spark, [(1, " ".join(words[:-1]), "s"), (2, "Redistribution " + " ".join(words[:4]), "s"), (3, "nothing of it", "s")]), templates=(("bsd", template),)).collect()
+    assert [(r["labels"], round(r["score"] * len(words))) for r in sorted(rows)] == [("", len(words) - 1), ("", 4), ("", 0)]
+
+
 # --- Line dedup -------------------------------------------------------------------------------------------
 
 
@@ -204,11 +273,75 @@ def test_long_lines_have_their_own_ratio(spark, sf):
         assert got == {i: t.replace(f"\n{long}", "") for i, t, _ in rows}
 
 
+def test_ratio_itself_is_no_boilerplate(spark):
+    rows = [(i, "twin\nmore" if i < 4 else "more" if i == 4 else f"own {i}", "s") for i in range(10)]
+    got = [r["text"] for r in linededup.drop_boilerplate(docs(spark, rows), F.col("source"), ratio=0.4).collect()]
+    assert sum(t.startswith("twin") for t in got) == 4 and sum("more" in t for t in got) == 0
+
+
+def test_any_names_and_long_texts(spark):
+    long = "word " * 1_000_000 + "\nend"
+    frame = spark.createDataFrame([(1, long, "s", 1), (2, long, "s", 2), (3, "short", None, 3), (None, None, "s", 4)], "`a.id` long, `the text` string, `so.urce` string, `row.page` int")
+    for out in (linededup.drop_boilerplate(frame, F.col("`so.urce`"), "the text", ratio=0.5, min_pages=2), mixing.mixed(frame, "a.id", "the text", "so.urce"), quality.accepted(frame, quality.train(empty(spark), spark.createDataFrame([], "doc_id long, quality int")), "the text")):
+        assert out.columns == frame.columns
+        out.write.format("noop").mode("overwrite").save()
+    assert mixing.mixture(frame, "a.id", "the text", "so.urce").agg(F.max("size")).first()[0] == 1_000_001
+    assert {len(r["text"]) for r in quality.scored(frame, quality.fit(np.zeros((0, 27)), np.zeros((0, 27))), "a.id", "the text").withColumn("text", F.lit("")).collect()} == {0}
+    assert licenses.scan(frame, "a.id", "the text").agg(F.max("n_words")).first()[0] == 1_000_001
+    assert media.media_column(frame, "a.id", "the text").agg(F.max("n_bytes")).first()[0] == len(long)
+
+
 def test_few_pages_have_no_boilerplate(spark):
     rows = [(1, "a", "s"), (2, "a", "s")]
     assert [r["text"] for r in linededup.drop_boilerplate(docs(spark, rows), F.col("source")).collect()] == ["a", "a"]
 
 
+def test_draw_against_a_plain_draw(spark):
+    """The whole draw anew in plain Python, from the hashes that Spark gives."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(["w"] * int(rng.integers(1, 40))), "abc"[k % 3]) for k in range(400)] + [(7, " ".join(["w"] * 9), "a")] * 3
+    frame = docs(spark, rows)
+    draws = {(r["doc_id"], r["text"]): r["h"] for r in frame.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    got = {}
+    for r in mixing.mixture(frame).collect():
+        got[(r["doc_id"], r["size"])] = r["copies"]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for s, target in plain_targets(sizes).items():
+        own = [(i, t, len(t.split())) for i, t, x in rows if x == s]
+        short = lambda n: math.ceil(1000 * mixing.TYPICAL_WORDS / (mixing.TYPICAL_WORDS + n))
+        mean, ratio = sum(short(n) * n for _, _, n in own) / sizes[s], target / sizes[s]
+        ranked, left, copies = {}, target, {}
+        for i, t, n in own:
+            expected = min(3.0, max(0.0, ratio + min(ratio, 3 - ratio) * 0.5 * (short(n) - mean) / 1000))
+            copies[i, n] = math.floor(expected)
+            left -= n * math.floor(expected)
+            u, p = ((draws[i, t] % 2**53) + 0.5) / 2**53, expected - math.floor(expected)
+            if p > 0:
+                ranked.setdefault((u / (1 - u)) * ((1 - p) / p), []).append((i, n))
+        rest = []
+        order = sorted(ranked)
+        for k, rank in enumerate(order):
+            words = sum(n for _, n in ranked[rank])
+            if words > left:
+                rest = order[k:]
+                break
+            left -= words
+            for i, n in set(ranked[rank]):
+                copies[i, n] += 1
+        gap = left
+        for rank in rest:
+            fits = [(i, n) for i, n in ranked[rank] if n <= gap]
+            words = sum(n for _, n in fits)
+            if words / 2 > left:
+                break
+            left -= words
+            for i, n in set(fits):
+                copies[i, n] += 1
+        assert {k: (got[k], v) for k, v in copies.items() if got[k] != v} == {}, (s, len(rest), gap, left)
+
+
 # --- Quality ----------------------------------------------------------------------------------------------
 
 
@@ -232,3 +365,51 @@ def test_quality_of_odd_rows(spark):
     nothing = quality.train(empty(spark), labels.limit(0))
     assert quality.scored(frame, nothing).filter("score = 0.5 and predicted = 0").count() == 44
     assert quality.scored(empty(spark), model).count() == quality.accepted(empty(spark), model).count() == 0
+
+
+def test_risk_against_sums_and_differences():
+    rng = np.random.default_rng(9)
+    pos, unl = rng.normal(0.5, 1, (30, 27)), rng.normal(0, 1, (50, 27))
+    layers = quality._start(27)
+    logit = lambda x, ls: sum(math.tanh(sum(x[i] * ls[0][i, j] for i in range(27)) + ls[1][j]) * ls[2][j] for j in range(quality.HIDDEN)) + ls[3][0]
+    loss = lambda z: math.log1p(math.exp(-z))
+
+    def plain(ls, prior):
+        p, u = [logit(x, ls) for x in pos], [logit(x, ls) for x in unl]
+        negative = sum(map(loss, (-z for z in u))) / len(u) - prior * sum(map(loss, (-z for z in p))) / len(p)
+        return prior * sum(map(loss, p)) / len(p) + max(0.0, negative), negative
+
+    for prior in (0.3, 0.99):
+        if prior > 0.9:
+            layers = [a.copy() for a in layers]
+            layers[3][0] += 3.0
+        risk, negative, gradient = quality.risk_of(layers, pos, unl if prior < 0.9 else np.vstack([unl - 2]), prior)
+        if prior < 0.9:
+            assert np.allclose((risk, negative), plain(layers, prior)) and negative > 0
+            for k, i in ((0, (3, 2)), (1, (4,)), (2, (5,)), (3, (0,))):
+                moved = [a.copy() for a in layers]
+                moved[k][i] += 1e-5
+                assert abs((quality.risk_of(moved, pos, unl, prior)[0] - risk) / 1e-5 - gradient[k][i]) < 1e-4
+    # Where the negatives' part is below 0, the step goes up its slope.
+    layers[3][0] = 0.0
+    layers[2][:] = 0.0
+    layers[2][0] = 4.0
+    apart = np.full((20, 27), -3.0) * np.sign(layers[0][:, 0]), np.full((20, 27), 3.0) * np.sign(layers[0][:, 0])
+    risk, negative, gradient = quality.risk_of(layers, apart[1], apart[0], 0.9)
+    assert negative < 0 and risk < 0.1
+    moved = [a - 1e-3 * g for a, g in zip(layers, gradient, strict=True)]
+    assert quality.risk_of(moved, apart[1], apart[0], 0.9)[1] > negative
+
+
+def test_cycles_are_found_anywhere():
+    clean = [f"w{i}".encode() for i in range(500)]
+    loop = [f"l{i}".encode() for i in range(300)]
+    assert quality._cycle(clean) == 0.0 and quality._cycle([]) == quality._cycle([b"a"]) == 0.0
+    assert quality._cycle(clean + loop * 5) == 1200 / 2000 and quality._cycle([b"a", b"b"] * 50) == 0.98
+
+
+def test_repeated_ids_are_collected_once(spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"text {i}", "s") for i in range(12)]
+    once, often = quality.train(docs(spark, rows), labels), quality.train(docs(spark, rows * 20), labels)
+    assert all((a == b).all() for a, b in zip(once.layers, often.layers, strict=True))
