@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +109,19 @@ def list_chunk(metadata: Column) -> Column:
         parts.append(F.coalesce(chunk, F.lit(b"")))
     body = F.concat(*parts)
     return F.when(F.octet_length(body) > 0, F.concat(F.lit(b"LIST"), little_endian(F.octet_length(body) + 4, 4), F.lit(b"INFO"), body)).otherwise(F.lit(b""))
+
+
+def header_of(channels: int, rate: int, depth: int, data_size: int, extra: int = 0) -> bytes:
+    """The bytes of ``header_bytes`` for one file of PCM or, at 32 bits, float samples."""
+    block, code = depth // 8 * channels, 3 if depth == 32 else 1
+    fmt = struct.pack("<HHIIHH", code, channels, rate, min(rate * block, U32_MAX), block, depth) + (b"\0\0" if code == 3 else b"")
+    return struct.pack("<4sI8sI", b"RIFF", 20 + len(fmt) + data_size + data_size % 2 + extra, b"WAVEfmt ", len(fmt)) + fmt + struct.pack("<4sI", b"data", data_size)
+
+
+def list_chunk_of(metadata: dict[str, str]) -> bytes:
+    """The bytes of ``list_chunk`` for one file."""
+    body = b""
+    for tag, field in sorted((t, f) for f, t in INFO_TAGS.items() if metadata.get(f) is not None):
+        value = metadata[field].encode() + b"\0"
+        body += struct.pack("<4sI", tag.encode(), len(value)) + value + b"\0" * (len(value) % 2)
+    return struct.pack("<4sI4s", b"LIST", len(body) + 4, b"INFO") + body if body else b""

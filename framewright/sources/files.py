@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
 from urllib.parse import urlparse
 
@@ -9,33 +10,35 @@ from pyarrow import fs
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """A path without a scheme is one of the machine that reads it: on a cluster it has to be a shared mount."""
     if urlparse(path).scheme in ("", "file"):
         return fs.LocalFileSystem(), urlparse(path).path if path.startswith("file:") else os.path.abspath(path)
     return fs.FileSystem.from_uri(path)
 
 
-def listed(paths: list[str], suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, size) of files, of folders' files with one of the suffixes, and of what a pattern matches."""
-    import fnmatch
+def listed(paths: list[str], suffixes: tuple[str, ...]) -> list[tuple[str, str, int]]:
+    """(path, name, size) of files, of folders' files with one of the suffixes, and of what a pattern matches.
 
-    found: dict[str, int] = {}
+    The name is the path below the folder that was asked for, with "/" between its parts.
+    """
+    found: dict[str, tuple[str, int]] = {}
     for path in paths:
         system, at = filesystem(path)
         head = path[: len(path) - len(at)] if path.endswith(at) else ""
         pattern = os.path.basename(at)
         wild = any(ch in pattern for ch in "*?[")
-        top = os.path.dirname(at) if wild else at
+        top = os.path.dirname(at) if wild else at.rstrip("/")
         info = system.get_file_info(top)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
         if info.type == fs.FileType.File:
-            found[head + at] = info.size
+            found[head + at] = (os.path.basename(at), info.size)
             continue
         for x in system.get_file_info(fs.FileSelector(top, recursive=not wild)):
             name = os.path.basename(x.path)
             if x.type == fs.FileType.File and not name.startswith(("_", ".")) and (fnmatch.fnmatch(name, pattern) if wild else name.lower().endswith(suffixes)):
-                found[head + x.path] = x.size
-    return sorted(found.items())
+                found[head + x.path] = (os.path.relpath(x.path, top), x.size)
+    return sorted((path, name, size) for path, (name, size) in found.items())
 
 
 def read_range(path: str, start: int, size: int) -> bytes:
@@ -46,9 +49,14 @@ def read_range(path: str, start: int, size: int) -> bytes:
 
 
 def new_folder(spark, name: str) -> str:
-    """A fresh folder in the one that driver and executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    """A fresh folder in the one that driver and executors share (spark.checkpoint.dir); a temporary one where none is set and all runs on this machine."""
     import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-framewright-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-framewright-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,8 @@ from framewright.functions.formats import INFO_TAGS
 _FIELDS = {tag: name for name, tag in INFO_TAGS.items()}
 # Format codes.
 PCM, FLOAT, ADPCM = 1, 3, 17
+#: Bytes of a LIST chunk that are read; tags behind them are left out, as they are of a file that ends in the chunk.
+MOST_INFO = 1 << 20
 
 
 class WavError(ValueError):
@@ -52,6 +54,8 @@ class WavHead:
 def _info(body: bytes) -> dict[str, str]:
     out, at = {}, 4
     while at + 8 <= len(body):
+        if at + 8 + struct.unpack_from("<I", body, at + 4)[0] > len(body):
+            break
         tag, size = body[at : at + 4].decode("latin-1"), struct.unpack_from("<I", body, at + 4)[0]
         value = body[at + 8 : at + 8 + size].decode("utf-8", "replace").rstrip("\0")
         if tag in _FIELDS:
@@ -64,7 +68,7 @@ def read_head(read, size: int) -> WavHead:
     """``read(at, n)`` gives bytes of a file of ``size`` bytes.
 
     Chunks after the data are walked too, so that metadata behind it is found; odd chunks have a pad byte. Data
-    that is declared longer than the file ends with it.
+    that is declared longer than the file ends with it. Whatever is wrong with the bytes is a WavError.
     """
     top = read(0, 12)
     if len(top) < 12:
@@ -72,16 +76,22 @@ def read_head(read, size: int) -> WavHead:
     for at, tag in ((0, b"RIFF"), (8, b"WAVE")):
         if top[at : at + 4] != tag:
             raise WavError(f"expected {tag.decode()}, found {top[at : at + 4].decode('utf-8', 'replace')}")
+    def exactly(at: int, n: int) -> bytes:
+        found = read(at, n)
+        if len(found) < n:
+            raise WavError("unexpected EOF")
+        return found
+
     head, at = WavHead(), 12
     while at + 8 <= size:
-        tag, n = struct.unpack("<4sI", read(at, 8))
+        tag, n = struct.unpack("<4sI", exactly(at, 8))
         if tag == b"fmt ":
             if n < 16:
                 raise WavError("fmt chunk too small")
-            head.format_code, channels, head.sample_rate, _, _, head.bit_depth = struct.unpack("<HHIIHH", read(at + 8, 16))
+            head.format_code, channels, head.sample_rate, _, _, head.bit_depth = struct.unpack("<HHIIHH", exactly(at + 8, 16))
             head.channels = channels & 255
         elif tag == b"LIST":
-            body = read(at + 8, n)
+            body = read(at + 8, min(n, MOST_INFO))
             if body[:4] == b"INFO":
                 head.metadata |= _info(body)
         elif tag == b"data" and head.data_at < 0:

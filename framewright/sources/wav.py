@@ -1,54 +1,54 @@
-"""Spark data sources ``wav`` and ``rawpcm``: rows of packets, or with ``include=header`` rows of files.
+"""Spark data sources ``wav`` and ``rawpcm``: rows of packets, or with ``include=header`` rows of files; and the same to write.
 
-A file's head is read once, in a task of the header mode or when partitions are planned; its data is cut into ranges
-of whole packets, so that a long file is read by many tasks. pts comes from the offset.
-
-Options: path (a file, folder or pattern), include (packets or header), limit (most bytes of a packet), range
+Reading: partitions are planned from the listing alone: small files are packed together, a long one is cut into ranges
+of its bytes. A task reads the heads of its files and gives the packets that begin in its range; pts comes from the
+offset, and a file's first packet has its metadata. Options: path (a file, folder or pattern), include (packets or header), limit (most bytes of a packet), range
 (most bytes of a task), on_error (fail or skip: leave out files that can't be read; in header mode bad files are
 always rows with an error). rawpcm also takes channels, sample_rate and depth, 2, 44100 and 16 if not given.
 
-Writing puts packets (path, pts, data, and optionally channels, sample_rate, bit_depth, metadata) into a file per
-path. Sizes are known before the head is written, so no file is patched; metadata goes behind the data.
+Writing (``df.write.format("wav").mode("append").save(folder)``) puts packets (path, k, data, channels, sample_rate,
+bit_depth, file_size[, metadata]) into a file per path, below the folder under that very path. ``by_file`` brings packets
+into the order that this needs: a file's packets stand in one task, one after another. They stream through it; the size
+is known before the head is written, so nothing is patched; metadata goes behind the data. Files get their names when the
+job is done; a failed job leaves none. Existing files are an error, with ``mode("overwrite")`` they are replaced.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from framewright.functions import formats
-from framewright.functions.binary import joined
+from framewright.functions.formats import INFO_TAGS, header_of, list_chunk_of
 from framewright.operators.packets import PACKET_BYTES
 from framewright.sources.files import filesystem, listed, read_range
 from framewright.sources.riff import FLOAT, PCM, WavError, WavHead, read_head
 
-PACKETS = "path string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int"
-HEADER = "path string, channels int, sample_rate long, bit_depth int, format_code int, data_size long, frames long, duration double, codec string, supported boolean, metadata map<string,string>, error string"
+PACKETS = "path string, name string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int, metadata map<string,string>"
+HEADER = "path string, name string, channels int, sample_rate long, bit_depth int, format_code int, data_size long, frames long, duration double, codec string, supported boolean, metadata map<string,string>, error string"
 RANGE_BYTES = 64 << 20
+#: Files of a task, at most, however small.
+TASK_FILES = 256
 #: Bytes of packets handed to Spark at a time.
 BATCH_BYTES = 4 << 20
+MOST_BYTES = 2**32 - 2**16
 _CODEC = {24: "pcm_s24le", 32: "pcm_f32le"}
 
 
 @dataclass
-class _Range(InputPartition):
-    path: str
-    head: WavHead
-    start: int
-    size: int
-    limit: int
-
+class _Ranges(InputPartition):
+    """(path, name, size, start, end): the packets of a file that begin in a range of its bytes."""
 
-@dataclass
-class _Files(InputPartition):
-    files: list[tuple[str, int]]
+    files: list[tuple[str, str, int, int, int]]
 
 
 class _Reader(DataSourceReader):
@@ -56,8 +56,9 @@ class _Reader(DataSourceReader):
         self.options, self.raw = options, raw
         self.header = options.get("include", "packets") == "header"
         self.limit = int(options.get("limit", PACKET_BYTES))
+        self.skip = options.get("on_error", "fail") == "skip"
 
-    def _files(self) -> list[tuple[str, int]]:
+    def _files(self) -> list[tuple[str, str, int]]:
         path = self.options.get("path")
         if not path:
             raise ValueError("option path is missing")
@@ -73,57 +74,140 @@ class _Reader(DataSourceReader):
         return head
 
     def partitions(self) -> list[InputPartition]:
-        files = self._files()
-        if self.header:
-            return [_Files(files[i : i + 64]) for i in range(0, len(files), 64)] or [_Files([])]
-        most, out = int(self.options.get("range", RANGE_BYTES)), []
-        for path, size in files:
+        most, out, held, total = int(self.options.get("range", RANGE_BYTES)), [], [], 0
+        for path, name, size in self._files():
+            step = size + 1 if self.header else most
+            for start in range(0, max(1, size), step):
+                n = 0 if self.header else min(step, size - start)
+                if held and (total + n > most or len(held) >= TASK_FILES):
+                    out.append(_Ranges(held))
+                    held, total = [], 0
+                held.append((path, name, size, start, start + step))
+                total += n
+        return [*out, _Ranges(held)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, name, size, start, end in partition.files:
+            if self.header:
+                rows.append(self._header_row(path, name, size))
+                continue
             try:
                 head = self._head(path, size)
-            except WavError:
-                if self.options.get("on_error", "fail") == "skip":
+            except WavError as e:
+                if self.skip:
                     continue
-                raise
+                raise WavError(f"{path}: {e}") from e
             packet = max(head.block, self.limit - self.limit % head.block)
-            step = max(packet, most - most % packet)
-            out += [_Range(path, head, a, min(step, head.data_size - a), packet) for a in range(0, head.data_size, step)]
-        return out or [_Files([])]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if isinstance(partition, _Files):
-            yield from self._header_rows(partition.files)
-            return
-        head, rows, held = partition.head, [], 0
-        data = read_range(partition.path, head.data_at + partition.start, partition.size)
-        for a in range(0, len(data), partition.limit):
-            part, at = data[a : a + partition.limit], partition.start + a
-            rows.append((partition.path, at // partition.limit, part, len(part), at // head.block, head.channels, head.sample_rate, head.bit_depth, head.format_code))
-            held += len(part)
-            if held >= BATCH_BYTES:
-                yield self._batch(rows, _ARROW_PACKETS)
-                rows, held = [], 0
+            # Packets that begin in the range; what is before the data counts as its first byte.
+            first, last = (-(-max(0, at - head.data_at) // packet) for at in (start if start else 0, end))
+            for k, part in _parts(path, head, packet, first, min(last, -(-head.data_size // packet))):
+                about = list(head.metadata.items()) if k == 0 else None
+                rows.append((path, name, k, part, len(part), k * packet // head.block, head.channels, head.sample_rate, head.bit_depth, head.format_code, about))
+                held += len(part)
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, _ARROW_PACKETS)
+                    rows, held = [], 0
         if rows:
-            yield self._batch(rows, _ARROW_PACKETS)
+            yield _batch(rows, _ARROW_HEADER if self.header else _ARROW_PACKETS)
+
+    def _header_row(self, path: str, name: str, size: int) -> tuple:
+        try:
+            h = self._head(path, size)
+        except WavError as e:
+            return (path, name, *[None] * 8, False, [], str(e))
+        frames = h.data_size // h.block
+        return (path, name, h.channels, h.sample_rate, h.bit_depth, h.format_code, h.data_size, frames, frames / h.sample_rate, _CODEC.get(h.bit_depth, "pcm_s16le"), h.supported, list(h.metadata.items()), None)
+
+
+def _parts(path: str, head: WavHead, packet: int, first: int, last: int) -> Iterator[tuple[int, bytes]]:
+    if first < last:
+        system, at = filesystem(path)
+        with system.open_input_file(at) as f:
+            f.seek(head.data_at + first * packet)
+            for k in range(first, last):
+                yield k, f.read(min(packet, head.data_size - k * packet))
 
-    def _header_rows(self, files: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for path, size in files:
-            try:
-                h = self._head(path, size)
-                frames = h.data_size // h.block
-                rows.append((path, h.channels, h.sample_rate, h.bit_depth, h.format_code, h.data_size, frames, frames / h.sample_rate, _CODEC.get(h.bit_depth, "pcm_s16le"), h.supported, list(h.metadata.items()), None))
-            except WavError as e:
-                rows.append((path, *[None] * 8, False, [], str(e)))
-        if rows:
-            yield self._batch(rows, _ARROW_HEADER)
 
-    @staticmethod
-    def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_ARROW_PACKETS = pa.schema([("path", pa.string()), ("k", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("pts", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32())])
-_ARROW_HEADER = pa.schema([("path", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("data_size", pa.int64()), ("frames", pa.int64()), ("duration", pa.float64()), ("codec", pa.string()), ("supported", pa.bool_()), ("metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+_TEXTS = pa.map_(pa.string(), pa.string())
+_ARROW_PACKETS = pa.schema([("path", pa.string()), ("name", pa.string()), ("k", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("pts", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("metadata", _TEXTS)])
+_ARROW_HEADER = pa.schema([("path", pa.string()), ("name", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("data_size", pa.int64()), ("frames", pa.int64()), ("duration", pa.float64()), ("codec", pa.string()), ("supported", pa.bool_()), ("metadata", _TEXTS), ("error", pa.string())])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """(attempt, name) of a task's files."""
+
+    files: list[tuple[str, str]]
+
+
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict[str, str], raw: bool, overwrite: bool) -> None:
+        if not options.get("path"):
+            raise ValueError("option path is missing")
+        self.folder, self.raw, self.overwrite = options["path"].rstrip("/"), raw, overwrite
+        self.attempts = f"{self.folder}/_attempts-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, top = filesystem(self.attempts)
+        own, done, name, out, left, tail = uuid.uuid4().hex, [], None, None, 0, b""
+
+        def close() -> None:
+            if out is None:
+                return
+            if left:
+                raise ValueError(f"{name}: {left} bytes of its packets are missing; bring packets into order with by_file")
+            out.write(tail)
+            out.close()
+
+        for batch in batches:
+            if batch.num_rows and not done:
+                system.create_dir(top, recursive=True)
+            get = lambda c, b=batch: b.column(c) if c in b.schema.names else pa.nulls(b.num_rows)
+            for path, data, channels, rate, depth, size, about in zip(*(get(c) for c in ("path", "data", "channels", "sample_rate", "bit_depth", "file_size", "metadata")), strict=True):
+                if path.as_py() != name:
+                    close()
+                    name, left = path.as_py(), size.as_py()
+                    if name in {n for _, n in done}:
+                        raise ValueError(f"{name}: its packets don't stand together; bring packets into order with by_file")
+                    attempt = f"{top}/{own}-{len(done)}"
+                    out = system.open_output_stream(attempt)
+                    done.append((attempt, name))
+                    tail = b""
+                    if not self.raw:
+                        if left >= MOST_BYTES:
+                            raise ValueError(f"{name}: a WAV file can't hold 4 GiB")
+                        chunk = list_chunk_of(dict(about.as_py() or []))
+                        out.write(header_of(channels.as_py(), rate.as_py(), depth.as_py(), left, len(chunk)))
+                        tail = b"\0" * (left % 2) + chunk
+                left -= len(data.as_buffer())
+                out.write(data.as_buffer())
+        close()
+        return _Written(done)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, top = filesystem(self.folder)
+        files = [x for m in messages if m is not None for x in m.files]
+        names = [os.path.normpath(n).lstrip("/") for _, n in files]
+        twice = [n for n, k in Counter(names).items() if k > 1]
+        there = [] if self.overwrite else [n for n in names if system.get_file_info(f"{top}/{n}").type != fs.FileType.NotFound]
+        if twice or there or any(n.startswith("..") for n in names):
+            self.abort(messages)
+            raise ValueError(f"files of one name: {twice[:3]}" if twice else f"files that exist: {there[:3]}" if there else "a path leaves the folder")
+        for folder in {os.path.dirname(f"{top}/{n}") for n in names}:
+            system.create_dir(folder, recursive=True)
+        for (attempt, _), n in zip(files, names, strict=True):
+            system.move(attempt, f"{top}/{n}")
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, top = filesystem(self.attempts)
+        if system.get_file_info(top).type != fs.FileType.NotFound:
+            system.delete_dir(top)
 
 
 class WavSource(DataSource):
@@ -139,6 +223,9 @@ class WavSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options), self.raw)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options), self.raw, overwrite)
+
 
 class RawPcmSource(WavSource):
     raw = True
@@ -153,75 +240,47 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawPcmSource)
 
 
-def files_of(packets: DataFrame, container: str = "wav") -> DataFrame:
-    """path, content: whole files of packets (path, k, data, channels, sample_rate, bit_depth[, metadata]).
+def by_file(packets: DataFrame) -> DataFrame:
+    """Packets (path, k, data, ...) with file_size, each file's in one task and in order: one shuffle, and one of sizes."""
+    sizes = packets.groupBy(F.col("path").alias("of")).agg(F.sum(F.octet_length("data").cast("long")).alias("file_size"))
+    sized = packets.join(sizes, F.col("path") == F.col("of")).drop("of")
+    return sized.repartition("path").sortWithinPartitions("path", "k")
+
 
-    One shuffle by path; heads are expressions. Metadata, sorted by tag, follows the data of WAV files. A file of 4
-    GiB or more is an error, as a WAV head can't say its size.
+def write_files(packets: DataFrame, folder: str, container: str = "wav", mode: str = "append") -> DataFrame:
+    """Writes packets (path, k, data, channels, sample_rate, bit_depth[, metadata]) below ``folder``; gives path and size of its files.
+
+    Nulls in ``data`` are left out; a file without bytes isn't written.
     """
     if container not in ("wav", "raw", "pcm"):
         raise ValueError(f"unsupported '{container}' format")
-    first = lambda name: F.min_by(name, "k").alias(name)
-    named = packets if "metadata" in packets.columns else packets.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", "data"))), lambda x: x["data"])
-    whole = named.groupBy("path").agg(joined(parts).alias("body"), first("channels"), first("sample_rate"), first("bit_depth"), first("metadata"))
-    if container != "wav":
-        return whole.select("path", F.col("body").alias("content"))
-    size = F.octet_length("body").cast("long")
-    chunk = F.coalesce(formats.list_chunk(F.col("metadata")), F.lit(b""))
-    code = F.when(F.col("bit_depth") == 32, 3).otherwise(1)
-    head = formats.header_bytes(F.col("channels"), F.col("sample_rate"), F.col("bit_depth"), code, size, F.octet_length(chunk))
-    pad = F.when(size % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))
-    checked = F.when(size >= 2**32 - 2**16, F.raise_error(F.lit("a WAV file can't hold 4 GiB"))).otherwise(F.concat(head, F.col("body"), pad, chunk))
-    return whole.select("path", checked.alias("content"))
-
-
-def write_files(files: DataFrame, folder: str, source_folder: str | None = None) -> DataFrame:
-    """Writes rows (path, content) below ``folder`` under their base names; gives path and size of what was written.
-
-    A file is written under a name of its own attempt and then moved to its place, so that a repeated task does no
-    harm. A path that would overwrite its own source is refused.
-    """
-    if source_folder is not None and os.path.abspath(folder) == os.path.abspath(source_folder):
-        raise ValueError("input and output are the same folder")
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        system, top = filesystem(folder)
-        system.create_dir(top, recursive=True)
-        for batch in batches:
-            out = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                at = f"{top}/{os.path.basename(path)}"
-                attempt = f"{top}/_{os.path.basename(path)}.{context.taskAttemptId() if context else 0}"
-                with system.open_output_stream(attempt) as f:
-                    f.write(content.as_py())
-                system.move(attempt, at)
-                out.append((at, len(content.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["path", "size"])
+    columns = [c for c in ("path", "k", "data", "channels", "sample_rate", "bit_depth", "metadata") if c in packets.columns]
+    register(packets.sparkSession)
+    by_file(packets.select(*columns).filter("octet_length(data) > 0")).write.format("wav" if container == "wav" else "rawpcm").mode(mode).save(folder)
+    return packets.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
 
-    return files.select("path", "content").mapInArrow(put, "path string, size long")
 
+def renamed(path: str, extension: str) -> F.Column:
+    """A column of paths with another extension."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("." + extension))
 
-def renamed(packets: DataFrame, extension: str) -> DataFrame:
-    """Paths with another extension."""
-    return packets.withColumn("path", F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("." + extension)))
 
+def convert(spark: SparkSession, source: str, folder: str, container: str = "wav", depth: int | None = None, source_format: str = "wav", **options: str) -> DataFrame:
+    """Converts a file, folder or pattern: read, transcode, mux, write. Gives path and size of the files of ``folder``.
 
-def convert(spark: SparkSession, source: str, folder: str, container: str = "wav", depth: int | None = None, source_format: str = "wav", **options: str) -> list[tuple[str, int]]:
-    """Converts a file, folder or pattern: read, transcode, mux, write. Gives the files and their sizes."""
-    from framewright.operators.packets import transcode
+    A file keeps its place below the source folder. Two files that would get one name are an error, and so are files
+    that exist, and samples that can't be decoded; nothing is written then. Empty files have no packets and no output.
+    """
+    from framewright.functions import pcm
 
     register(spark)
-    packets = spark.read.format(source_format).options(path=source, **options).load()
+    heads = spark.read.format(source_format).options(path=source, include="header", **options).load()
+    named = heads.groupBy(renamed("name", container).alias("target")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("one"), F.max("path").alias("other")).filter("n > 1").limit(1).collect()
+    if named:
+        raise ValueError(f"{named[0]['one']} and {named[0]['other']} would both be {named[0]['target']}")
+    packets = spark.read.format(source_format).options(path=source, **options).load().withColumn("path", renamed("name", container))
     if depth is not None:
-        packets = transcode(packets, F.col("bit_depth"), F.lit(depth)).withColumn("bit_depth", F.lit(depth))
-    if source_format == "wav":
-        heads = spark.read.format("wav").options(path=source, include="header").load().filter("error is null").select(F.col("path").alias("of"), "metadata")
-        packets = packets.join(heads, packets["path"] == heads["of"], "left").drop("of")
-    files = files_of(renamed(packets, container), container)
-    return sorted((r["path"], r["size"]) for r in write_files(files, folder, source if os.path.isdir(source) else None).collect())
-
-
+        wrong = pcm.length_error(F.col("data"), F.col("bit_depth"))
+        data = F.when(wrong.isNull(), pcm.transcode("data", "bit_depth", F.lit(depth))).otherwise(F.raise_error(F.concat("name", F.lit(": "), wrong)))
+        packets = packets.withColumns({"data": data, "bit_depth": F.lit(depth)})
+    return write_files(packets, folder, container)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from framewright.operators import packets as pk
 from framewright.sources import register
-from framewright.sources.wav import convert, files_of, write_files
-from framewright.streaming import packet_stream, pcm_stream, windowed_sizes
+from framewright.sources.wav import by_file, convert, write_files
+from framewright.streaming import packet_stream, pcm_stream, wav_stream, windowed_sizes
 from tests.wavfiles import chunk, fmt, info, riff, wav
 
 
@@ -76,7 +76,7 @@ def test_conversion(sources, tmp_path, source, target, channels):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in", a=riff(fmt(channels=channels, depth=source, code=3 if source == 32 else 1), info(IART=b"me"), chunk(b"data", body)), b=wav(b"", channels=channels, depth=source, code=3 if source == 32 else 1))
     made = convert(sources, str(tmp_path / "in"), str(tmp_path / "out"), depth=target)
-    assert [p.rpartition("/")[2] for p, _ in made] == ["a.wav"]
+    assert [p.rpartition("/")[2] for p, _ in made.collect()] == ["a.wav"]
     out = heads(sources, str(tmp_path / "out"))["a"]
     assert (out["channels"], out["bit_depth"], out["format_code"], out["frames"], out["metadata"]) == (channels, target, 3 if target == 32 else 1, 3000, {"artist": "me"})
     if target != 32:
@@ -97,9 +97,64 @@ def test_raw_to_wav_and_back(sources, tmp_path):
     convert(sources, str(tmp_path / "wav"), str(tmp_path / "again"), container="raw")
     assert (tmp_path / "again/x.raw").read_bytes() == bytes(range(251))
     with pytest.raises(ValueError, match="unsupported 'mp3' format"):
-        files_of(sources.range(0), "mp3")
-    with pytest.raises(ValueError, match="same folder"):
-        write_files(sources.createDataFrame([("a", b"")], "path string, content binary"), str(tmp_path), str(tmp_path))
+        write_files(sources.range(0), str(tmp_path), "mp3")
+    with pytest.raises(Exception, match="files that exist"):
+        convert(sources, str(tmp_path / "wav"), str(tmp_path / "wav"))
+    assert heads(sources, str(tmp_path / "wav"))["x"]["data_size"] == 251 and not [p for p in (tmp_path / "wav").iterdir() if p.name.startswith("_")]
+
+
+def test_files_keep_their_places(sources, tmp_path):
+    for part in ("a", "b"):
+        (tmp_path / "in" / part).mkdir(parents=True)
+        put(tmp_path / "in" / part, x=wav(part.encode() * 8))
+    made = convert(sources, str(tmp_path / "in"), str(tmp_path / "out"), container="raw")
+    assert sorted(r["path"].rpartition("/out/")[2] for r in made.collect()) == ["a/x.raw", "b/x.raw"]
+    assert [(tmp_path / "out" / p / "x.raw").read_bytes() for p in "ab"] == [b"a" * 8, b"b" * 8]
+    put(tmp_path / "in" / "a", **{"x.old": wav(b"cd")})
+    (tmp_path / "in/a/x.old.wav").rename(tmp_path / "in/a/x.WAV")
+    with pytest.raises(ValueError, match="would both be a/x.raw"):
+        convert(sources, str(tmp_path / "in"), str(tmp_path / "twice"), container="raw")
+    assert not (tmp_path / "twice").exists()
+
+
+def test_bytes_that_end_early_are_errors(sources, tmp_path):
+    whole = riff(fmt(), info(IART=b"me"), chunk(b"data", b"abcd"))
+    folder = put(tmp_path, **{f"n{i:03d}": whole[:i] for i in range(len(whole))}, list=riff(fmt(), b"LIST" + struct.pack("<I", 2**31) + b"INFOIART" + struct.pack("<I", 2**30) + b"x"))
+    found = heads(sources, folder)
+    assert all(r["error"] for k, r in found.items() if k < f"n{whole.index(b'data') + 8:03d}") and found["list"]["error"] == "unexpected EOF"
+    assert found[f"n{len(whole) - 1:03d}"]["data_size"] == 3
+
+
+def test_a_failed_job_leaves_no_files(sources, tmp_path):
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in", good=wav(b"abcd"), odd=wav(b"abc"))
+    with pytest.raises(Exception, match="invalid pcm16 length"):
+        convert(sources, str(tmp_path / "in"), str(tmp_path / "out"), depth=24)
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+
+
+def test_writer(sources, tmp_path):
+    rows = [(f"d/{i % 3}.wav", i // 3, bytearray([i] * 2), 1, 8000, 16, {"title": "t"} if i < 3 else None) for i in range(30)]
+    packets = sources.createDataFrame(rows, "path string, k long, data binary, channels int, sample_rate long, bit_depth int, metadata map<string,string>").repartition(5)
+    by_file(packets).write.format("wav").mode("append").save(str(tmp_path / "out"))
+    for j in range(3):
+        with wave.open(str(tmp_path / f"out/d/{j}.wav")) as w:
+            assert w.readframes(100) == b"".join(bytes([i] * 2) for i in range(j, 30, 3))
+    read = sources.read.format("wav").options(path=str(tmp_path / "out")).load()
+    assert read.count() == 3 and {r["metadata"]["title"] for r in read.collect()} == {"t"} and {r["name"] for r in read.collect()} == {"d/0.wav", "d/1.wav", "d/2.wav"}
+    with pytest.raises(Exception, match="files that exist"):
+        by_file(packets).write.format("wav").mode("append").save(str(tmp_path / "out"))
+    by_file(packets.filter("k = 0")).write.format("wav").mode("overwrite").save(str(tmp_path / "out"))
+    assert sources.read.format("wav").options(path=str(tmp_path / "out")).load().agg(F.sum("size")).first()[0] == 6
+    with pytest.raises(Exception, match="by_file"):
+        by_file(packets).filter("k <> 1").write.format("rawpcm").mode("append").save(str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").iterdir())
+
+
+def test_small_files_share_a_task(sources, tmp_path):
+    put(tmp_path, **{f"f{i}": wav(bytes([i]) * 40) for i in range(40)})
+    frame = sources.read.format("wav").options(path=str(tmp_path)).load()
+    assert frame.rdd.getNumPartitions() == 1 and frame.agg(F.sum("size")).first()[0] == 1600
 
 
 def test_packets_of_columns(spark):
@@ -126,6 +181,20 @@ def test_streaming(spark, tmp_path):
     assert sorted((r["path"][-5:], r["k"], r["pts"], len(r["data"])) for r in rows) == [("a.pcm", 0, 0, 12), ("a.pcm", 1, 4, 12), ("a.pcm", 2, 8, 6), ("b.pcm", 0, 0, 9)]
 
 
+def test_wav_streaming(spark, tmp_path):
+    folder = tmp_path / "live"
+    folder.mkdir()
+    put(folder, a=wav(bytes(range(10)), channels=1))
+    (folder / "other.txt").write_bytes(b"no")
+    q = wav_stream(spark, str(folder), limit=4).writeStream.format("memory").queryName("live_wavs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    put(folder, b=riff(fmt(depth=24, channels=2), info(IART=b"me"), chunk(b"data", bytes(6))))
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.table("live_wavs").collect()
+    assert sorted((r["path"][-5:], r["k"], r["pts"], bytes(r["data"]), r["bit_depth"]) for r in rows) == [("a.wav", 0, 0, bytes(range(4)), 16), ("a.wav", 1, 2, bytes(range(4, 8)), 16), ("a.wav", 2, 4, bytes([8, 9]), 16), ("b.wav", 0, 0, bytes(6), 24)]
+
+
 def test_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("ts", (F.col("user_id") % 7).alias("stream_id"), F.floor("value").alias("size"))
     per = windowed_sizes(events.withColumn("ts", F.col("ts").cast("timestamp")), window="1 day")
