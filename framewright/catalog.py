@@ -53,7 +53,7 @@ def _list(values, kind: str = "") -> str:
 
 _JOBS = f"""jobs as (select o_orderkey as job_id, 'dir.d/in_' || o_orderkey || '.' || ({_list(fx.EXTENSIONS)})[o_orderkey % 21 + 1] as input,
  'out/' || o_orderkey || '.' || ({_list(fx.EXTENSIONS)})[o_custkey % 21 + 1] as output,
- ({_list(fx.TOKENS)})[(o_orderkey + o_custkey) % 15 + 1] as tok1, ({_list(fx.TOKENS)})[(o_orderkey * 7 + o_custkey * 3) % 15 + 1] as tok2 from orders)"""
+ {", ".join(f"({_list(fx.TOKENS)})[(o_orderkey * {a} + o_custkey * {b}) % {len(fx.TOKENS)} + 1] as {name}" for name, a, b in fx.TOKEN_OF)} from orders)"""
 _FORMATS = f"""formats as (select p_partkey, (p_size % 10)::bigint as channels, ({_list(fx.RATES, '::bigint')})[p_partkey % 10 + 1] as sample_rate,
  ({_list(fx.DEPTHS, '::bigint')})[p_partkey % 7 + 1] as bit_depth, ({_list(fx.CODES, '::bigint')})[p_partkey // 10 % 4 + 1] as format_code from part)"""
 _FRAMES = "frames as (select vec_id, label::bigint as stream_id, vec_id % 4 + 1 as g, embedding as samples from embeddings)"
@@ -102,6 +102,13 @@ def inspect_frames(spark, sf_dir):
     return pk.inspect(_packets(spark, sf_dir), c("depth"), c("channels"), c("sample_rate"), ("doc_id",))
 
 
+@query(f"with {_PACKETS.replace(str(LIMIT), str(pk.PACKET_BYTES))} select doc_id, k, size, pts, md5(data) as data_md5 from packets")
+def packetize_64k(spark, sf_dir):
+    """Packets of the size that files are read in."""
+    rows = pk.packetize(fx.raw_files(spark, sf_dir), "content", c("depth"), c("channels"), pk.PACKET_BYTES, ("doc_id",))
+    return rows.select("doc_id", "k", "size", "pts", F.md5("data").alias("data_md5"))
+
+
 @query(f"with {_RAW} select path, md5(content) as data_md5, octet_length(content)::bigint as data_size from raw_files where octet_length(content) > 0")
 def mux_concat(spark, sf_dir):
     return pk.mux(_packets(spark, sf_dir), "path").select("path", F.md5("data").alias("data_md5"), F.octet_length("data").cast("long").alias("data_size"))
@@ -113,18 +120,18 @@ def wav_sizes(spark, sf_dir):
 
 
 @query("""select doc_id, (8 + case when source is null then 0 else 8 + octet_length(encode(source)) + 1 + (octet_length(encode(source)) + 1) % 2 end
- + 8 + octet_length(encode(left(text, 20))) + 1 + (octet_length(encode(left(text, 20))) + 1) % 2
+ + 8 + octet_length(encode(text)) + 1 + (octet_length(encode(text)) + 1) % 2
  + 8 + octet_length(encode(lang)) + 1 + (octet_length(encode(lang)) + 1) % 2)::bigint as list_size from documents""")
 def list_size(spark, sf_dir):
-    m = F.create_map(F.lit("artist"), c("source"), F.lit("title"), F.left("text", F.lit(20)), F.lit("genre"), c("lang"))
+    m = F.create_map(F.lit("artist"), c("source"), F.lit("title"), c("text"), F.lit("genre"), c("lang"))
     return fx.table(spark, sf_dir, "documents").select("doc_id", formats.list_size(m).alias("list_size"))
 
 
-@query("""select doc_id, source as artist, rtrim(left(text, 20), chr(0)) as title, 3::bigint as n_fields from documents where source is not null""")
+@query("""select doc_id, source as artist, md5(rtrim(text, chr(0))) as title_md5, 3::bigint as n_fields from documents""")
 def metadata_map(spark, sf_dir):
-    m = F.map_from_arrays(F.array(F.lit("artist"), F.lit("title"), F.lit("genre")), F.array(c("source"), F.rtrim(F.left("text", F.lit(20)), F.lit("\0")), c("lang")))
-    rows = fx.table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", m.alias("m"))
-    return rows.select("doc_id", c("m")["artist"].alias("artist"), c("m")["title"].alias("title"), F.size("m").cast("long").alias("n_fields"))
+    m = F.map_from_arrays(F.array(F.lit("artist"), F.lit("title"), F.lit("genre")), F.array(c("source"), F.rtrim(c("text"), F.lit("\0")), c("lang")))
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", m.alias("m"))
+    return rows.select("doc_id", c("m")["artist"].alias("artist"), F.md5(c("m")["title"]).alias("title_md5"), F.size("m").cast("long").alias("n_fields"))
 
 
 # --- Header bytes -------------------------------------------------------------------------------------
@@ -170,7 +177,16 @@ def _int_words(depth: int) -> str:
 
 
 def _decoded(depth: int) -> str:
-    return f"with {_RAW}, " + _PCM.format(dots="." * (depth // 4), source="raw_files", where=f"octet_length(content) % {depth // 8} = 0 and octet_length(content) > 0")
+    return f"with {_RAW}, " + _PCM.format(dots="." * (depth // 4), source="raw_files", where=f"octet_length(content) % {depth // 8} = 0")
+
+
+def _every_file(depth: int, sums: str, select: str) -> str:
+    """Each file with its sums, or with the error of its length."""
+    return f""", sums as ({sums}) select r.doc_id, case when octet_length(content) % {depth // 8} <> 0 then 'invalid pcm{depth} length' end as error, {select} from raw_files r left join sums s using (doc_id)"""
+
+
+def _none_as_zero(name: str, depth: int) -> str:
+    return f"case when octet_length(content) % {depth // 8} = 0 then coalesce({name}, 0)::bigint end as {name}"
 
 
 def _sums(values: Column) -> list[Column]:
@@ -179,21 +195,21 @@ def _sums(values: Column) -> list[Column]:
 
 
 def _decode_ints(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    files = fx.raw_files(spark, sf_dir).filter((F.octet_length("content") % (depth // 8) == 0) & (F.octet_length("content") > 0))
-    floats = pcm.to_floats(c("content"), F.lit(depth))
     scale = pcm.SCALE[depth]
-    return files.select("doc_id", floats.alias("f")).select("doc_id", F.transform("f", lambda v: (v.cast("double") * scale).cast("long")).alias("v")).select("doc_id", *_sums(c("v")))
+    rows = fx.raw_files(spark, sf_dir).select("doc_id", pcm.length_error(c("content"), F.lit(depth)).alias("error"), pcm.to_floats(c("content"), F.lit(depth)).alias("f"))
+    whole = F.transform("f", lambda v: (v.cast("double") * scale).cast("long"))
+    return rows.select("doc_id", "error", whole.alias("v")).select("doc_id", "error", *(F.when(c("error").isNull(), x).alias(name) for name, x in zip(("n", "total", "lowest", "highest"), _sums(c("v")), strict=True)))
 
 
 _SUMS = "count(*) as n, sum(v)::bigint as total, min(v)::bigint as lowest, max(v)::bigint as highest"
 
 
-@query(_decoded(16) + f" select doc_id, {_SUMS} from (select doc_id, {_int_words(16)} as v from words) group by doc_id")
+@query(_decoded(16) + _every_file(16, f"select doc_id, {_SUMS} from (select doc_id, {_int_words(16)} as v from words) group by doc_id", f"{_none_as_zero('n', 16)}, {_none_as_zero('total', 16)}, lowest, highest"))
 def pcm16_decode(spark, sf_dir):
     return _decode_ints(spark, sf_dir, 16)
 
 
-@query(_decoded(24) + f" select doc_id, {_SUMS} from (select doc_id, {_int_words(24)} as v from words) group by doc_id")
+@query(_decoded(24) + _every_file(24, f"select doc_id, {_SUMS} from (select doc_id, {_int_words(24)} as v from words) group by doc_id", f"{_none_as_zero('n', 24)}, {_none_as_zero('total', 24)}, lowest, highest"))
 def pcm24_decode(spark, sf_dir):
     return _decode_ints(spark, sf_dir, 24)
 
@@ -203,24 +219,24 @@ _F32_CLASSES = """count(*) as n, count(*) filter (e = 255) as special, count(*)
  sum(case when e between 118 and 133 then (case when b >= 2147483648 then -1 else 1 end * trunc((1 + (b % 8388608) / 8388608.0) * pow(2.0, e - 127) * 65536))::bigint else 0 end)::bigint as middle"""
 
 
-@query(_decoded(32) + f" select doc_id, {_F32_CLASSES} from (select doc_id, b, b // 8388608 % 256 as e from (select doc_id, {_F32_BITS} as b from words)) group by doc_id")
+@query(_decoded(32) + _every_file(32, f"select doc_id, {_F32_CLASSES} from (select doc_id, b, b // 8388608 % 256 as e from (select doc_id, {_F32_BITS} as b from words)) group by doc_id", ", ".join(_none_as_zero(x, 32) for x in ("n", "special", "below_one", "tiny", "middle"))))
 def pcm32_decode(spark, sf_dir):
-    files = fx.raw_files(spark, sf_dir).filter("octet_length(content) % 4 = 0 and octet_length(content) > 0")
-    rows = files.select("doc_id", pcm.to_floats(c("content"), F.lit(32)).alias("v"))
-    count = lambda test: F.size(F.filter("v", test)).cast("long")
+    rows = fx.raw_files(spark, sf_dir).select("doc_id", pcm.length_error(c("content"), F.lit(32)).alias("error"), pcm.to_floats(c("content"), F.lit(32)).alias("v"))
+    known = lambda x: F.when(c("error").isNull(), x)
+    count = lambda test: known(F.size(F.filter("v", test))).cast("long")
     size = lambda v: F.abs(v.cast("double"))
     middle = F.transform(F.filter("v", lambda v: (size(v) >= 2.0**-9) & (size(v) < 128)), lambda v: (v.cast("double") * 65536).cast("long"))
     return rows.select(
-        "doc_id", F.size("v").cast("long").alias("n"), count(lambda v: F.isnan(v) | (size(v) == float("inf"))).alias("special"), count(lambda v: (size(v) < 1) & (size(v) >= 2.0**-126)).alias("below_one"),
+        "doc_id", "error", known(F.size("v")).cast("long").alias("n"), count(lambda v: F.isnan(v) | (size(v) == float("inf"))).alias("special"), count(lambda v: (size(v) < 1) & (size(v) >= 2.0**-126)).alias("below_one"),
         count(lambda v: size(v) < 2.0**-126).alias("tiny"), F.aggregate(middle, F.lit(0).cast("long"), lambda a, v: a + v).alias("middle"),
     )
 
 
 @query(f"""with {_PACKETS} select doc_id, k, pts, case depth when 24 then 'PCM24' when 32 then 'PCM32' else 'PCM16' end as format, size // block as nb_samples,
- case when size % (depth // 8) = 0 then size // (depth // 8) end as n_values from packets""")
+ case when size % (depth // 8) = 0 then size // (depth // 8) end as n_values, case when size % (depth // 8) <> 0 then 'invalid pcm' || depth || ' length' end as error from packets""")
 def pcm_decode(spark, sf_dir):
     rows = pk.decode(_packets(spark, sf_dir), c("depth"), c("channels"))
-    return rows.select("doc_id", "k", "pts", "format", "nb_samples", F.when(c("samples").isNotNull(), F.size("samples")).cast("long").alias("n_values"))
+    return rows.select("doc_id", "k", "pts", "format", "nb_samples", F.when(c("samples").isNotNull(), F.size("samples")).cast("long").alias("n_values"), "error")
 
 
 @query(f"""with {_FRAMES} select vec_id, len(samples)::bigint * 2 as n_bytes, md5(string_agg(h, '' order by i)) as hex_md5 from (select vec_id, samples, i,
@@ -274,11 +290,11 @@ def pcm_to_f32(spark, sf_dir):
     return rows.select("doc_id", "depth", pcm.length_error(c("content"), c("depth")).alias("error"), F.when(c("f").isNotNull(), F.size("f")).cast("long").alias("n_values"))
 
 
-@query(_decoded(16) + f""" select doc_id, md5(string_agg('00' || q, '' order by i)) as hex_md5, count(*) * 3 as n_bytes from words group by doc_id""")
+@query(_decoded(16) + _every_file(16, "select doc_id, md5(string_agg('00' || q, '' order by i)) as hex_md5, count(*) * 3 as n_bytes from words group by doc_id", "hex_md5, n_bytes") + " where octet_length(content) > 0")
 def pcm_transcode(spark, sf_dir):
-    files = fx.raw_files(spark, sf_dir).filter("octet_length(content) % 2 = 0").select("doc_id", c("content").alias("data"))
+    files = fx.raw_files(spark, sf_dir).select("doc_id", c("content").alias("data"), pcm.length_error(c("content"), F.lit(16)).alias("error"))
     rows = pk.transcode(files, F.lit(16), F.lit(24))
-    return rows.select("doc_id", F.md5(F.hex("data")).alias("hex_md5"), F.octet_length("data").cast("long").alias("n_bytes"))
+    return rows.select("doc_id", "error", F.md5(F.hex("data")).alias("hex_md5"), F.octet_length("data").cast("long").alias("n_bytes"))
 
 
 # --- Sample scalars -----------------------------------------------------------------------------------
@@ -484,6 +500,15 @@ def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.event_packets(spark, sf_dir).select("event_id", "pts", (c("event_id") % 3 + 1).alias("num"), rate.alias("den"))
 
 
+#: Small, negative and very large ticks in turn.
+_WIDE = "(case event_id % 4 when 1 then -pts when 2 then pts * 100000 when 3 then -pts * 99991 else pts end)"
+_LOW_64 = "(case when low >= 9223372036854775808::hugeint then low - 18446744073709551616::hugeint else low end)::bigint"
+
+
+def _wide_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ticks(spark, sf_dir).withColumn("pts", F.expr(_WIDE))
+
+
 _TICKS = f"ticks as (select event_id, epoch_us(ts) - 1704067200000000 as pts, event_id % 3 + 1 as num, {_RATE} as den from events)"
 
 
@@ -497,14 +522,15 @@ def seconds_to_pts(spark, sf_dir):
     return _ticks(spark, sf_dir).select("event_id", timebase.from_seconds(c("pts") / F.lit(1000000), c("num"), c("den")).alias("ticks"))
 
 
-@query(f"with {_TICKS} select event_id, (pts::hugeint * 3 // 1000 * den // num)::bigint as scaled from ticks")
+@query(f"""with {_TICKS} select event_id, {_LOW_64} as scaled from (select event_id, (x % 18446744073709551616::hugeint + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as low
+ from (select event_id, {_WIDE}::hugeint * 3 // 1000 * den // num as x from ticks))""")
 def scale_pts(spark, sf_dir):
-    return _ticks(spark, sf_dir).select("event_id", timebase.scale(c("pts"), c("num"), c("den"), F.lit(3), F.lit(1000)).alias("scaled"))
+    return _wide_ticks(spark, sf_dir).select("event_id", timebase.scale(c("pts"), c("num"), c("den"), F.lit(3), F.lit(1000)).alias("scaled"))
 
 
-@query(f"with {_TICKS} select event_id, (pts::hugeint * num * 1000 // (den * 3))::bigint as rescaled from ticks")
+@query(f"with {_TICKS} select event_id, try_cast({_WIDE}::hugeint * num * 1000 // (den * 3) as bigint) as rescaled from ticks")
 def rescale_pts(spark, sf_dir):
-    return _ticks(spark, sf_dir).select("event_id", timebase.rescale(c("pts"), c("num"), c("den"), F.lit(3), F.lit(1000)).alias("rescaled"))
+    return _wide_ticks(spark, sf_dir).select("event_id", timebase.rescale(c("pts"), c("num"), c("den"), F.lit(3), F.lit(1000)).alias("rescaled"))
 
 
 @query("select o_orderkey, gcd(o_orderkey * 12, o_custkey * 18) as divisor from orders")
@@ -570,10 +596,15 @@ def codec_check(spark, sf_dir):
     return _asked(spark, sf_dir).select("job_id", error.alias("error"))
 
 
-@query(f"with {_EDGES} select a.container as first, b.container as second, count(*) as n_shared from edges a join edges b on a.kind = b.kind and a.codec = b.codec and a.container < b.container group by all")
+@query(f"""with {_JOBS}, {_EDGES}, asked as (select lower(regexp_extract(input, '\\.([^.]*)$', 1)) as source, lower(regexp_extract(output, '\\.([^.]*)$', 1)) as target, count(*) as n_jobs from jobs group by all),
+ shared as (select a.container as source, b.container as target, count(*) as n_shared from edges a join edges b on a.kind = b.kind and a.codec = b.codec group by all)
+ select source, target, n_jobs, coalesce(n_shared, 0) as n_shared from asked left join shared using (source, target)""")
 def shared_codecs(spark, sf_dir):
-    a, b = compat.edges(spark).withColumnRenamed("container", "first"), compat.edges(spark).withColumnRenamed("container", "second")
-    return a.join(b, ["kind", "codec"]).filter("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("n_shared"))
+    """Codecs that the containers of a job's input and output have in common, by pairs of containers."""
+    a, b = compat.edges(spark).withColumnRenamed("container", "source"), compat.edges(spark).withColumnRenamed("container", "target")
+    shared = a.join(b, ["kind", "codec"]).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_shared"))
+    asked = fx.jobs(spark, sf_dir).groupBy(config.extension(c("input")).alias("source"), config.extension(c("output")).alias("target")).agg(F.count(F.lit(1)).alias("n_jobs"))
+    return asked.join(F.broadcast(shared), ["source", "target"], "left").select("source", "target", "n_jobs", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
 
 # --- Options and plans --------------------------------------------------------------------------------
@@ -653,6 +684,12 @@ def track_resolve(spark, sf_dir):
     return rows.select(k, F.explode_outer(tracks).alias("track"), error.alias("error"))
 
 
+@query("select o_orderkey, case when o_orderkey % 3 > 0 then o_orderkey % 7 else 0 end as position from orders")
+def track_unchecked(spark, sf_dir):
+    k = c("o_orderkey")
+    return fx.table(spark, sf_dir, "orders").select(k, st.unchecked(F.when(k % 3 > 0, k % 7)).alias("position"))
+
+
 _EXT = """case when regexp_matches(regexp_replace({p}, '(/[.]?)+$', ''), '(^|/)[.][.]$') then null when regexp_matches(regexp_replace({p}, '(/[.]?)+$', ''), '[^/][.]([^./]*)$')
  then lower(regexp_extract(regexp_replace({p}, '(/[.]?)+$', ''), '[^/][.]([^./]*)$', 1)) end"""
 
@@ -667,21 +704,21 @@ def _codec_sql(kind: str, codec: str) -> str:
     return f"case when {codec} is not null and not exists (from edges e where e.container = i and e.kind = '{kind}' and e.codec = {codec}) then '{word} ''' || {codec} || ''' not supported in ''' || i || '''' end"
 
 
-_A, _V = "[tok1]", "[tok2]"
-_PLAN = f"""with {_JOBS}, {_EDGES}, x as (select *, {_EXT.format(p="input")} as i, {_EXT.format(p="output")} as o, {_option("codec", _A)} as ac, {_option("codec", _V)} as vc,
- {_track(_A)[1]} as ae, {_track(_V)[1]} as ve from jobs),
+_A, _V, _S, _T = "[tok1]", "[tok2]", "[tok3]", "[tok4]"
+_LONELY = f"case when ({_track(_S)[0]}) is null and {_option('language', _S)} is null and coalesce({', '.join(_option(k, _S) for k in config.SUBTITLE if k != 'language')}) is not null then 'subtitle needs track or language' end"
+_PLAN = f"""with {_JOBS}, {_EDGES}, x as (select *, {_EXT.format(p="input")} as i, {_EXT.format(p="output")} as o, {_option("codec", _A)} as ac, {_option("codec", _V)} as vc, {_option("codec", _S)} as sc,
+ {_track(_A)[1]} as ae, {_track(_V)[1]} as ve, {_track(_S)[1]} as se, {_LONELY} as le, {_track(_T, True)[1]} as te from jobs),
  r as (select *, case when o = 'wav' then 'wav' when o in ('raw', 'pcm') then 'raw' when i = 'wav' then 'wav' when i in ('raw', 'pcm') then 'raw' when i = 'mov' then 'webm' end as way from x),
- e as (select *, coalesce(ae, ve, case when i is null then 'no file extension' end, case when o is null then 'no file extension' end,
+ e as (select *, coalesce(ae, ve, se, le, te, case when i is null then 'no file extension' end, case when o is null then 'no file extension' end,
   case when i not in {tuple(compat.CONTAINERS)} then '''' || i || ''' is not supported' end, case when o not in {tuple(compat.CONTAINERS)} then '''' || o || ''' is not supported' end,
-  {_codec_sql("audio", "ac")}, {_codec_sql("video", "vc")}, case when way = 'webm' then 'webm pipeline not implemented' end, case when way is null then 'unsupported ''' || i || ''' format' end) as error from r)
+  {_codec_sql("audio", "ac")}, {_codec_sql("video", "vc")}, {_codec_sql("subtitle", "sc")}, case when way = 'webm' then 'webm pipeline not implemented' end, case when way is null then 'unsupported ''' || i || ''' format' end) as error from r)
  select job_id, i as input_ext, o as output_ext, error, case when error is null then way end as route,
   case when error is null and way = 'wav' and o <> 'wav' then 'WAV bytes go to .' || o when error is null and i not in ('wav', 'raw', 'pcm') then '.' || i || ' is read as raw 16-bit stereo at 44100 Hz' end as warning from e"""
 
 
 @query(_PLAN)
 def plan_jobs(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    rows = config.plan(fx.jobs(spark, sf_dir), F.array("tok1"), F.array("tok2"), none, none)
+    rows = config.plan(fx.jobs(spark, sf_dir), *(F.array(name) for name, _, _ in fx.TOKEN_OF))
     return rows.select("job_id", "input_ext", "output_ext", "error", "route", "warning")
 
 
@@ -693,33 +730,79 @@ def message_kind(spark, sf_dir):
 
 # --- Numbers in bytes ---------------------------------------------------------------------------------
 
-_HEX = "h as (select doc_id, hex(encode(text)) as d from documents where octet_length(encode(text)) >= 16)"
+_HEX = "h as (select doc_id, hex(encode(text)) as d, octet_length(encode(text)) as n from documents)"
+#: Readers: name, kind, bytes, offset in the text. Each number has its own place, so that a text too short for it gives null.
+_READS = [("u8", "u", 1, 0), ("i8", "i", 1, 1), ("u16", "u", 2, 1), ("i16", "i", 2, 3), ("u32", "u", 4, 3), ("i32", "i", 4, 5), ("u64", "u", 8, 4), ("i64", "i", 8, 6), ("f32", "f", 4, 2), ("f64", "f", 8, 7)]
+
+
+def _reads() -> list[tuple[str, str, int, int, bool]]:
+    """(column, kind, bytes, offset, little-endian): single bytes have no order."""
+    return [(name + (f"_{order}" if width > 1 else ""), kind, width, at, order == "le") for name, kind, width, at in _READS for order in (("le", "be") if width > 1 else ("le",))]
+
+
+def _bits(at: int, n: int, little: bool) -> str:
+    """An unsigned number of n bytes at 0-based ``at`` of hex digits ``d``."""
+    order = reversed(range(n)) if little else range(n)
+    return "('0x' || " + " || ".join(f"substr(d, {2 * (at + i) + 1}, 2)" for i in order) + ")::ubigint::hugeint"
 
 
-def _be(at: int, n: int) -> str:
-    return f"('0x' || substr(d, {2 * at + 1}, {2 * n}))::ubigint"
+def _float_sql(bits: str, width: int) -> str:
+    """An IEEE number from its bits, as a double; no text has the bits of NaN, infinities or the smallest numbers."""
+    exponent, fraction, bias = (8, 23, 127) if width == 4 else (11, 52, 1023)
+    part = f"({bits} % {2**fraction})::double / {2**fraction}::double"
+    return f"(case when {bits} >= {2 ** (8 * width - 1)}::hugeint then -1 else 1 end) * (1.0::double + {part}) * pow(2.0::double, (({bits} // {2**fraction}) % {2**exponent})::double - {bias})"
 
 
-@query(f"""with {_HEX} select doc_id, {_be(0, 1)}::bigint as u8, {_u("d", 1, 2)} as u16_le, {_be(1, 2)}::bigint as u16_be, {_u("d", 3, 4)} as u32_le, {_be(3, 4)}::bigint as u32_be,
- {_be(4, 8)}::decimal(20,0) as u64_be, ({_be(0, 1)}::bigint + 128) % 256 - 128 as i8, ({_u("d", 1, 2)} + 32768) % 65536 - 32768 as i16_le, ({_be(3, 4)}::bigint + 2147483648) % 4294967296 - 2147483648 as i32_be,
- (case when {_be(4, 8)}::hugeint >= 9223372036854775808::hugeint then {_be(4, 8)}::hugeint - 18446744073709551616::hugeint else {_be(4, 8)}::hugeint end)::bigint as i64_be from h""")
+def _read_sql(kind: str, width: int, at: int, little: bool) -> str:
+    bits = _bits(at, width, little)
+    if kind == "f":
+        value = _float_sql(bits, width)
+    elif kind == "u":
+        value = f"({bits})::decimal(20,0)" if width == 8 else f"({bits})::bigint"
+    else:
+        value = f"(case when {bits} >= {2 ** (8 * width - 1)}::hugeint then {bits} - {2 ** (8 * width)}::hugeint else {bits} end)::bigint"
+    return f"case when n >= {at + width} then {value} end"
+
+
+@query(f"with {_HEX} select doc_id, {', '.join(f'{_read_sql(k, w, at, little)} as {name}' for name, k, w, at, little in _reads())} from h")
 def read_primitives(spark, sf_dir):
-    rows = fx.raw_files(spark, sf_dir).filter("octet_length(content) >= 16")
-    at = lambda p, n, little=True: binary.hex_at(c("content"), p, n, little)
-    u, s = binary.unsigned, binary.signed
-    return rows.select(
-        "doc_id", u(at(0, 1)).alias("u8"), u(at(1, 2)).alias("u16_le"), u(at(1, 2, False)).alias("u16_be"), u(at(3, 4)).alias("u32_le"), u(at(3, 4, False)).alias("u32_be"),
-        binary.unsigned_64(at(4, 8, False)).alias("u64_be"), s(at(0, 1), 1).alias("i8"), s(at(1, 2), 2).alias("i16_le"), s(at(3, 4, False), 4).alias("i32_be"), s(at(4, 8, False), 8).alias("i64_be"),
-    )
+    def value(kind: str, width: int, digits: Column) -> Column:
+        if kind == "f":
+            return (binary.float_32 if width == 4 else binary.float_64)(digits).cast("double")
+        if kind == "u":
+            return binary.unsigned_64(digits) if width == 8 else binary.unsigned(digits)
+        return binary.signed(digits, width)
+
+    return fx.raw_files(spark, sf_dir).select("doc_id", *(value(k, w, binary.hex_at(c("content"), at, w, little)).alias(name) for name, k, w, at, little in _reads()))
+
+
+#: Writers: name, bytes, value. Signed ones take numbers below zero.
+_WRITES = [("u8", 1, "o_orderkey % 256"), ("i8", 1, "o_orderkey % 256 - 128"), ("u16", 2, "o_orderkey % 65536"), ("i16", 2, "o_orderkey % 65536 - 32768"), ("u32", 4, "o_orderkey * 65537 % 4294967296"), ("i32", 4, "o_orderkey - 2147483648"), ("u64", 8, "o_orderkey * 4294967311"), ("i64", 8, "-o_orderkey * 4294967311")]
+
+
+def _write_sql(value: str, n: int, little: bool) -> str:
+    digits = f"lpad(to_hex(case when {value} < 0 then ({value})::hugeint + 18446744073709551616::hugeint else ({value})::hugeint end), 16, '0')"
+    return f"({' || '.join(f'substr({digits}, {17 - 2 * i}, 2)' for i in range(1, n + 1))})" if little else f"right({digits}, {2 * n})"
 
 
-@query(f"""select o_orderkey, {_le("o_orderkey % 256", 1)} as u8, {_le("o_orderkey", 2)} as u16_le, {_le("o_orderkey * 65537", 4)} as u32_le, {_le("o_orderkey * 4294967311", 8)} as u64_le,
- right(lpad(to_hex(o_orderkey::ubigint), 16, '0'), 4) as u16_be, right(lpad(to_hex((o_orderkey * 65537)::ubigint), 16, '0'), 8) as u32_be from orders""")
+def _float_bits_sql(x: str, width: int) -> str:
+    """The bits of a positive number by arithmetic."""
+    fraction, bias = (23, 127) if width == 4 else (52, 1023)
+    power = f"floor(log2({x}))"
+    return f"(({power}::bigint + {bias})::hugeint * {2**fraction} + (({x} / pow(2.0, {power}) - 1) * {2**fraction}::double)::bigint)"
+
+
+_FLOATS = [("f32", 4, "(o_totalprice::float)::double"), ("f64", 8, "o_totalprice::double")]
+_ORDERS = lambda n: (("le", True), ("be", False)) if n > 1 else (("", True),)
+_name = lambda name, order: f"{name}_{order}" if order else name
+
+
+@query("select o_orderkey, " + ", ".join([f"{_write_sql(v, n, little)} as {_name(name, order)}" for name, n, v in _WRITES for order, little in _ORDERS(n)] + [f"{_write_sql(_float_bits_sql(x, n), n, little)} as {_name(name, order)}" for name, n, x in _FLOATS for order, little in _ORDERS(n)]) + " from orders")
 def write_primitives(spark, sf_dir):
-    k = c("o_orderkey")
-    le = lambda v, n, name: F.hex(binary.little_endian(v, n)).alias(name)
-    be = lambda v, n, name: F.hex(binary.big_endian(v, n)).alias(name)
-    return fx.table(spark, sf_dir, "orders").select(k, le(k % 256, 1, "u8"), le(k, 2, "u16_le"), le(k * 65537, 4, "u32_le"), le(k * 4294967311, 8, "u64_le"), be(k, 2, "u16_be"), be(k * 65537, 4, "u32_be"))
+    whole = lambda v, n, little: (binary.little_endian if little else binary.big_endian)(F.expr(v), n)
+    columns = [F.hex(whole(v, n, little)).alias(_name(name, order)) for name, n, v in _WRITES for order, little in _ORDERS(n)]
+    columns += [F.hex(binary.float_bytes(c("o_totalprice"), n, little)).alias(_name(name, order)) for name, n, _ in _FLOATS for order, little in _ORDERS(n)]
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", *columns)
 
 
 # --- Transforms -------------------------------------------------------------------------------------------
@@ -780,11 +863,8 @@ def _file_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(spark: SparkSession, packets: DataFrame, container: str) -> tuple[str, DataFrame]:
     from framewright.sources import files, wav
 
-    wav.register(spark)
     folder = files.new_folder(spark, container)
-    done = wav.write_files(wav.files_of(packets, container), folder)
-    done.write.parquet(f"{folder}-written")
-    return folder, spark.read.parquet(f"{folder}-written")
+    return folder, wav.write_files(packets, folder, container)
 
 
 def _doc_id(path: Column) -> Column:
@@ -820,14 +900,25 @@ def wav_sink(spark, sf_dir):
     return sizes.select(_doc_id(c("path")), "size")
 
 
-@query(f"""with {_FILES}, words as (select doc_id, generate_subscripts(w, 1) as i, unnest(w) as q from (select doc_id, regexp_extract_all(hex(content), '....') as w from files where depth = 16 and n % 2 = 0))
- select doc_id, 24 as bit_depth, md5(string_agg('00' || q, '' order by i)) as hex_md5 from words group by doc_id""")
+_F32_VALUE = f"(case when b >= 2147483648 then -1 else 1 end * (1 + (b % 8388608) / 8388608.0::double) * pow(2.0::double, b // 8388608 % 256 - 127))"
+#: Hex digits of a sample as 24 bits: 16-bit ones get a low byte, floats are clamped and cut; no text holds NaN.
+_TO_24 = f"case depth when 16 then '00' || q when 24 then q else {_le(f'trunc(greatest(least({_F32_VALUE} * 8388608, 8388607), -8388608))::bigint + 16777216', 3)} end"
+
+
+@query(f"""with {_FILES}, cut as (select doc_id, depth, regexp_extract_all(hex(content), case depth when 16 then '....' when 24 then '......' else '........' end) as w from files where n % (depth // 8) = 0),
+ words as (select doc_id, depth, generate_subscripts(w, 1) as i, unnest(w) as q from cut),
+ bits as (select *, case when depth = 32 then {_F32_BITS} end as b from words),
+ done as (select doc_id, md5(string_agg({_TO_24}, '' order by i)) as hex_md5 from bits group by doc_id)
+ select doc_id, depth as bit_depth, case when n % (depth // 8) <> 0 then 'invalid pcm' || depth || ' length' end as error, hex_md5 from files left join done using (doc_id)""")
 def wav_to_wav(spark, sf_dir):
-    source, _ = _written(spark, _file_packets(spark, sf_dir).filter("bit_depth = 16 and octet_length(data) % 2 = 0"), "wav")
-    packets = pk.transcode(spark.read.format("wav").options(path=source, limit=LIMIT).load(), c("bit_depth"), F.lit(24)).withColumn("bit_depth", F.lit(24))
-    folder, _ = _written(spark, packets, "wav")
-    out = spark.read.format("wav").options(path=folder).load()
-    return pk.mux(out, "path").join(out.filter("k = 0").select(c("path").alias("p"), "bit_depth"), c("path") == c("p")).select(_doc_id(c("path")), "bit_depth", F.md5(F.hex("data")).alias("hex_md5"))
+    """Files of every depth to 24 bits; those whose data doesn't fit their depth have an error instead."""
+    source, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
+    packets = spark.read.format("wav").options(path=source, limit=LIMIT).load()
+    errors = packets.groupBy("name").agg(F.max(pcm.length_error(c("data"), c("bit_depth"))).alias("error"), F.max("bit_depth").cast("long").alias("bit_depth")).withColumnRenamed("name", "of")
+    good = packets.join(errors.filter("error is null").select("of"), c("name") == c("of"), "left_semi").withColumn("path", c("name"))
+    folder, _ = _written(spark, pk.transcode(good, c("bit_depth"), F.lit(24)).withColumn("bit_depth", F.lit(24)), "wav")
+    out = pk.mux(spark.read.format("wav").options(path=folder).load(), "name").select(c("name").alias("made"), F.md5(F.hex("data")).alias("hex_md5"))
+    return errors.join(out, c("of") == c("made"), "left").select(_doc_id(c("of")), "bit_depth", "error", "hex_md5")
 
 
 @query(f"with {_FILES} select doc_id, md5(content) as data_md5, n as size from files")
@@ -835,6 +926,7 @@ def wav_to_raw(spark, sf_dir):
     from framewright.sources.wav import renamed
 
     source, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
-    folder, _ = _written(spark, renamed(spark.read.format("wav").options(path=source, limit=LIMIT).load(), "raw"), "raw")
+    packets = spark.read.format("wav").options(path=source, limit=LIMIT).load().withColumn("path", renamed("name", "raw"))
+    folder, _ = _written(spark, packets, "raw")
     files = spark.read.format("binaryFile").load(folder)
     return files.select(_doc_id(c("path")), F.md5("content").alias("data_md5"), c("length").alias("size"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Fixed values of the job table.
 EXTENSIONS = "mp4 mkv mov webm avi ogv flv mxf ts mp3 aac opus flac wav raw pcm m4a alac ogg y4m WAV".split()
-TOKENS = "codec=pcm_s16le codec=pcm_s24le codec=pcm_f32le codec=aac codec=h264 track=0 track=all track=* track=+3 track=-1 track=x volume=a=b bare codec= track=".split()
+TOKENS = "codec=pcm_s16le codec=pcm_s24le codec=pcm_f32le codec=aac codec=h264 track=0 track=all track=* track=+3 track=-1 track=x volume=a=b bare codec= track= \
+channels=2 sample_rate=48000 volume=0.5 scale=2 width=640 height=480 fps=25 bitrate=1M aspect_ratio=16:9 rotate=90 brightness=1.1 contrast=0.9 language=en default=yes shift=-2 \
+font_size=12 color=red position=top encoding=utf-8 translate=de normalize trim=1-2 fade=in reverse speed=2 filter_chain=a,b codec=srt codec=mov_text".split()
+TOKEN_OF = (("tok1", 1, 1), ("tok2", 7, 3), ("tok3", 11, 5), ("tok4", 3, 13))
 RATES = (0, 8000, 11025, 16000, 22050, 44100, 48000, 96000, 192000, 4294967295)
 DEPTHS, CODES = (0, 4, 8, 16, 24, 32, 12), (1, 3, 17, 65534)
 STREAMS = [(0, 10, "audio", "pcm_s16le"), (1, 11, "video", "h264"), (2, 12, "subtitle", "srt"), (3, 13, "audio", "aac"), (4, 14, "video", "vp9"), (5, 15, "audio", "opus")]
@@ -49,7 +52,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda head, ext: F.concat(F.lit(head), k.cast("string"), F.lit("."), ext)
     return table(spark, sf_dir, "orders").select(
         k.alias("job_id"), name("dir.d/in_", _pick(EXTENSIONS, k % 21)).alias("input"), name("out/", _pick(EXTENSIONS, c % 21)).alias("output"),
-        _pick(TOKENS, (k + c) % 15).alias("tok1"), _pick(TOKENS, (k * 7 + c * 3) % 15).alias("tok2"),
+        *(_pick(TOKENS, (k * a + c * b) % len(TOKENS)).alias(name) for name, a, b in TOKEN_OF),
     )
 
 

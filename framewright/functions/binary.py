@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _swapped(digits: Column, width: int) -> Column:
@@ -66,16 +69,30 @@ def float_64(digits: Column) -> Column:
 
 
 def little_endian(value: Column, width: int) -> Column:
-    """A non-negative whole number as ``width`` bytes, least significant first; higher bits are cut off."""
+    """A whole number as ``width`` bytes in two's complement, least significant first; higher bits are cut off."""
     digits = F.lpad(F.hex(value.cast("long")), 16, "0")
     return F.unhex(_swapped(F.substr(digits, F.lit(17 - 2 * width), F.lit(2 * width)), width))
 
 
 def big_endian(value: Column, width: int) -> Column:
+    """As little_endian, most significant first."""
     digits = F.lpad(F.hex(value.cast("long")), 16, "0")
     return F.unhex(F.substr(digits, F.lit(17 - 2 * width), F.lit(2 * width)))
 
 
+def float_bytes(value: Column, width: int, little: bool = True) -> Column:
+    """An IEEE single (4) or double (8) as bytes; null for null."""
+    kind = ("<" if little else ">") + f"f{width}"
+
+    @F.arrow_udf(T.BinaryType())
+    def pack(values: pa.Array) -> pa.Array:
+        numbers = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False).astype(kind)
+        packed = pa.Array.from_buffers(pa.binary(width), len(numbers), [None, pa.py_buffer(numbers.tobytes())]).cast(pa.binary())
+        return pc.if_else(values.is_valid(), packed, None)
+
+    return pack(value.cast("double"))
+
+
 def joined(parts: Column) -> Column:
     """An array of byte strings as one, in time proportional to the whole."""
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))

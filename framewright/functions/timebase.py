@@ -22,26 +22,39 @@ def from_seconds(seconds: Column, num: Column, den: Column) -> Column:
     return F.when(F.isnan(ticks), F.lit(0).cast("long")).when(ticks >= float(LONG_MAX), F.lit(LONG_MAX)).when(ticks <= float(LONG_MIN), F.lit(LONG_MIN)).otherwise(ticks.cast("long"))
 
 
+def _whole(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
 def _div(a: Column, b: Column) -> Column:
-    """Whole quotient cut toward zero, of decimals that stay below 64 bits after it."""
-    return F.call_function("div", a, b)
+    """Whole quotient cut toward zero of decimals without a fraction; a multiple of the divisor divides without a rest."""
+    return _whole((a - a % b) / b)
+
+
+def _low_64(x: Column) -> Column:
+    """The low 64 bits of a whole decimal as a long, which is the number itself unless it is larger."""
+    top, half = (F.lit(str(n)).cast("decimal(38,0)") for n in (2**64, 2**63))
+    low = (x % top + top) % top
+    return F.when(low >= half, low - top).otherwise(low).cast("decimal(20,0)").cast("long")
 
 
 def scale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column) -> Column:
-    """pts * to_num / to_den * den / num, cut after each division (so parts of a second are lost where to_den is the rate)."""
-    wide = lambda c: c.cast("decimal(38,0)")
-    whole = _div(pts.cast("decimal(19,0)") * to_num.cast("decimal(10,0)"), wide(to_den))
-    return _div(whole.cast("decimal(19,0)") * den.cast("decimal(10,0)"), wide(num))
+    """pts * to_num / to_den * den / num, cut after each division (so parts of a second are lost where to_den is the rate).
+
+    Products hold up to 38 digits; of a result beyond 64 bits the low 64 are left.
+    """
+    whole = _div(_whole(pts.cast("decimal(19,0)") * to_num.cast("decimal(10,0)")), _whole(to_den))
+    return _low_64(_div(_whole(whole.cast("decimal(28,0)") * den.cast("decimal(10,0)")), _whole(num)))
 
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column) -> Column:
-    """The tick of timebase ``to`` at or before pts (toward zero): one exact division."""
-    above = pts.cast("decimal(18,0)") * (num.cast("decimal(10,0)") * to_den.cast("decimal(10,0)")).cast("decimal(19,0)")
-    return _div(above, (den.cast("decimal(10,0)") * to_num.cast("decimal(10,0)")).cast("decimal(38,0)"))
+    """The tick of timebase ``to`` at or before pts (toward zero): one exact division, null where its product has over 38 digits or the result over 64 bits."""
+    by = lambda a, b: (a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast("decimal(19,0)")
+    return _div(_whole(pts.cast("decimal(19,0)") * by(num, to_den)), _whole(by(den, to_num))).try_cast("long")
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm in at most 48 steps, enough for 32-bit numbers."""
+    """Euclid's algorithm in at most 48 steps, enough for 32-bit numbers; an error where it would take more."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(s["a"] % s["b"]).alias("b")))
-    return done["a"]
+    return F.when(done["b"] == 0, done["a"]).otherwise(F.raise_error(F.lit("numbers too large for gcd")))

@@ -43,10 +43,10 @@ def packet_rows(packets: DataFrame, rate: Column, stream_id: Column | None = Non
 
 
 def decode(packets: DataFrame, depth: Column, channels: Column, data: str = "data") -> DataFrame:
-    """Frames: empty packets go; adds format, nb_samples and samples (null where the length doesn't fit)."""
+    """Frames: empty packets go; adds format, nb_samples, samples, and error where the length doesn't fit (samples are null then)."""
     full = packets.filter(F.octet_length(data) > 0)
     per = formats.bytes_per_frame(depth, channels)
-    return full.withColumns({"format": formats.audio_format(depth), "nb_samples": F.floor(F.octet_length(data) / per), "samples": pcm.to_floats(F.col(data), depth.cast("int"))})
+    return full.withColumns({"format": formats.audio_format(depth), "nb_samples": F.floor(F.octet_length(data) / per), "samples": pcm.to_floats(F.col(data), depth.cast("int")), "error": pcm.length_error(F.col(data), depth.cast("int"))})
 
 
 def encode(frames: DataFrame, target: Column, samples: str = "samples", kind: str | None = None) -> DataFrame:

@@ -46,3 +46,8 @@ def resolved(track: Column, count: Column) -> tuple[Column, Column]:
     # A sequence's bounds are worked out for every row, so they must hold for failing ones as well.
     all_of = F.sequence(F.lit(0).cast("long"), F.greatest(count, F.lit(1)).cast("long") - 1)
     return F.when(error.isNull(), F.when(track.isNull(), all_of).otherwise(F.array(track.cast("long")))), error
+
+
+def unchecked(track: Column) -> Column:
+    """The position that a track choice (null: all) stands for where the streams aren't known: itself, or the first."""
+    return F.coalesce(track.cast("long"), F.lit(0).cast("long"))

@@ -6,16 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Containers, and the codecs of each kind that they hold.
-CONTAINERS = "mp4 mkv mov webm avi ogv flv mxf ts mp3 aac opus flac wav raw pcm m4a alac ogg".split()
-EDGES = {
-    "video": "mp4:h264,h265 mkv:h264,h265,vp9,av1 mov:h264,h265 webm:vp8,vp9,av1 avi:mpeg4,h264 ogv:theora flv:h264,vp6 mxf:mpeg2,h264,h265 ts:h264,h265,mpeg2",
-    "audio": "mp4:aac,mp3 mkv:aac,vorbis,opus,mp3 mov:aac,mp3 webm:vorbis,opus avi:mp3,aac ogv:vorbis flv:mp3 mxf:pcm_s16le,aac ts:aac,mp2 mp3:mp3 aac:aac opus:opus flac:flac wav:pcm_s16le,pcm_s24le,pcm_f32le m4a:aac,alac alac:alac ogg:vorbis,opus raw:pcm_s16le,pcm_s24le,pcm_f32le pcm:pcm_s16le,pcm_s24le,pcm_f32le",
-    "subtitle": "mp4:mov_text mkv:srt,ass,vtt mov:mov_text webm:vtt",
+HELD = {
+    "mp4": {"video": ["h264", "h265"], "audio": ["aac", "mp3"], "subtitle": ["mov_text"]},
+    "mkv": {"video": ["h264", "h265", "vp9", "av1"], "audio": ["aac", "vorbis", "opus", "mp3"], "subtitle": ["srt", "ass", "vtt"]},
+    "mov": {"video": ["h264", "h265"], "audio": ["aac", "mp3"], "subtitle": ["mov_text"]},
+    "webm": {"video": ["vp8", "vp9", "av1"], "audio": ["vorbis", "opus"], "subtitle": ["vtt"]},
+    "avi": {"video": ["mpeg4", "h264"], "audio": ["mp3", "aac"]},
+    "ogv": {"video": ["theora"], "audio": ["vorbis"]},
+    "flv": {"video": ["h264", "vp6"], "audio": ["mp3"]},
+    "mxf": {"video": ["mpeg2", "h264", "h265"], "audio": ["pcm_s16le", "aac"]},
+    "ts": {"video": ["h264", "h265", "mpeg2"], "audio": ["aac", "mp2"]},
+    "mp3": {"audio": ["mp3"]},
+    "aac": {"audio": ["aac"]},
+    "opus": {"audio": ["opus"]},
+    "flac": {"audio": ["flac"]},
+    "wav": {"audio": ["pcm_s16le", "pcm_s24le", "pcm_f32le"]},
+    "raw": {"audio": ["pcm_s16le", "pcm_s24le", "pcm_f32le"]},
+    "pcm": {"audio": ["pcm_s16le", "pcm_s24le", "pcm_f32le"]},
+    "m4a": {"audio": ["aac", "alac"]},
+    "alac": {"audio": ["alac"]},
+    "ogg": {"audio": ["vorbis", "opus"]},
 }
+CONTAINERS = list(HELD)
 
 
 def edge_list() -> list[tuple[str, str, str]]:
-    return [(c, kind, codec) for kind, text in EDGES.items() for c, codecs in (x.split(":") for x in text.split()) for codec in codecs.split(",")]
+    return [(container, kind, codec) for container, kinds in HELD.items() for kind, codecs in kinds.items() for codec in codecs]
 
 
 def edges(spark: SparkSession) -> DataFrame:
@@ -45,11 +61,9 @@ def container_error(extension: Column) -> Column:
 
 
 def codec_error(container: Column, kind: str, codec: Column) -> Column:
-    """As an expression: the table is a constant, so a job's row needs no join. Null without a codec."""
-    held = F.lit(False)
-    for c in CONTAINERS:
-        codecs = [x for a, k, x in edge_list() if a == c and k == kind]
-        if codecs:
-            held = held | ((container == c) & codec.isin(*codecs))
+    """As an expression: the table is one constant map, so a job's row needs no join. Null without a codec."""
+    of_kind = [(c, kinds[kind]) for c, kinds in HELD.items() if kind in kinds]
+    table = F.create_map(*(x for c, codecs in of_kind for x in (F.lit(c), F.array(*map(F.lit, codecs)))))
+    held = F.coalesce(F.array_contains(F.try_element_at(table, container), codec), F.lit(False))
     word = "format" if kind == "subtitle" else "codec"
     return F.when(codec.isNull(), F.lit(None)).otherwise(F.coalesce(container_error(container), F.when(~held, F.concat(F.lit(f"{word} '"), codec, F.lit("' not supported in '"), container, F.lit("'")))))

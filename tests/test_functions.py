@@ -109,3 +109,36 @@ def test_list_chunk_has_the_size_of_its_parts(spark):
 def test_layouts(spark):
     names = [one(spark, n=media.layout_name(F.lit(i)))["n"] for i in (0, 1, 2, 3, 4, 6, 8)]
     assert names == ["0 channels", "mono", "stereo", "3 channels", "quad", "5.1", "7.1"]
+
+
+def test_large_and_negative_ticks(spark):
+    """128-bit products, as whole numbers; beyond 64 bits the low ones are left."""
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    cut = lambda a, b: abs(a) // b * (1 if a >= 0 else -1)
+    rows = [(2**62, 3, 1, 3, 1), (-(2**62), 3, 1, 3, 1), (2**63 - 1, 1, 90000, 1, 1000), (-(2**63), 1, 1, 1, 1), (-7, 1, 1, 1, 2), (10**18, 1001, 30000, 1, 48000), (5, 4294967295, 4294967295, 4294967295, 1)]
+    frame = spark.createDataFrame(rows, "pts long, num long, den long, tn long, td long")
+    got = frame.select(timebase.scale(*map(F.col, frame.columns)).alias("x"), timebase.rescale(*map(F.col, frame.columns)).alias("y")).collect()
+    for (pts, num, den, tn, td), r in zip(rows, got, strict=True):
+        assert r["x"] == wrap(cut(cut(pts * tn, td) * den, num))
+        exact = cut(pts * num * td, den * tn)
+        assert r["y"] == (exact if -(2**63) <= exact < 2**63 else None)
+
+
+def test_gcd_says_where_it_gives_up(spark):
+    near = spark.createDataFrame([(2971215073, 1836311903)], "a long, b long").select(timebase.gcd(F.col("a"), F.col("b")).alias("g"))
+    assert near.first()["g"] == 1
+    far = spark.createDataFrame([(7540113804746346429, 4660046610375530309)], "a long, b long").select(timebase.gcd(F.col("a"), F.col("b")).alias("g"))
+    with pytest.raises(Exception, match="too large for gcd"):
+        far.collect()
+
+
+@pytest.mark.parametrize("value", [0.0, -0.0, 1.5, -1e300, float("inf"), float("nan"), 5e-324])
+def test_float_writers(spark, value):
+    import struct
+
+    row = spark.createDataFrame([(value,), (None,)], "v double").select(*(binary.float_bytes(F.col("v"), n, little).alias(f"x{n}{little}") for n in (4, 8) for little in (True, False))).collect()
+    assert [bytes(row[0][f"x8{little}"]) for little in (True, False)] == [struct.pack(f"{o}d", value) for o in "<>"] and row[1]["x8True"] is None
+    if abs(value) < 1e38 or value != value or value == float("inf"):
+        assert [bytes(row[0][f"x4{little}"]) for little in (True, False)] == [struct.pack(f"{o}f", value) for o in "<>"]
+    signed = spark.range(1).select(F.hex(binary.little_endian(F.lit(-2), 2)).alias("a"), F.hex(binary.big_endian(F.lit(-(2**63)), 8)).alias("b")).first()
+    assert (signed["a"], signed["b"]) == ("FEFF", "8000000000000000")
