@@ -48,8 +48,8 @@ def scale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column)
 
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column) -> Column:
-    """The tick of timebase ``to`` at or before pts (toward zero): one exact division, null where its product has over 38 digits or the result over 64 bits."""
-    by = lambda a, b: (a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast("decimal(19,0)")
+    """The tick of timebase ``to`` at or before pts (toward zero): one exact division, null beyond 64 bits; a product of over 38 digits is an error."""
+    by = lambda a, b: (a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast("decimal(20,0)")
     return _div(_whole(pts.cast("decimal(19,0)") * by(num, to_den)), _whole(by(den, to_num))).try_cast("long")
 
 
