@@ -286,11 +286,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", jac
     A text is judged by itself: if another text of its id goes, it stays. Columns may have any names.
     """
     rows = stored(_classified(docs, doc_id, text, jaccard, recall).filter("usable").select("doc_id", "h1", "h2", "links", "class"), "classes")
-    key = F.struct("doc_id", "h1", "h2")
-    linked = rows.filter("links > 0").select("class", key.alias("key"))
-    first = linked.groupBy(F.col("class").alias("of")).agg(F.min("key").alias("first"))
-    gone = linked.join(first, F.col("class") == F.col("of")).filter(F.col("key") != F.col("first")).select("key.*").distinct()
-    gone = stored(gone, "gone")
+    linked = rows.filter("links > 0")
+    # Of the texts that bear the class's own id, mostly one.
+    least = linked.filter("doc_id = class").select("doc_id", F.struct("h1", "h2").alias("text")).distinct()
+    first = least.groupBy(F.col("doc_id").alias("of")).agg(F.min("text").alias("first"))
+    later = least.join(first, F.col("doc_id") == F.col("of")).filter(F.col("text") != F.col("first")).select("doc_id", "text.*")
+    gone = stored(linked.filter("doc_id <> class").select("doc_id", "h1", "h2").unionByName(later).distinct(), "gone")
     twice = stored(rows.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").join(gone, ["doc_id", "h1", "h2"], "left_anti"), "repeated")
     packed_rows = docs.select(packed(docs).alias("row"), col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("t1"), F.xxhash64(F.lit(1), col(text)).alias("t2"))
 

@@ -176,7 +176,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     the plan, a row per source, is joined. Nulls, ties and empty tables are as in ``mixture``.
     """
     ranked, plan = sampling_plan(stored(_sizes(docs, doc_id, text, source), "sizes"))
-    plan = _beside(ranked.select(*_OF).distinct(), plan, "left")
+    # Stored, so that Spark knows that it is small and no text is shuffled.
+    plan = stored(_beside(ranked.select(*_OF).distinct(), plan, "left"), "plan")
     rows = docs.select(packed(docs).alias("row"), word_count(col(text)).alias("size"), _draw(col(doc_id), col(text)).alias("draw"), col(source).alias("source"))
     taken = _ranked(_beside(rows, plan)).select("row", _copies().alias("copies")).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*unpacked("row", docs.columns))
