@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from framewright.llm import wordblocks as wb
 from framewright.llm.store import stored
@@ -131,11 +131,10 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, table: pa.Array) -> list[byt
 
 
 def _encoded_blocks(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str, text: str):
-    spark: SparkSession = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = spark.sparkContext.broadcast(ranks)  # as large as the vocabulary file
+    shards, tasks = wb.sizes_for(docs, text)
+    data = docs.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary file
     blocks = stored(wb.word_blocks(docs, splitter(pattern), shards, doc_id, text, level=LEVEL), "words")
-    return blocks, wb.answered(blocks, shards, _encode_shard(data, pattern)), data
+    return blocks, wb.answered(blocks, shards, _encode_shard(data, pattern)), data, tasks
 
 
 def encoded(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,7 +143,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
     A null text is an empty one and has no ids. Repeated rows and null ids are rows like any other; an empty
     table gives an empty result; other columns aren't read.
     """
-    blocks, answers, _ = _encoded_blocks(docs, ranks, pattern, doc_id, text)
+    blocks, answers, _, tasks = _encoded_blocks(docs, ranks, pattern, doc_id, text)
 
     def finish(block: wb.Block, payloads: list[bytes]) -> pa.Table:
         parts = []
@@ -153,7 +152,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
             parts.append(pa.table({"doc_id": block.doc_ids.slice(a, b - a), "ids": lists}))
         return pa.concat_tables(parts)
 
-    return wb.met(blocks, answers, finish, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>")
+    return wb.met(blocks, answers, finish, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>", tasks)
 
 
 def decoded(ids: DataFrame, ranks: bytes) -> DataFrame:
@@ -174,7 +173,7 @@ def decoded(ids: DataFrame, ranks: bytes) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encoded`` and ``decoded``, keeping digests only."""
-    blocks, answers, data = _encoded_blocks(docs, ranks, pattern, doc_id, text)
+    blocks, answers, data, tasks = _encoded_blocks(docs, ranks, pattern, doc_id, text)
 
     def finish(block: wb.Block, payloads: list[bytes]) -> pa.Table:
         table = token_bytes(data.value)
@@ -186,4 +185,4 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
             of_bytes += [hashlib.sha256(x).hexdigest() for x in decode_ids(ids, own, table)]
         return pa.table({"doc_id": block.doc_ids, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())})
 
-    return wb.met(blocks, answers, finish, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return wb.met(blocks, answers, finish, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", tasks)

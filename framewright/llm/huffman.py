@@ -259,7 +259,7 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id:
     whole numbers; rows with a null one come last, equal ids one after another. Other columns aren't read.
     """
     spark: SparkSession = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, tasks = wb.sizes_for(docs, text)
     data = spark.sparkContext.broadcast(tokenizer)  # as large as the tokenizer file
     found = added_tokens(tokenizer) if added else {}
     blocks = stored(wb.word_blocks(docs, splitter(found), shards, doc_id, text, counted=True), "words")
@@ -273,7 +273,7 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id:
     lengths = code_lengths(np.array([counts[s] for s in symbols.tolist()], np.int64))
     book = spark.createDataFrame([(int(s), int(n)) for s, n in zip(symbols, lengths, strict=True)], "symbol long, length int")
     book.coalesce(1).write.parquet(f"{path}/codes")
-    starts = part_starts(docs, doc_id, max(shards, sum(counts.values()) // PART_TOKENS))
+    starts = part_starts(docs, doc_id, max(tasks, sum(counts.values()) // PART_TOKENS))
     tables = spark.sparkContext.broadcast((*canonical_codes(symbols, lengths), starts))  # the vocabulary and the parts
 
     def code(block: wb.Block, payloads: list[bytes]) -> pa.Table:
@@ -292,7 +292,7 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id:
             out.append(pa.table({"part": pa.array(part, pa.int32()), "doc_id": doc_ids.cast(pa.int64()), "n_tokens": pa.array(np.diff(own), pa.int64()), "marks": pa.array(marks, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())}))
         return pa.concat_tables(out)
 
-    coded = wb.met(blocks, answers.filter("block >= 0"), code, "part int, doc_id long, n_tokens long, marks array<long>, bits binary")
+    coded = wb.met(blocks, answers.filter("block >= 0"), code, "part int, doc_id long, n_tokens long, marks array<long>, bits binary", tasks)
     ordered = coded.repartition(len(starts) + 1, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_last(), F.col("n_tokens"), F.col("bits"))
     schema = "part int, block long, first long, doc_ids array<long>, counts array<long>, sizes array<long>, marks array<long>, bits binary"
     ordered.mapInArrow(_fill_blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")

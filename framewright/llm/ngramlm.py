@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import wordblocks as wb
@@ -154,8 +154,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     one document of one block, scored whole. An empty table gives an empty result; without training rows the model is the
     uniform one. Other columns aren't read.
     """
-    spark: SparkSession = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, tasks = wb.sizes_for(docs, text)
     held_out = F.coalesce(F.pmod(F.crc32(col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), (~held_out).alias("train"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -169,7 +168,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     hot = np.sort(np.concatenate([*(t[3].astype(np.int64) for t in totals), np.array([start] if n_docs > HOT_PLACES else [], np.int64)]))
     none, base = start + 1, start + 2
     # About a byte and a half of packed codes a place.
-    parts = max(shards, int(every / 1.5 / SHARD_PLACES) + 1)
+    parts = max(tasks, int(every / 1.5 / SHARD_PLACES) + 1)
     mass = np.log10(train_tokens + vocabulary + 1)
     fields = f"block long, shard long, doc_ids array<{kind}>, held array<boolean>, payload binary"
 
@@ -205,7 +204,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 rows += [(int(of[x[0]]), wb.pack(*(y[x] for y in own))) for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(x)]
             return pa.table({"block": pa.array([block.number] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
-        asked = wb.met(blocks, answers.filter("block >= 0"), ask, "block long, shard int, payload binary")
+        asked = wb.met(blocks, answers.filter("block >= 0"), ask, "block long, shard int, payload binary", tasks)
         return stored(wb.answered(asked, parts, _sum_counts(base, HOT_PLACES)), "hot-counts")
 
     def said(counts: DataFrame) -> np.ndarray:
@@ -328,6 +327,6 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 score[owner] += np.frombuffer(p[len(p) - 4 * len(owner) :], "<f4")
         return pa.table({"doc_id": ids, "held_out": table.column("held")[at].values, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(ids), train_tokens), "base_score": base_score, "score": score})
 
-    sent = wb.met(blocks, given, places, fields)
-    done = sent.groupBy("shard").applyInArrow(score_shard, fields)
-    return done.groupBy("block").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sent = wb.met(blocks, given, places, fields, tasks)
+    done = sent.repartition(parts, "shard").groupBy("shard").applyInArrow(score_shard, fields)
+    return done.repartition(tasks, "block").groupBy("block").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

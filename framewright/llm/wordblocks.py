@@ -30,6 +30,17 @@ BLOCK_WORDS = 4_000_000
 SLICE_BYTES = 2 << 20
 #: Words whose values a shard's task keeps in memory; beyond it they are worked out anew.
 MEMO = 300_000
+#: Bytes of text whose distinct words make a shard, and whose blocks a task puts together, about.
+SHARD_BYTES, TASK_BYTES = 64 << 20, 16 << 20
+#: Most shards that a block's words are cut into: a row should hold some ten words. Larger shards are read row by row.
+MOST_SHARDS = 8192
+
+
+def sizes_for(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Numbers of shards and of tasks for blocks. Both grow with the bytes of text; a core has one of each at least."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(col(text))), F.lit(0))).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return min(max(cores, total // SHARD_BYTES + 1), MOST_SHARDS), max(cores, total // TASK_BYTES + 1)
 
 
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
@@ -201,8 +212,8 @@ def answered(blocks: DataFrame, shards: int, answer: Callable[[Iterator[pa.Recor
     return asked.mapInArrow(answer, "block long, shard int, payload binary")
 
 
-def met(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[bytes]], pa.Table], schema: str) -> DataFrame:
-    """Brings each block its answers: ``finish(block, payloads)`` gives its rows."""
+def met(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[bytes]], pa.Table], schema: str, tasks: int) -> DataFrame:
+    """Brings each block its answers in one of ``tasks`` tasks: ``finish(block, payloads)`` gives its rows."""
     own = blocks.filter("shard < 0")
     answers = answers.select("block", "shard", F.lit(None).cast(blocks.schema["doc_ids"].dataType).alias("doc_ids"), F.lit(None).cast("array<boolean>").alias("extras"), "payload")
 
@@ -213,7 +224,7 @@ def met(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[byt
         block = Block(table.column("block")[at].as_py(), table.column("doc_ids")[at].values, table.column("extras")[at].values, bounds, codes)
         return finish(block, [p.as_py() for i, p in enumerate(table.column("payload")) if i != at])
 
-    return own.unionByName(answers).groupBy("block").applyInArrow(group, schema)
+    return own.unionByName(answers).repartition(tasks, "block").groupBy("block").applyInArrow(group, schema)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
