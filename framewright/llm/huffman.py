@@ -30,6 +30,8 @@ from framewright.llm.store import new_path, stored
 MAX_BITS, BLOCK_TOKENS, LANE = 16, 65536, 1024
 #: Tokens that a part should hold, and that are decoded at a time.
 PART_TOKENS, DECODE_TOKENS = 16_000_000, 2_000_000
+#: Lines of words that are encoded at a time.
+LINES = 64
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -225,12 +227,14 @@ def encode_words(tokenizer, words: list[str], together: int = 128) -> list[list[
     """Each word's ids. Words are encoded in lines, where a token's offset tells its word."""
     lines = [words[i : i + together] for i in range(0, len(words), together)]
     out: list[list[int]] = []
-    for own, e in zip(lines, tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-        of = np.searchsorted(ends, np.array([a for a, _ in e.offsets], np.int64), side="right")
-        cuts = np.searchsorted(of, np.arange(len(own) + 1)).tolist()
-        ids = e.ids
-        out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for i in range(0, len(lines), LINES):
+        some = lines[i : i + LINES]
+        for own, e in zip(some, tokenizer.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            of = np.searchsorted(ends, np.array([a for a, _ in e.offsets], np.int64), side="right")
+            cuts = np.searchsorted(of, np.arange(len(own) + 1)).tolist()
+            ids = e.ids
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return out
 
 

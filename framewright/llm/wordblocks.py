@@ -31,7 +31,7 @@ SLICE_BYTES = 2 << 20
 #: Words whose values a shard's task keeps in memory; beyond it they are worked out anew.
 MEMO = 300_000
 #: Bytes of text whose distinct words make a shard, and whose blocks a task puts together, about.
-SHARD_BYTES, TASK_BYTES = 64 << 20, 16 << 20
+SHARD_BYTES, TASK_BYTES = 32 << 20, 16 << 20
 #: Most shards that a block's words are cut into: a row should hold some ten words. Larger shards are read row by row.
 MOST_SHARDS = 8192
 

@@ -389,6 +389,22 @@ def test_language_model(spark, sf):
     assert lone["train_tokens"] == 0 and math.isclose(lone["score"], 0.0, abs_tol=1e-6)
 
 
+def test_shards_grow_with_the_texts(spark, sf, monkeypatch):
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert wb.sizes_for(frame) == wb.sizes_for(empty(spark)) == (cores, cores)
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    want = by(bytebpe.digests(frame, ranks, public_tokenizers.PATTERN), "doc_id")
+    total = sum(len(r["text"].encode()) for r in frame.filter("text is not null").collect())
+    monkeypatch.setattr(wb, "SHARD_BYTES", total // 20)
+    monkeypatch.setattr(wb, "TASK_BYTES", total // 40)
+    shards, tasks = wb.sizes_for(frame)
+    assert 20 <= shards <= 22 and 40 <= tasks <= 42
+    assert by(bytebpe.digests(frame, ranks, public_tokenizers.PATTERN), "doc_id") == want
+    monkeypatch.setattr(wb, "MOST_SHARDS", 3)
+    assert wb.sizes_for(frame) == (3, tasks)
+
+
 @pytest.mark.parametrize("most", [3, 40])
 def test_hot_words_are_cut_again(spark, sf, monkeypatch, most):
     rows = ODD + [(i, "the the the " * (i % 4) + f"of the w{i % 9} the of", "s") for i in range(100, 160)] + [(r["doc_id"] + 1000, r["text"], "s") for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
