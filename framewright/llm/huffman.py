@@ -297,7 +297,7 @@ def write_ids(docs: DataFrame, tokenizer: bytes, end_id: int, path: str, doc_id:
         return pa.concat_tables(out)
 
     coded = wb.met(blocks, answers.filter("block >= 0"), code, "part int, doc_id long, n_tokens long, marks array<long>, bits binary", tasks)
-    ordered = coded.repartition(len(starts) + 1, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_last(), F.col("n_tokens"), F.col("bits"))
+    ordered = coded.repartitionById(len(starts) + 1, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_last(), F.col("n_tokens"), F.col("bits"))
     schema = "part int, block long, first long, doc_ids array<long>, counts array<long>, sizes array<long>, marks array<long>, bits binary"
     ordered.mapInArrow(_fill_blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 

@@ -275,6 +275,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), "doc_ids": lists(2, ids.type), "held": lists(3, pa.bool_()), "payload": pa.array([r[4] for r in rows], pa.binary())})
 
     def score_shard(table: pa.Table) -> pa.Table:
+        table = table.drop_columns("task")
         if table.column("shard")[0].as_py() < 0:
             return table
         kind = np.int32 if start < 2**31 else np.int64
@@ -328,5 +329,6 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return pa.table({"doc_id": ids, "held_out": table.column("held")[at].values, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(ids), train_tokens), "base_score": base_score, "score": score})
 
     sent = wb.met(blocks, given, places, fields, tasks)
-    done = sent.repartition(parts, "shard").groupBy("shard").applyInArrow(score_shard, fields)
-    return done.repartition(tasks, "block").groupBy("block").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    turn = wb.turns(blocks)
+    done = wb.in_tasks(sent, parts, F.when(F.col("shard") < 0, turn).otherwise(F.col("shard"))).groupBy("task", "shard").applyInArrow(score_shard, fields)
+    return wb.in_tasks(done, tasks, turn).groupBy("task", "block").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.arrow import slices
@@ -207,11 +207,22 @@ def blank_split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def answered(blocks: DataFrame, shards: int, answer: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Deals the word rows out by shard, a shard's rows one after another, and lets ``answer`` give rows of the same columns back."""
-    asked = blocks.filter("shard >= 0").select("block", "shard", "payload").repartition(shards, "shard").sortWithinPartitions("shard")
+    """Deals the word rows out, a task for each shard, and lets ``answer`` give rows of the same columns back."""
+    asked = blocks.filter("shard >= 0").select("block", "shard", "payload").repartitionById(shards, "shard").sortWithinPartitions("shard")
     return asked.mapInArrow(answer, "block long, shard int, payload binary")
 
 
+def turns(blocks: DataFrame) -> Column:
+    """A number of each block for dealing them out one by one: first blocks of all the tasks that made them, then second ones."""
+    makers = blocks.filter("shard < 0").agg(F.coalesce(F.max(F.shiftright("block", 24)), F.lit(0)) + 1).first()[0]
+    return F.col("block").bitwiseAND((1 << 24) - 1) * makers + F.shiftright("block", 24)
+
+
+def in_tasks(rows: DataFrame, tasks: int, turn: Column) -> DataFrame:
+    """Rows with a column ``task``, dealt out by ``turn``. A hash would put several turns into one task and none into others."""
+    return rows.withColumn("task", F.pmod(turn, F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
+
+
 def met(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[bytes]], pa.Table], schema: str, tasks: int) -> DataFrame:
     """Brings each block its answers in one of ``tasks`` tasks: ``finish(block, payloads)`` gives its rows."""
     own = blocks.filter("shard < 0")
@@ -224,7 +235,7 @@ def met(blocks: DataFrame, answers: DataFrame, finish: Callable[[Block, list[byt
         block = Block(table.column("block")[at].as_py(), table.column("doc_ids")[at].values, table.column("extras")[at].values, bounds, codes)
         return finish(block, [p.as_py() for i, p in enumerate(table.column("payload")) if i != at])
 
-    return own.unionByName(answers).repartition(tasks, "block").groupBy("block").applyInArrow(group, schema)
+    return in_tasks(own.unionByName(answers), tasks, turns(blocks)).groupBy("task", "block").applyInArrow(group, schema)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
