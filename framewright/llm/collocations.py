@@ -337,7 +337,7 @@ def merged_stripes(slim: DataFrame, least: int = LEAST, share: float | None = No
 def _score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (left * right)): whole decimals, exact up to 38 digits (counts up to 5 * 10^15)."""
     whole = lambda c: c.cast("decimal(19,0)")
-    over = (F.lit(1000000).cast("decimal(7,0)") * (whole(a) * whole(a)).cast("decimal(31,0)")).cast("decimal(38,0)")
+    over = (F.lit(1000000).cast("decimal(7,0)") * (whole(a) * whole(a)).cast("decimal(32,0)")).cast("decimal(38,0)")
     under = (whole(left) * whole(right)).cast("decimal(38,0)")
     return ((over - over % under) / under).cast("long")
 
