@@ -522,10 +522,20 @@ def seconds_to_pts(spark, sf_dir):
     return _ticks(spark, sf_dir).select("event_id", timebase.from_seconds(c("pts") / F.lit(1000000), c("num"), c("den")).alias("ticks"))
 
 
-@query(f"""with {_TICKS} select event_id, {_LOW_64} as scaled from (select event_id, (x % 18446744073709551616::hugeint + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as low
- from (select event_id, {_WIDE}::hugeint * 3 // 1000 * den // num as x from ticks))""")
+#: Every seventh row has the largest numbers there are, of either sign.
+_EDGE = "(event_id % 7 = 6)"
+_EDGES = f"edges as (select event_id, case when {_EDGE} then (case when event_id % 2 = 0 then 9223372036854775807 else -9223372036854775807 - 1 end) else {_WIDE} end as pts, num, case when {_EDGE} then 4294967295 else den end as den, case when {_EDGE} then 4294967295 else 3 end as to_num, case when {_EDGE} then event_id % 4 + 1 else 1000 end as to_den from ticks)"
+
+
+@query(f"""with {_TICKS}, {_EDGES} select event_id, {_LOW_64} as scaled from (select event_id, (x % 18446744073709551616::hugeint + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as low
+ from (select event_id, pts::hugeint * to_num // to_den * den // num as x from edges))""")
 def scale_pts(spark, sf_dir):
-    return _wide_ticks(spark, sf_dir).select("event_id", timebase.scale(c("pts"), c("num"), c("den"), F.lit(3), F.lit(1000)).alias("scaled"))
+    edge = F.expr(_EDGE)
+    rows = _wide_ticks(spark, sf_dir).withColumns({
+        "pts": F.when(edge, F.when(c("event_id") % 2 == 0, F.lit(timebase.LONG_MAX)).otherwise(F.lit(timebase.LONG_MIN))).otherwise(c("pts")), "den": F.when(edge, 4294967295).otherwise(c("den")),
+        "to_num": F.when(edge, 4294967295).otherwise(3), "to_den": F.when(edge, c("event_id") % 4 + 1).otherwise(1000),
+    })
+    return rows.select("event_id", timebase.scale(c("pts"), c("num"), c("den"), c("to_num"), c("to_den")).alias("scaled"))
 
 
 @query(f"with {_TICKS} select event_id, try_cast({_WIDE}::hugeint * num * 1000 // (den * 3) as bigint) as rescaled from ticks")

@@ -112,9 +112,10 @@ def list_chunk(metadata: Column) -> Column:
 
 
 def header_of(channels: int, rate: int, depth: int, data_size: int, extra: int = 0) -> bytes:
-    """The bytes of ``header_bytes`` for one file of PCM or, at 32 bits, float samples."""
-    block, code = depth // 8 * channels, 3 if depth == 32 else 1
-    fmt = struct.pack("<HHIIHH", code, channels, rate, min(rate * block, U32_MAX), block, depth) + (b"\0\0" if code == 3 else b"")
+    """The bytes of ``header_bytes`` for one file of PCM or, at 32 bits, float samples, or at 4 bits ADPCM in blocks of 512 bytes."""
+    block, code = depth // 8 * channels, {32: 3, 4: 17}.get(depth, 1)
+    tail = {3: b"\0\0", 17: struct.pack("<HH", 4, (512 - 4 * channels) * 2 + 1 & 65535)}.get(code, b"")
+    fmt = struct.pack("<HHIIHH", code, channels, rate, min(rate * block, U32_MAX), block, depth) + tail
     return struct.pack("<4sI8sI", b"RIFF", 20 + len(fmt) + data_size + data_size % 2 + extra, b"WAVEfmt ", len(fmt)) + fmt + struct.pack("<4sI", b"data", data_size)
 
 

@@ -41,10 +41,15 @@ def _low_64(x: Column) -> Column:
 def scale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column) -> Column:
     """pts * to_num / to_den * den / num, cut after each division (so parts of a second are lost where to_den is the rate).
 
-    Products hold up to 38 digits; of a result beyond 64 bits the low 64 are left.
+    As 128-bit numbers have it, of which the low 64 bits are left; no numbers of 32 bits in a timebase overflow. The second
+    product can have 39 digits, so whole parts of its quotient are taken ahead of it, and only modulo 2^64.
     """
-    whole = _div(_whole(pts.cast("decimal(19,0)") * to_num.cast("decimal(10,0)")), _whole(to_den))
-    return _low_64(_div(_whole(whole.cast("decimal(28,0)") * den.cast("decimal(10,0)")), _whole(num)))
+    top = F.lit(str(2**64)).cast("decimal(38,0)")
+    by_den, by_num = den.cast("decimal(10,0)"), _whole(num)
+    first = _div(_whole(pts.cast("decimal(19,0)") * to_num.cast("decimal(10,0)")), _whole(to_den))
+    whole, rest = _div(first, by_num), first % by_num
+    low = _whole((whole % top).cast("decimal(20,0)") * by_den)
+    return _low_64(low + _div(_whole(rest.cast("decimal(10,0)") * by_den), by_num))
 
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column) -> Column:

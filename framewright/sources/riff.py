@@ -5,13 +5,14 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+from framewright.functions.adpcm import frames_of
 from framewright.functions.formats import INFO_TAGS
 
 _FIELDS = {tag: name for name, tag in INFO_TAGS.items()}
 # Format codes.
 PCM, FLOAT, ADPCM = 1, 3, 17
-#: Bytes of a LIST chunk that are read; tags behind them are left out, as they are of a file that ends in the chunk.
-MOST_INFO = 1 << 20
+#: Bytes of an ADPCM block where the head doesn't say.
+ADPCM_BLOCK = 512
 
 
 class WavError(ValueError):
@@ -26,11 +27,20 @@ class WavHead:
     format_code: int = 0
     data_at: int = -1
     data_size: int = 0
+    block_align: int = 0
     metadata: dict[str, str] = field(default_factory=dict)
 
     @property
     def block(self) -> int:
-        return self.channels * (self.bit_depth // 8)
+        """Bytes that can't be cut: a frame, or a block of ADPCM."""
+        return (self.block_align or ADPCM_BLOCK) if self.format_code == ADPCM else self.channels * (self.bit_depth // 8)
+
+    def frames_in(self, size: int) -> int:
+        """Frames of ``size`` bytes that begin with a whole block; of a last, shorter block what it holds."""
+        if self.format_code != ADPCM:
+            return size // self.block
+        whole, rest = divmod(size, self.block)
+        return whole * frames_of(self.block, self.channels) + frames_of(rest, self.channels)
 
     def error(self) -> str | None:
         if not self.channels:
@@ -42,33 +52,57 @@ class WavHead:
                 return "bits per sample must be non-zero"
             return "bits per sample must be multiple of 8" if self.bit_depth % 8 else None
         if self.format_code == ADPCM:
-            return "IMA ADPCM must have 4 bits per sample" if self.bit_depth != 4 else "ADPCM has no whole bytes per sample"
+            if self.bit_depth != 4:
+                return "IMA ADPCM must have 4 bits per sample"
+            return "ADPCM block is too small" if self.block <= 4 * self.channels else None
         return f"audio format code {self.format_code} is not supported"
 
     @property
     def supported(self) -> bool:
-        """Whether the label of the depth is true of the samples: integers of 16 or 24 bits or floats of 32."""
-        return (self.format_code, self.bit_depth) in ((PCM, 16), (PCM, 24), (FLOAT, 32))
+        """Whether the label of the depth is true of the samples: integers of 16 or 24 bits, floats of 32, or ADPCM."""
+        return (self.format_code, self.bit_depth) in ((PCM, 16), (PCM, 24), (FLOAT, 32), (ADPCM, 4))
 
 
-def _info(body: bytes) -> dict[str, str]:
-    out, at = {}, 4
-    while at + 8 <= len(body):
-        if at + 8 + struct.unpack_from("<I", body, at + 4)[0] > len(body):
+def _info(read, at: int, end: int) -> dict[str, str]:
+    """Known tags of a LIST chunk, one by one: values that aren't wanted are passed over, however long. A tag that its chunk cuts off ends it."""
+    out = {}
+    while at + 8 <= end:
+        tag, size = struct.unpack("<4sI", read(at, 8))
+        if at + 8 + size > end:
             break
-        tag, size = body[at : at + 4].decode("latin-1"), struct.unpack_from("<I", body, at + 4)[0]
-        value = body[at + 8 : at + 8 + size].decode("utf-8", "replace").rstrip("\0")
-        if tag in _FIELDS:
-            out[_FIELDS[tag]] = value
+        name = _FIELDS.get(tag.decode("latin-1"))
+        if name:
+            out[name] = read(at + 8, size).decode("utf-8", "replace").rstrip("\0")
         at += 8 + size + size % 2
     return out
 
 
-def read_head(read, size: int) -> WavHead:
-    """``read(at, n)`` gives bytes of a file of ``size`` bytes.
+class _NotYet(Exception):
+    """Bytes that aren't there so far."""
+
+
+def head_of_prefix(data: bytes) -> WavHead | None:
+    """The head of a file of which the first bytes are known, up to where its data begins; None if they don't go that far.
+
+    Metadata behind the data isn't seen, and the data's size is what the file declares.
+    """
+
+    def read(at: int, n: int) -> bytes:
+        if at + n > len(data):
+            raise _NotYet
+        return data[at : at + n]
+
+    try:
+        return read_head(read, 1 << 62, to_data=True)
+    except _NotYet:
+        return None
+
+
+def read_head(read, size: int, to_data: bool = False) -> WavHead:
+    """``read(at, n)`` gives bytes of a file of ``size`` bytes. With ``to_data`` it is read up to its data only.
 
     Chunks after the data are walked too, so that metadata behind it is found; odd chunks have a pad byte. Data
-    that is declared longer than the file ends with it. Whatever is wrong with the bytes is a WavError.
+    that is declared longer than the file ends with it. Data ahead of its fmt chunk has no sample rate. Whatever is wrong with the bytes is a WavError.
     """
     top = read(0, 12)
     if len(top) < 12:
@@ -82,20 +116,23 @@ def read_head(read, size: int) -> WavHead:
             raise WavError("unexpected EOF")
         return found
 
-    head, at = WavHead(), 12
+    head, at, formatted = WavHead(), 12, False
     while at + 8 <= size:
         tag, n = struct.unpack("<4sI", exactly(at, 8))
         if tag == b"fmt ":
             if n < 16:
                 raise WavError("fmt chunk too small")
-            head.format_code, channels, head.sample_rate, _, _, head.bit_depth = struct.unpack("<HHIIHH", exactly(at + 8, 16))
-            head.channels = channels & 255
+            head.format_code, channels, head.sample_rate, _, head.block_align, head.bit_depth = struct.unpack("<HHIIHH", exactly(at + 8, 16))
+            head.channels, formatted = channels & 255, True
         elif tag == b"LIST":
-            body = read(at + 8, min(n, MOST_INFO))
-            if body[:4] == b"INFO":
-                head.metadata |= _info(body)
+            if read(at + 8, min(n, 4)) == b"INFO":
+                head.metadata |= _info(exactly, at + 12, min(at + 8 + n, size))
         elif tag == b"data" and head.data_at < 0:
+            if not formatted:
+                raise WavError("sample rate must be non-zero")
             head.data_at, head.data_size = at + 8, min(n, size - at - 8)
+            if to_data:
+                break
         at += 8 + n + n % 2
     if head.data_at < 0:
         raise WavError("unexpected EOF")

@@ -15,25 +15,23 @@ job is done; a failed job leaves none. Existing files are an error, with ``mode(
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from framewright.functions.formats import INFO_TAGS, header_of, list_chunk_of
 from framewright.operators.packets import PACKET_BYTES
-from framewright.sources.files import filesystem, listed, read_range
-from framewright.sources.riff import FLOAT, PCM, WavError, WavHead, read_head
+from framewright.sources.files import filesystem, listed
+from framewright.sources.riff import ADPCM, FLOAT, PCM, WavError, WavHead, read_head
+from framewright.sources.writer import FolderWriter
 
-PACKETS = "path string, name string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int, metadata map<string,string>"
+PACKETS = "path string, name string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int, block_size int, metadata map<string,string>"
 HEADER = "path string, name string, channels int, sample_rate long, bit_depth int, format_code int, data_size long, frames long, duration double, codec string, supported boolean, metadata map<string,string>, error string"
 RANGE_BYTES = 64 << 20
 #: Files of a task, at most, however small.
@@ -66,7 +64,9 @@ class _Reader(DataSourceReader):
 
     def _head(self, path: str, size: int) -> WavHead:
         if not self.raw:
-            return read_head(lambda at, n: read_range(path, at, n), size)
+            system, place = filesystem(path)
+            with system.open_input_file(place) as f:
+                return read_head(lambda at, n: (f.seek(at), f.read(n))[1], size)
         depth = int(self.options.get("depth", 16))
         head = WavHead(int(self.options.get("channels", 2)), int(self.options.get("sample_rate", 44100)), depth, FLOAT if depth == 32 else PCM, 0, size)
         if head.error():
@@ -103,7 +103,7 @@ class _Reader(DataSourceReader):
             first, last = (-(-max(0, at - head.data_at) // packet) for at in (start if start else 0, end))
             for k, part in _parts(path, head, packet, first, min(last, -(-head.data_size // packet))):
                 about = list(head.metadata.items()) if k == 0 else None
-                rows.append((path, name, k, part, len(part), k * packet // head.block, head.channels, head.sample_rate, head.bit_depth, head.format_code, about))
+                rows.append((path, name, k, part, len(part), head.frames_in(k * packet), head.channels, head.sample_rate, head.bit_depth, head.format_code, head.block, about))
                 held += len(part)
                 if held >= BATCH_BYTES:
                     yield _batch(rows, _ARROW_PACKETS)
@@ -116,8 +116,8 @@ class _Reader(DataSourceReader):
             h = self._head(path, size)
         except WavError as e:
             return (path, name, *[None] * 8, False, [], str(e))
-        frames = h.data_size // h.block
-        return (path, name, h.channels, h.sample_rate, h.bit_depth, h.format_code, h.data_size, frames, frames / h.sample_rate, _CODEC.get(h.bit_depth, "pcm_s16le"), h.supported, list(h.metadata.items()), None)
+        frames = h.frames_in(h.data_size)
+        return (path, name, h.channels, h.sample_rate, h.bit_depth, h.format_code, h.data_size, frames, frames / h.sample_rate, "adpcm_ima_wav" if h.format_code == ADPCM else _CODEC.get(h.bit_depth, "pcm_s16le"), h.supported, list(h.metadata.items()), None)
 
 
 def _parts(path: str, head: WavHead, packet: int, first: int, last: int) -> Iterator[tuple[int, bytes]]:
@@ -134,80 +134,36 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _TEXTS = pa.map_(pa.string(), pa.string())
-_ARROW_PACKETS = pa.schema([("path", pa.string()), ("name", pa.string()), ("k", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("pts", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("metadata", _TEXTS)])
+_ARROW_PACKETS = pa.schema([("path", pa.string()), ("name", pa.string()), ("k", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("pts", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("block_size", pa.int32()), ("metadata", _TEXTS)])
 _ARROW_HEADER = pa.schema([("path", pa.string()), ("name", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("data_size", pa.int64()), ("frames", pa.int64()), ("duration", pa.float64()), ("codec", pa.string()), ("supported", pa.bool_()), ("metadata", _TEXTS), ("error", pa.string())])
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    """(attempt, name) of a task's files."""
-
-    files: list[tuple[str, str]]
+class _Writer(FolderWriter):
+    columns = ("data", "channels", "sample_rate", "bit_depth", "file_size", "metadata")
 
-
-class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], raw: bool, overwrite: bool) -> None:
-        if not options.get("path"):
-            raise ValueError("option path is missing")
-        self.folder, self.raw, self.overwrite = options["path"].rstrip("/"), raw, overwrite
-        self.attempts = f"{self.folder}/_attempts-{uuid.uuid4().hex}"
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, top = filesystem(self.attempts)
-        own, done, name, out, left, tail = uuid.uuid4().hex, [], None, None, 0, b""
-
-        def close() -> None:
-            if out is None:
-                return
-            if left:
-                raise ValueError(f"{name}: {left} bytes of its packets are missing; bring packets into order with by_file")
-            out.write(tail)
-            out.close()
-
-        for batch in batches:
-            if batch.num_rows and not done:
-                system.create_dir(top, recursive=True)
-            get = lambda c, b=batch: b.column(c) if c in b.schema.names else pa.nulls(b.num_rows)
-            for path, data, channels, rate, depth, size, about in zip(*(get(c) for c in ("path", "data", "channels", "sample_rate", "bit_depth", "file_size", "metadata")), strict=True):
-                if path.as_py() != name:
-                    close()
-                    name, left = path.as_py(), size.as_py()
-                    if name in {n for _, n in done}:
-                        raise ValueError(f"{name}: its packets don't stand together; bring packets into order with by_file")
-                    attempt = f"{top}/{own}-{len(done)}"
-                    out = system.open_output_stream(attempt)
-                    done.append((attempt, name))
-                    tail = b""
-                    if not self.raw:
-                        if left >= MOST_BYTES:
-                            raise ValueError(f"{name}: a WAV file can't hold 4 GiB")
-                        chunk = list_chunk_of(dict(about.as_py() or []))
-                        out.write(header_of(channels.as_py(), rate.as_py(), depth.as_py(), left, len(chunk)))
-                        tail = b"\0" * (left % 2) + chunk
-                left -= len(data.as_buffer())
-                out.write(data.as_buffer())
-        close()
-        return _Written(done)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, top = filesystem(self.folder)
-        files = [x for m in messages if m is not None for x in m.files]
-        names = [os.path.normpath(n).lstrip("/") for _, n in files]
-        twice = [n for n, k in Counter(names).items() if k > 1]
-        there = [] if self.overwrite else [n for n in names if system.get_file_info(f"{top}/{n}").type != fs.FileType.NotFound]
-        if twice or there or any(n.startswith("..") for n in names):
-            self.abort(messages)
-            raise ValueError(f"files of one name: {twice[:3]}" if twice else f"files that exist: {there[:3]}" if there else "a path leaves the folder")
-        for folder in {os.path.dirname(f"{top}/{n}") for n in names}:
-            system.create_dir(folder, recursive=True)
-        for (attempt, _), n in zip(files, names, strict=True):
-            system.move(attempt, f"{top}/{n}")
-        self.abort(messages)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        system, top = filesystem(self.attempts)
-        if system.get_file_info(top).type != fs.FileType.NotFound:
-            system.delete_dir(top)
+        super().__init__(options, overwrite)
+        self.raw, self.name, self.left, self.last = raw, "", 0, b""
+
+    def head(self, row: dict[str, Any]) -> bytes:
+        self.name, self.left, self.last = row["path"], row["file_size"].as_py(), b""
+        if self.raw:
+            return b""
+        if self.left >= MOST_BYTES:
+            raise ValueError(f"{self.name}: a WAV file can't hold 4 GiB")
+        chunk = list_chunk_of(dict(row["metadata"].as_py() or []))
+        self.last = b"\0" * (self.left % 2) + chunk
+        return header_of(row["channels"].as_py(), row["sample_rate"].as_py(), row["bit_depth"].as_py(), self.left, len(chunk))
+
+    def body(self, row: dict[str, Any]) -> list[Any]:
+        data = row["data"].as_buffer()
+        self.left -= len(data)
+        return [data]
+
+    def tail(self) -> bytes:
+        if self.left:
+            raise ValueError(f"{self.name}: {self.left} bytes of its packets are missing; bring packets into order with by_file")
+        return self.last
 
 
 class WavSource(DataSource):
@@ -271,7 +227,7 @@ def convert(spark: SparkSession, source: str, folder: str, container: str = "wav
     A file keeps its place below the source folder. Two files that would get one name are an error, and so are files
     that exist, and samples that can't be decoded; nothing is written then. Empty files have no packets and no output.
     """
-    from framewright.functions import pcm
+    from framewright.functions import adpcm, pcm
 
     register(spark)
     heads = spark.read.format(source_format).options(path=source, include="header", **options).load()
@@ -280,7 +236,12 @@ def convert(spark: SparkSession, source: str, folder: str, container: str = "wav
         raise ValueError(f"{named[0]['one']} and {named[0]['other']} would both be {named[0]['target']}")
     packets = spark.read.format(source_format).options(path=source, **options).load().withColumn("path", renamed("name", container))
     if depth is not None:
-        wrong = pcm.length_error(F.col("data"), F.col("bit_depth"))
+        # ADPCM is 16-bit PCM once decoded; its packets hold whole blocks.
+        coded = F.col("bit_depth") == 4
+        if source_format == "wav":
+            plain = F.when(coded, adpcm.to_pcm16(F.when(coded, F.col("data")), "channels", "block_size")).otherwise(F.col("data"))
+            packets = packets.withColumns({"data": plain, "bit_depth": F.when(coded, 16).otherwise(F.col("bit_depth"))})
+        wrong = F.coalesce(pcm.length_error(F.col("data"), F.col("bit_depth")), F.when(F.col("data").isNull(), "invalid adpcm block"))
         data = F.when(wrong.isNull(), pcm.transcode("data", "bit_depth", F.lit(depth))).otherwise(F.raise_error(F.concat("name", F.lit(": "), wrong)))
         packets = packets.withColumns({"data": data, "bit_depth": F.lit(depth)})
     return write_files(packets, folder, container)
