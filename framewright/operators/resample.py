@@ -121,4 +121,4 @@ def remix(samples: Column, channels: Column, target: int) -> Column:
     one = lambda i, c: F.when(channels == 1, at(i, F.lit(0))).when(F.lit(c) < channels, at(i, F.lit(c))).otherwise(F.lit(0.0))
     frame = (lambda i: F.array(mean(i))) if target == 1 else (lambda i: F.array(*(one(i, c) for c in range(target))))
     out = F.flatten(F.transform(frames, frame))
-    return F.when(F.size(samples) < channels, F.array().cast("array<double>")).when(channels == target, F.transform(samples, lambda x: x.cast("double"))).otherwise(out)
+    return F.when(samples.isNull(), None).when(F.size(samples) < channels, F.array().cast("array<double>")).when(channels == target, F.transform(samples, lambda x: x.cast("double"))).otherwise(out)

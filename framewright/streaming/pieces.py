@@ -106,10 +106,10 @@ class _Demuxer(StatefulProcessor):
 
     def _row(self, path: str, state: dict, data: bytes | None, error: str | None = None) -> Row:
         if error is not None:
-            return Row(path, state["k"], None, 0, None, None, None, None, None, error)
+            return Row(path=path, k=state["k"], data=None, size=0, pts=None, channels=None, sample_rate=None, bit_depth=None, format_code=None, error=error)
         head = self._head(state)
         packet = max(head.block, self.limit - self.limit % head.block)
-        return Row(path, state["k"], data, len(data), head.frames_in(state["k"] * packet), head.channels, head.sample_rate, head.bit_depth, head.format_code, None)
+        return Row(path=path, k=state["k"], data=data, size=len(data), pts=head.frames_in(state["k"] * packet), channels=head.channels, sample_rate=head.sample_rate, bit_depth=head.bit_depth, format_code=head.format_code, error=None)
 
 
 def demuxed(pieces: DataFrame, raw: dict[str, int] | None = None, limit: int = PACKET_BYTES, idle_ms: int = 600_000) -> DataFrame:
@@ -147,7 +147,7 @@ class _Sessions(StatefulProcessor):
         top = newest
         for at, size in sorted((r["at"], r["size"] or 0) for r in rows if r["at"] is not None):
             if newest is not None and at < newest - self.late:
-                yield Row(key[0], at, at, 1, size, True)
+                yield self._row(key[0], at, at, 1, size, True)
                 continue
             spans.append([at, at + self.gap, 1, size])
             top = at if top is None else max(top, at)
@@ -162,7 +162,7 @@ class _Sessions(StatefulProcessor):
             return
         for x in joined:
             if x[1] < top - self.late:
-                yield Row(key[0], *x, False)
+                yield self._row(key[0], *x, False)
         left = [tuple(x) for x in joined if x[1] >= top - self.late]
         self.newest.update((top,))
         if left:
@@ -170,6 +170,10 @@ class _Sessions(StatefulProcessor):
         elif self.open.exists():
             self.open.clear()
 
+    @staticmethod
+    def _row(key, start: int, end: int, n: int, total: int, late: bool) -> Row:
+        return Row(key=key, start=start, end=end, n=n, total=total, late=late)
+
 
 def sessions_and_late(events: DataFrame, key: str, at_ms: str, size: str, gap_ms: int, late_ms: int) -> DataFrame:
     """key, start, end, n, total, late: closed sessions of a stream, and each row that came too late as a row of its own (late is true).
