@@ -21,7 +21,7 @@ _UNKNOWN = 1 << 62
 
 
 class _Demuxer(StatefulProcessor):
-    def __init__(self, raw: WavHead | None, limit: int, idle_ms: int) -> None:
+    def __init__(self, raw: WavHead | None, limit: int, idle_ms: int | None) -> None:
         self.raw, self.limit, self.idle_ms = raw, limit, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -49,6 +49,8 @@ class _Demuxer(StatefulProcessor):
         elif self.early.exists():
             self.early.clear()
         self._store(state)
+        if self.idle_ms is None:
+            return
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
@@ -112,14 +114,15 @@ class _Demuxer(StatefulProcessor):
         return Row(path=path, k=state["k"], data=data, size=len(data), pts=head.frames_in(state["k"] * packet), channels=head.channels, sample_rate=head.sample_rate, bit_depth=head.bit_depth, format_code=head.format_code, error=None)
 
 
-def demuxed(pieces: DataFrame, raw: dict[str, int] | None = None, limit: int = PACKET_BYTES, idle_ms: int = 600_000) -> DataFrame:
+def demuxed(pieces: DataFrame, raw: dict[str, int] | None = None, limit: int = PACKET_BYTES, idle_ms: int | None = None) -> DataFrame:
     """Packets of files whose pieces are rows of a stream: path, seq (0, 1, ...), data, last.
 
     Pieces may come in any order and more than once: a piece waits for those before it, one that was there is passed over. A file
-    is closed by its ``last`` piece, by the end of the data that its head declares, or after ``idle_ms`` without a piece; its rest is
-    then its last packet, and its state goes. What can't be read is a row with an ``error`` and no data: a bad head, a file that
+    is closed by its ``last`` piece, by the end of the data that its head declares, or with ``idle_ms`` after that time without a piece; its rest is
+    then its last packet. Only an idle file's state goes: later pieces of a closed one are still passed over. What can't be read is a row with an ``error`` and no data: a bad head, a file that
     ends within it, a piece that never came. Null data is an empty piece, a null path a file of its own. ``raw`` (channels, sample_rate, depth) reads
-    headless PCM. Batches without rows need a trigger that fires on time for idle files to close. One file's pieces are worked
+    headless PCM. With ``idle_ms`` Spark runs batches without rows as well, so the query needs a trigger
+    that goes on (``availableNow`` would not end). One file's pieces are worked
     through by one task, as its packets follow from each other.
     """
     head = None
@@ -127,7 +130,7 @@ def demuxed(pieces: DataFrame, raw: dict[str, int] | None = None, limit: int = P
         head = WavHead(raw["channels"], raw["sample_rate"], raw["depth"], FLOAT if raw["depth"] == 32 else PCM)
         if head.error():
             raise WavError(head.error())
-    return pieces.select("path", "seq", "data", "last").groupBy("path").transformWithState(_Demuxer(head, limit, idle_ms), PACKETS, "Append", "ProcessingTime")
+    return pieces.select("path", "seq", "data", "last").groupBy("path").transformWithState(_Demuxer(head, limit, idle_ms), PACKETS, "Append", "None" if idle_ms is None else "ProcessingTime")
 
 
 class _Sessions(StatefulProcessor):
