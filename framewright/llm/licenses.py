@@ -48,29 +48,59 @@ _BSD_WARRANTY = (
     "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict "
     "liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
-_GNU_PROGRAM = "is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>{kind} <</optional>>general public license as published by the free software foundation either version {version} of the license or <<optional>>at your option <</optional>>any later version"
+_GNU_PROGRAM = "is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation either version {version} of the license or <<optional>>at your option <</optional>>any later version"
+_GNU_NOTICE = "under the <<optional>>terms of the <</optional>>gnu {kind} public license <<optional>>as published by the free software foundation <<optional>>either <</optional>><</optional>>version {version}"
+_GNU_OTHER_WAY = "under <<optional>>the terms of <</optional>>version {version} of the gnu {kind} public license"
+#: Label, the license's kind and version in words, and what follows the title of its whole text.
+_GNU = (
+    ("gpl-2", "general", "2", "june 1991"), ("gpl-3", "general", "3", "29 june 2007"), ("lgpl-2", "library general", "2", "june 1991"), ("lgpl-2", "lesser general", "2", ""),
+    ("lgpl-2.1", "lesser general", "2 1", "february 1999"), ("lgpl-3", "lesser general", "3", "29 june 2007"), ("agpl-3", "affero general", "3", "19 november 2007"),
+)
+_CC_NAMES = {"by": ("attribution",), "sa": ("sharealike", "share alike"), "nc": ("noncommercial", "non commercial"), "nd": ("noderivatives", "noderivs", "no derivatives")}
+_CC = (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))
+_CC_VERSIONS = ("4 0", "3 0", "2 0")
+
+
+def _gnu() -> list[tuple[str, str]]:
+    out = []
+    for label, kind, version, date in _GNU:
+        out += [(label, t.format(kind=kind, version=version)) for t in (_GNU_PROGRAM, _GNU_NOTICE, _GNU_OTHER_WAY)]
+        if date:
+            out.append((label, f"gnu {kind} public license version {version} {date}"))
+    return out
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """Codes with a version, and names with or without."""
+    out = []
+    some = "".join(f"<<optional>>{x} <</optional>>" for x in (*_CC_VERSIONS, "international", "unported", "public"))
+    for parts in _CC:
+        label, names = "-".join(("cc", *parts)), [""]
+        for part in parts:
+            names = [f"{n} {x}".strip() for n in names for x in _CC_NAMES[part]]
+        out += [(label, f"<<optional>>licensed <</optional>>under <<optional>>a <</optional>><<optional>>the <</optional>>cc {' '.join(parts)} {v}") for v in _CC_VERSIONS]
+        out += [(label, f"<<optional>>licensed <</optional>>under <<optional>>a <</optional>><<optional>>the <</optional>>creative commons {n} {some}license") for n in names]
+    return out
+
 
 TEMPLATES = (
     ("mit", f"{_MIT_GRANT} {_MIT_WARRANTY}"),
     ("isc", "permission to use copy modify and <<optional>>or <</optional>>distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", f"{_BSD_TERMS}<<optional>>{_BSD_NAMES}<</optional>>{_BSD_WARRANTY}"),
     ("apache-2", "licensed under the apache license version 2 0 <<optional>>the license <</optional>>you may not use <<var 3>> except in compliance with the license you may obtain a copy of the license at <<optional>>http <</optional>><<optional>>https <</optional>>www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl-3", _GNU_PROGRAM.format(kind="affero", version="3")),
-    ("gpl-2", _GNU_PROGRAM.format(kind="affero", version="2")),
+    ("apache-2", "apache license version 2 0 january 2004"),
+    *_gnu(),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<optional>>http <</optional>><<optional>>https <</optional>>mozilla org mpl 2 0"),
+    ("mpl-2", "mozilla public license version 2 0 <<optional>>1 <</optional>>definitions"),
     ("mit", "<<optional>>this <<var 3>> is <</optional>>released under the <<optional>>terms of the <</optional>>mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <<var 8>> to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license <<optional>>version <</optional>>2 <<optional>>0<</optional>>"),
     ("apache-2", "you may not use this file except in compliance with the license <<var 14>> www apache org licenses license 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3", "under the <<optional>>terms of the <</optional>>gnu general public license <<optional>>as published by the free software foundation either <</optional>>version 3"),
-    ("gpl-2", "under the <<optional>>terms of the <</optional>>gnu general public license <<optional>>as published by the free software foundation either <</optional>>version 2"),
     ("lgpl", "under the <<optional>>terms of the <</optional>>gnu lesser general public license"),
+    ("agpl", "under the <<optional>>terms of the <</optional>>gnu affero general public license"),
     ("mpl-2", "subject to the terms of the mozilla public license <<optional>>v <</optional>>2 0"),
-    ("cc-by-nc", "<<optional>>licensed <</optional>>under <<optional>>a <</optional>>creative commons attribution noncommercial <<var 3>> license"),
-    ("cc-by-nc", "licensed under <<optional>>a <</optional>>cc by nc <<optional>>sa <</optional>><<var 1>> 0"),
-    ("cc-by", "licensed under <<optional>>a <</optional>>cc by <<optional>>sa <</optional>>4 0"),
-    ("cc-by", "licensed under <<optional>>a <</optional>>cc by <<optional>>sa <</optional>>3 0"),
+    *_creative_commons(),
     ("all-rights-reserved", "all rights reserved <<optional>>worldwide<</optional>>"),
 )
 
@@ -168,27 +198,52 @@ def compile_all(templates=TEMPLATES) -> list[Automaton]:
     return [compile_template(*t) for t in templates]
 
 
-def spans(words: list[bytes], automata: list[Automaton]) -> tuple[list[tuple[str, int, int]], float]:
-    """Accepted stretches (label, first word, end) and the best share of a template's mandatory words."""
+def places_of(words: list[bytes], wanted: frozenset[bytes]) -> list[int]:
+    """Where wanted words stand. Texts have few or none of them, so words are looked through by built-in searches."""
+    out = []
+    for w in wanted.intersection(words):
+        at = words.index(w)
+        while True:
+            out.append(at)
+            try:
+                at = words.index(w, at + 1)
+            except ValueError:
+                break
+    return sorted(out)
+
+
+def longest(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Stretches that don't lie within a longer one, so that a license isn't taken for another whose wording it extends."""
+    out: list[tuple[str, int, int]] = []
+    for x in sorted(found, key=lambda s: (s[1], -s[2], s[0])):
+        if not out or x[2] > max_end or x[1:] == out[-1][1:]:
+            out.append(x)
+            max_end = x[2]
+    return out
+
+
+def spans(words: list[bytes], begins: dict[bytes, list[Automaton]]) -> tuple[list[tuple[str, int, int]], float]:
+    """Accepted stretches (label, first word, end) that no longer one holds, and the best share of a template's mandatory words."""
     found, best = [], 0.0
-    begins: dict[bytes, list[Automaton]] = {}
-    for a in automata:
-        for w in a.first:
-            begins.setdefault(w, []).append(a)
-    for i, w in enumerate(words):
-        for a in begins.get(w, ()):
+    for i in places_of(words, frozenset(begins)):
+        for a in begins[words[i]]:
             end, share = a.run(words, i)
             best = max(best, share)
             if end is not None:
                 found.append((a.label, i, end))
-    return found, best
+    return longest(found), best
 
 
-def _phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
-    heads: dict[bytes, list[tuple[list[bytes], str]]] = {}
-    for p, label in phrases:
-        heads.setdefault(p[0], []).append((p, label))
-    return [(i, label) for i, w in enumerate(words) if w in heads for p, label in heads[w] if words[i : i + len(p)] == p]
+def by_first_word(automata: list[Automaton]) -> dict[bytes, list[Automaton]]:
+    begins: dict[bytes, list[Automaton]] = {}
+    for a in automata:
+        for w in a.first:
+            begins.setdefault(w, []).append(a)
+    return begins
+
+
+def _phrase_places(words: list[bytes], heads: dict[bytes, list[tuple[list[bytes], str]]]) -> list[tuple[int, str]]:
+    return [(i, label) for i in places_of(words, frozenset(heads)) for p, label in heads[words[i]] if words[i : i + len(p)] == p]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates=TEMPLATES) -> DataFrame:
@@ -198,12 +253,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     phrase, from 0), base_labels, labels (with the templates'), score, spans (label, start, end of accepted
     stretches). Score: 1 with a label, else the largest share of a template's mandatory words that a stretch covers, from
     a word with which the template can begin to where it departs from it. A text of any length is read whole. Labels
-    found twice stand once; of two stretches from one word the longer counts.
+    found twice stand once; a stretch within a longer one doesn't count, whatever their labels.
     A null text is an empty one: no words, no labels (empty strings), score 0. Repeated rows and null ids are
     rows like any other; an empty table gives an empty result; other columns aren't read.
     """
-    base = [(k.encode().split(), v) for k, v in (PHRASES if phrases is None else phrases).items()]
-    automata = compile_all(templates)
+    heads: dict[bytes, list[tuple[list[bytes], str]]] = {}
+    for phrase, label in (PHRASES if phrases is None else phrases).items():
+        own = phrase.encode().split()
+        heads.setdefault(own[0], []).append((own, label))
+    begins = by_first_word(compile_all(templates))
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(span))
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
@@ -215,8 +273,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
                 rows = []
                 for t in part.column("text").cast(pa.binary()):
                     words = words_of(t.as_py())
-                    places = _phrase_places(words, base)
-                    stretches, best = spans(words, automata)
+                    places = _phrase_places(words, heads)
+                    stretches, best = spans(words, begins)
                     own = {label for _, label in places}
                     labels = own | {x[0] for x in stretches}
                     starts = [i for i, _ in places]

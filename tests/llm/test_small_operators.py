@@ -242,6 +242,57 @@ def test_automata_against_patterns():
             assert (automaton.run([w.encode() for w in words], 0)[0] is not None) == (found is not None)
 
 
+#: Notices as they stand in files, and the one label of each.
+NOTICES = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "agpl-3",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1",
+    "modify it under the terms of the GNU Lesser General Public License, version 3": "lgpl-3",
+    "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License": "lgpl-2",
+    "under the GNU Lesser General Public License": "lgpl",
+    "under the terms of version 2 of the GNU General Public License": "gpl-2",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright": "gpl-3",
+    "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "agpl-3",
+    "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999": "lgpl-2.1",
+    "Apache License\nVersion 2.0, January 2004": "apache-2",
+    "Mozilla Public License Version 2.0\n======\n1. Definitions": "mpl-2",
+    "Text is licensed under CC BY-SA 4.0": "cc-by-sa",
+    "available under the Creative Commons Attribution-ShareAlike 3.0 Unported License": "cc-by-sa",
+    "under a Creative Commons Attribution-NonCommercial-NoDerivs 2.0 license": "cc-by-nc-nd",
+    "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "licensed under CC BY-ND 3.0": "cc-by-nd",
+}
+
+
+def test_labels_of_notices(spark):
+    rows = licenses.scan(docs(spark, [(i, t, "s") for i, t in enumerate(NOTICES)])).collect()
+    assert [r["labels"] for r in sorted(rows)] == list(NOTICES.values())
+    both = licenses.scan(docs(spark, [(1, "Licensed under CC BY-NC-SA 4.0", "s")])).first()
+    assert (both["base_labels"], both["labels"]) == ("cc-by-nc", "cc-by-nc,cc-by-nc-sa")
+
+
+def test_templates_do_not_match_each_other():
+    """Each template's wording, without and with all its optional regions, has its own label only."""
+    import re
+
+    begins = licenses.by_first_word(licenses.compile_all())
+    for label, template in licenses.TEMPLATES:
+        least = template
+        while "<<optional>>" in least:
+            least = re.sub(r"<<optional>>(?:(?!<<optional>>).)*?<</optional>>", " ", least)
+        for text in (least, re.sub(r"<</?optional>>", " ", template)):
+            words = re.sub(r"<<var \d+>>", "q", text).split() if text is not least else re.sub(r"<<var \d+>>", " ", text).split()
+            found, best = licenses.spans([w.encode() for w in words], begins)
+            labels = {x[0] for x in found}
+            # All optional versions and words at once are no license's name.
+            assert labels <= {label} and (labels or text is not least), (label, text)
+
+
+def test_places_of_words():
+    words = [b"a", b"b", b"a", b"c", b"a"]
+    assert licenses.places_of(words, frozenset({b"a", b"c", b"z"})) == [0, 2, 3, 4] and licenses.places_of([], frozenset({b"a"})) == []
+    assert licenses.longest([("x", 0, 3), ("y", 0, 5), ("z", 2, 5), ("w", 4, 7), ("v", 4, 7)]) == [("y", 0, 5), ("v", 4, 7), ("w", 4, 7)]
+
+
 def test_share_of_a_broken_license(spark):
     template = dict((k, t) for k, t in licenses.TEMPLATES if "optional" not in t and "var" not in t)["bsd"]
     words = template.split()
