@@ -31,7 +31,7 @@ from framewright.sources.files import filesystem, listed
 from framewright.sources.riff import ADPCM, FLOAT, PCM, WavError, WavHead, read_head
 from framewright.sources.writer import FolderWriter
 
-PACKETS = "path string, name string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int, block_size int, metadata map<string,string>"
+PACKETS = "path string, name string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int, block_size int, data_size long, frames long, metadata map<string,string>"
 HEADER = "path string, name string, channels int, sample_rate long, bit_depth int, format_code int, data_size long, frames long, duration double, codec string, supported boolean, metadata map<string,string>, error string"
 RANGE_BYTES = 64 << 20
 #: Files of a task, at most, however small.
@@ -103,7 +103,7 @@ class _Reader(DataSourceReader):
             first, last = (-(-max(0, at - head.data_at) // packet) for at in (start if start else 0, end))
             for k, part in _parts(path, head, packet, first, min(last, -(-head.data_size // packet))):
                 about = list(head.metadata.items()) if k == 0 else None
-                rows.append((path, name, k, part, len(part), head.frames_in(k * packet), head.channels, head.sample_rate, head.bit_depth, head.format_code, head.block, about))
+                rows.append((path, name, k, part, len(part), head.frames_in(k * packet), head.channels, head.sample_rate, head.bit_depth, head.format_code, head.block, head.data_size, head.frames_in(head.data_size), about))
                 held += len(part)
                 if held >= BATCH_BYTES:
                     yield _batch(rows, _ARROW_PACKETS)
@@ -134,7 +134,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _TEXTS = pa.map_(pa.string(), pa.string())
-_ARROW_PACKETS = pa.schema([("path", pa.string()), ("name", pa.string()), ("k", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("pts", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("block_size", pa.int32()), ("metadata", _TEXTS)])
+_ARROW_PACKETS = pa.schema([("path", pa.string()), ("name", pa.string()), ("k", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("pts", pa.int64()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("block_size", pa.int32()), ("data_size", pa.int64()), ("frames", pa.int64()), ("metadata", _TEXTS)])
 _ARROW_HEADER = pa.schema([("path", pa.string()), ("name", pa.string()), ("channels", pa.int32()), ("sample_rate", pa.int64()), ("bit_depth", pa.int32()), ("format_code", pa.int32()), ("data_size", pa.int64()), ("frames", pa.int64()), ("duration", pa.float64()), ("codec", pa.string()), ("supported", pa.bool_()), ("metadata", _TEXTS), ("error", pa.string())])
 
 
@@ -197,7 +197,9 @@ def register(spark: SparkSession) -> None:
 
 
 def by_file(packets: DataFrame) -> DataFrame:
-    """Packets (path, k, data, ...) with file_size, each file's in one task and in order: one shuffle, and one of sizes."""
+    """Packets (path, k, data, ...) with file_size, each file's in one task and in order: one shuffle, and one of sizes unless they are there."""
+    if "file_size" in packets.columns:
+        return packets.repartition("path").sortWithinPartitions("path", "k")
     sizes = packets.groupBy(F.col("path").alias("of")).agg(F.sum(F.octet_length("data").cast("long")).alias("file_size"))
     sized = packets.join(sizes, F.col("path") == F.col("of")).drop("of")
     return sized.repartition("path").sortWithinPartitions("path", "k")
@@ -206,11 +208,12 @@ def by_file(packets: DataFrame) -> DataFrame:
 def write_files(packets: DataFrame, folder: str, container: str = "wav", mode: str = "append") -> DataFrame:
     """Writes packets (path, k, data, channels, sample_rate, bit_depth[, metadata]) below ``folder``; gives path and size of its files.
 
-    Nulls in ``data`` are left out; a file without bytes isn't written.
+    Nulls in ``data`` are left out; a file without bytes isn't written. A column file_size, the bytes of all of a file's packets, saves adding
+    them up, for which packets are made a second time.
     """
     if container not in ("wav", "raw", "pcm"):
         raise ValueError(f"unsupported '{container}' format")
-    columns = [c for c in ("path", "k", "data", "channels", "sample_rate", "bit_depth", "metadata") if c in packets.columns]
+    columns = [c for c in ("path", "k", "data", "channels", "sample_rate", "bit_depth", "file_size", "metadata") if c in packets.columns]
     register(packets.sparkSession)
     by_file(packets.select(*columns).filter("octet_length(data) > 0")).write.format("wav" if container == "wav" else "rawpcm").mode(mode).save(folder)
     return packets.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
@@ -235,6 +238,8 @@ def convert(spark: SparkSession, source: str, folder: str, container: str = "wav
     if named:
         raise ValueError(f"{named[0]['one']} and {named[0]['other']} would both be {named[0]['target']}")
     packets = spark.read.format(source_format).options(path=source, **options).load().withColumn("path", renamed("name", container))
+    # A file's size follows from its head, so nothing is read or decoded twice.
+    packets = packets.withColumn("file_size", F.col("data_size") if depth is None else F.col("frames") * F.col("channels") * (depth // 8))
     if depth is not None:
         # ADPCM is 16-bit PCM once decoded; its packets hold whole blocks.
         coded = F.col("bit_depth") == 4

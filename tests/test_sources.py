@@ -44,8 +44,8 @@ def test_heads(sources, tmp_path):
     assert [h[k]["supported"] for k in ("eight", "whole32", "float32")] == [False, False, True]
     errors = {k: r["error"] for k, r in h.items() if r["error"]}
     assert errors == {
-        "code": "audio format code 65534 is not supported", "notriff": "expected RIFF, found RIFX", "notwave": "expected WAVE, found AVI ", "nodata": "unexpected EOF", "small": "fmt chunk too small", "nofmt": "channels must be non-zero",
-        "zero": "channels must be non-zero", "adpcm": "ADPCM has no whole bytes per sample", "bits": "bits per sample must be multiple of 8", "stub": "unexpected EOF",
+        "code": "audio format code 65534 is not supported", "notriff": "expected RIFF, found RIFX", "notwave": "expected WAVE, found AVI ", "nodata": "unexpected EOF", "small": "fmt chunk too small", "nofmt": "sample rate must be non-zero",
+        "zero": "channels must be non-zero", "bits": "bits per sample must be multiple of 8", "stub": "unexpected EOF",
     }
 
 
