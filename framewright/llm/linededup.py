@@ -66,8 +66,11 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio:
     Pages without a host belong to no site and stay as they are. A line repeated on one page counts
     once for the ratio, and all its repeats go. Repeated rows are pages of their own. A share of exactly the ratio stays.
     A text of any length is one page, cut into lines where it stands. An empty table gives an empty result. Other columns
-    pass through, whatever their names, but with ``counts`` n_lines and n_dropped are added to them.
+    pass through, whatever their names; with ``counts`` a column that already is n_lines or n_dropped is an error.
     """
+    taken = [c for c in ("n_lines", "n_dropped") if counts and c in pages.columns]
+    if taken:
+        raise ValueError(f"the pages already have columns {taken}")
     found = stored(boilerplate(pages, host, col(text), ratio, min_pages, long_ratio), "boilerplate")
     rows = pages.select(packed(pages).alias("page"), host.alias("own_host"))
     rows = rows.join(found, rows["own_host"] == found["host"], "left").select("page", "lines")

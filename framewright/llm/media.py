@@ -160,7 +160,7 @@ def tiles(df: DataFrame, content: str, tile: tuple[int, int] | None = None) -> D
     """``df`` with media_width, media_height, media_channels, tile (NPY bytes), dhash.
 
     ``tile`` (width, height) resizes; without it the tile has the image's own samples. Null content and
-    content that can't be decoded give nulls. An existing column of such a name is replaced.
+    content that can't be decoded give nulls. An existing column of such a name is replaced, all others stay.
     """
     schema = "media_width int, media_height int, media_channels int, tile binary, dhash string"
 
@@ -179,6 +179,8 @@ def tiles(df: DataFrame, content: str, tile: tuple[int, int] | None = None) -> D
         return pd.DataFrame(out, columns=["media_width", "media_height", "media_channels", "tile", "dhash"], dtype=object)
 
     own = "__media"
+    while own in df.columns:
+        own += "_"
     df = df.withColumn(own, decode(col(content)))
     return df.withColumns({c.split()[0]: F.col(f"{own}.{c.split()[0]}") for c in schema.split(", ")}).drop(own)
 

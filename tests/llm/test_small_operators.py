@@ -342,6 +342,16 @@ def test_any_names_and_long_texts(spark):
     assert media.media_column(frame, "a.id", "the text").agg(F.max("n_bytes")).first()[0] == len(long)
 
 
+def test_names_that_are_taken(spark):
+    frame = spark.createDataFrame([(1, "a", "s", 5)], "id long, text string, source string, n_lines int")
+    with pytest.raises(ValueError, match="n_lines"):
+        linededup.drop_boilerplate(frame, F.col("source"), counts=True)
+    assert linededup.drop_boilerplate(frame, F.col("source")).columns == frame.columns
+    image = np.zeros((4, 4), np.uint8)
+    made = media.tiles(spark.createDataFrame([(bytearray(media.encode_pgm(image)), "mine")], "content binary, __media string"), "content").first()
+    assert made["__media"] == "mine" and made["media_width"] == 4
+
+
 def test_few_pages_have_no_boilerplate(spark):
     rows = [(1, "a", "s"), (2, "a", "s")]
     assert [r["text"] for r in linededup.drop_boilerplate(docs(spark, rows), F.col("source")).collect()] == ["a", "a"]
