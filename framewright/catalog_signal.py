@@ -84,7 +84,7 @@ def resample(spark, sf_dir):
     return found.select("path", "k", "pts", "channels", F.md5(F.hex(pcm.from_floats(c("samples"), F.lit(16)))).alias("pcm_md5"), F.size("samples").cast("long").alias("values"))
 
 
-# --- Filter chains --------------------------------------------------------------------------------------
+# --- Filter chains and channels --------------------------------------------------------------------------------------
 
 #: Seconds: texts are some hundredths long.
 TRIM, FADE = ("0.0051", "0.0213"), "0.0107"
@@ -138,6 +138,17 @@ def filter_chain(spark, sf_dir):
     return _sounding(chain.apply(_frames16(spark, sf_dir), chain.parse(["track=0", f"filter_chain=reverse,trim:{TRIM[0]}-,volume:0.5"])))
 
 
+@query(f"""with {_FRAMES} select doc_id, pts, frames as n, {_md5("list_transform(range(frames), lambda i: trunc(list_sum(s[i * ch + 1 : (i + 1) * ch])::double / ch)::bigint)")} as pcm_md5 from frames""")
+def remix_mono(spark, sf_dir):
+    """All channels as one, their mean."""
+    return _sounding(_frames16(spark, sf_dir).withColumn("samples", rs.remix(c("samples"), c("channels"), 1)))
+
+
+@query(f"""with {_FRAMES} select doc_id, pts, frames as n, {_md5("flatten(list_transform(range(frames), lambda i: case when ch = 1 then [s[i + 1], s[i + 1]] else s[i * ch + 1 : i * ch + 2] end))")} as pcm_md5 from frames""")
+def remix_stereo(spark, sf_dir):
+    return _sounding(_frames16(spark, sf_dir).withColumn("samples", rs.remix(c("samples"), c("channels"), 2)))
+
+
 @query()
 def speed(spark, sf_dir):
     """Half as fast again."""

@@ -91,8 +91,3 @@ def float_bytes(value: Column, width: int, little: bool = True) -> Column:
         return pc.if_else(values.is_valid(), packed, None)
 
     return pack(value.cast("double"))
-
-
-def joined(parts: Column) -> Column:
-    """An array of byte strings as one, in time proportional to the whole."""
-    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))

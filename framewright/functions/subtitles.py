@@ -23,6 +23,9 @@ def cues(files: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     its body. Blocks without times (a WebVTT head, notes, styles, regions) are no cues. Line ends may be \\n, \\r\\n or \\r, a byte order mark is passed over, settings behind the times go. A cue that
     ends before it starts stays as it is. Null and empty texts have no cues.
     """
+    taken = {"cue", "name", "start_ms", "end_ms", "body"} & set(keep)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are those of cues")
     plain = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
     blocks = F.filter(F.split(plain, r"\n[ \t]*\n\s*"), lambda b: b.rlike(_TIMES))
     rows = files.select(*keep, F.posexplode(blocks).alias("__at", "block"))

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import adpcm, checksums, formats, media, pcm
-from framewright.functions.binary import joined
 
 #: Most bytes of a packet, before rounding down to whole frames.
 PACKET_BYTES = 65536
+#: Most bytes of a file that is put into one row.
+MUX_BYTES = 1 << 30
 
 
 def packetize(files: DataFrame, content: str, depth: Column, channels: Column, limit: int | Column = PACKET_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -77,9 +78,14 @@ def adpcm_packet_bytes(channels: Column, block: Column) -> Column:
 
 
 def mux(packets: DataFrame, path: str, order: str = "k", data: str = "data") -> DataFrame:
-    """path, data: each file's packets in order, one after another. One shuffle, by path; a file is one row."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d")))), lambda x: x["d"])
-    return packets.groupBy(path).agg(joined(ordered).alias("data"))
+    """path, data: each file's packets in order, one after another. One shuffle, by path; a file is one row.
+
+    A row holds MUX_BYTES at most, a larger file is an error: ``write_files`` streams files of any size, ``digests`` tells what is in them.
+    """
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    whole = packets.groupBy(path).agg(F.sum(F.octet_length(data).cast("long")).alias("__size"), F.expr(f"listagg({quoted(data)}) within group (order by {quoted(order)})").alias("data"))
+    wrong = F.raise_error(F.concat(F.lit("a row can't hold "), F.col("__size").cast("string"), F.lit(" bytes")))
+    return whole.select(path, F.when(F.coalesce(F.col("__size"), F.lit(0)) <= MUX_BYTES, F.coalesce("data", F.lit(b""))).otherwise(wrong).alias("data"))
 
 
 def sizes(packets: DataFrame, path: str, size: Column) -> DataFrame:

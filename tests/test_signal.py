@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import adpcm, checksums
+from framewright.functions.pcm import encode_array
 from framewright.operators import chain, mix
 from framewright.operators import packets as pk
 from framewright.operators import resample as rs
+from framewright.plans.audio import convert_audio
 from framewright.sources import register
 from framewright.sources.riff import WavError, head_of_prefix, read_head
 from framewright.sources.wav import convert
@@ -329,3 +331,34 @@ def test_digests_are_those_of_whole_files(spark):
         assert (r["size"], r["crc32"], r["gap_bytes"], r["n_packets"]) == (len(x), zlib.crc32(x), 0, max(1, -(-len(x) // 100)))
     assert (got["gap"]["crc32"], got["gap"]["gap_bytes"], got["gap"]["gap_frames"], got["gap"]["end_pts"]) == (zlib.crc32(b"ab\0\0\0\0cd"), 4, 2, 4)
     assert (got["nothing"]["size"], got["nothing"]["crc32"]) == (0, 0)
+
+
+# --- Jobs ------------------------------------------------------------------------------------------------
+
+
+def test_audio_options_are_carried_out(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    x = rng.integers(-20000, 20000, (5000, 2)).astype("<i2")
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "sub" / "a.wav").write_bytes(wavfiles.wav(x.tobytes(), channels=2, rate=44100))
+    (tmp_path / "in" / "gone.wav").write_bytes(wavfiles.wav(x[:10].tobytes(), channels=2, rate=44100))
+    made = convert_audio(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["codec=pcm_s24le", "channels=1", "sample_rate=16000", "volume=0.5", "bare"], ["track=all", "trim=0.01-0.08", "filter_chain=reverse"], limit="1000")
+    assert [r["path"].rpartition("/out/")[2] for r in made.collect()] == ["sub/a.wav"]
+    frames = (x.astype(np.float64) / 32768 * 0.5)[441:3528][::-1].mean(axis=1, keepdims=True).astype(np.float32).astype(np.float64)
+    up, down = rs.ratio(44100, 16000)
+    want = rs.filtered(frames, 0, 0, -(-len(frames) * up // down), up, down).astype(np.float32)
+    raw = (tmp_path / "out" / "sub" / "a.wav").read_bytes()
+    assert struct.unpack_from("<HHIIHH", raw, 20) == (1, 1, 16000, 48000, 3, 24) and raw[44 : 44 + 3 * len(want)] == encode_array(want.ravel(), 24)
+    convert_audio(spark, str(tmp_path / "in"), str(tmp_path / "same"), container="raw")
+    assert (tmp_path / "same" / "sub" / "a.raw").read_bytes() == x.tobytes()
+    for audio, transforms in ((["codec=mp3"], []), (["channels=0"], []), (["sample_rate=x"], []), (["volume=-1"], []), ([], ["rotate=90"])):
+        with pytest.raises(ValueError):
+            convert_audio(spark, str(tmp_path / "in"), str(tmp_path / "never"), audio, transforms)
+
+
+def test_muxed_rows_have_a_bound(spark, monkeypatch):
+    packets = spark.createDataFrame([("a", 2, b"cd"), ("a", 1, b"ab"), ("a", 3, None), ("b", 0, None), ("c", 0, b"")], "path string, k long, data binary")
+    assert {r["path"]: bytes(r["data"]) for r in pk.mux(packets, "path").collect()} == {"a": b"abcd", "b": b"", "c": b""}
+    monkeypatch.setattr(pk, "MUX_BYTES", 3)
+    with pytest.raises(Exception, match="a row can't hold 4 bytes"):
+        pk.mux(packets, "path").collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import subtitles, table
 from framewright.operators import timejoins as tj
+from framewright.plans.subtitles import convert_subtitles, shift_ms
 from framewright.sources.riff import WavError
 from framewright.streaming.pieces import demuxed, sessions_and_late
 from tests import wavfiles
@@ -87,6 +88,22 @@ def test_overlaps_against_counting(spark, width):
         assert own == {t: open_at(film, t) for t in range(200) if open_at(film, t) >= 2}
 
 
+def test_subtitle_options_are_carried_out(spark, tmp_path):
+    (tmp_path / "in" / "in").mkdir(parents=True)
+    (tmp_path / "in" / "in" / "a.srt").write_text("1\n00:00:05,000 --> 00:00:06,500\nlater é\n\n2\n00:00:01,000 --> 00:00:02,000\nfirst\nline\n\n3\n00:00:00,100 --> 00:00:00,900\ngone\n", encoding="utf-8")
+    (tmp_path / "in" / "b.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nx\n")
+    (tmp_path / "in" / "none.srt").write_text("no cues")
+    made = convert_subtitles(spark, str(tmp_path / "in"), str(tmp_path / "out"), "vtt", ["shift=-1.5", "language=en"])
+    assert sorted(r["path"].rpartition("/out/")[2] for r in made.collect()) == ["b.vtt", "in/a.vtt"]
+    assert (tmp_path / "out" / "in" / "a.vtt").read_text(encoding="utf-8") == "WEBVTT\n\n1\n00:00:00.000 --> 00:00:00.500\nfirst\nline\n\n2\n00:00:03.500 --> 00:00:05.000\nlater é\n\n"
+    convert_subtitles(spark, str(tmp_path / "out"), str(tmp_path / "back"))
+    assert (tmp_path / "back" / "b.srt").read_text() == "1\n00:00:00,000 --> 00:00:00,500\nx\n\n"
+    assert [shift_ms(x) for x in ("2", "-0.001", "1e1")] == [2000, -1, 10_000]
+    for bad in ("shift=x", "shift=0.0001", "color=red"):
+        with pytest.raises(ValueError):
+            convert_subtitles(spark, str(tmp_path / "in"), str(tmp_path / "never"), "srt", [bad])
+
+
 # --- The table function ----------------------------------------------------------------------------------------
 
 

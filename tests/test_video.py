@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import video
+from framewright.plans.video import convert_video, frame_rate
 from framewright.sources import y4m
 
 SIZES = [("YUV420", 4, 2), ("YUV420", 5, 3), ("YUV422", 5, 3), ("YUV444", 3, 2), ("GRAY8", 7, 1), ("YUV420", 1, 1)]
@@ -110,3 +111,22 @@ def test_written_films_come_back(spark, tmp_path):
     for bad, error in ((("x.y4m", 0, b"ab", 4, 4, 24, 1, "YUV420"), "a picture of 2 bytes, not 24"), (("x.y4m", 0, b"ab", 4, 4, 24, 1, "RGB24"), "can't be in a Y4M file"), (rows[0], "files that exist")):
         with pytest.raises(Exception, match=error):
             y4m.write_files(spark.createDataFrame([bad], schema), str(tmp_path / "out"))
+
+
+def test_video_options_are_carried_out(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    pics = [rng.bytes(24) for _ in range(10)]
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "x.y4m").write_bytes(film(b"YUV4MPEG2 W4 H4 F25:1\n", pics))
+    made = convert_video(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["fps=50", "width=2", "scale=3", "brightness=0.1", "track=0"])
+    assert [(r["name"], r["width"], r["height"], r["rate_num"], r["rate_den"], r["frames"]) for r in made.collect()] == [("a/x.y4m", 6, 12, 50, 1, 20)]
+    got = {r["k"]: bytes(r["data"]) for r in spark.read.format("y4m").options(path=str(tmp_path / "out")).load().collect()}
+    for k in range(20):
+        raw = np.frombuffer(pics[k // 2], np.uint8)
+        y = video.area_scaled(raw[:16].reshape(4, 4), 6, 12).astype(int)
+        chroma = b"".join(video.area_scaled(raw[at : at + 4].reshape(2, 2), 3, 6).tobytes() for at in (16, 20))
+        assert got[k] == np.clip(np.trunc((y - 128) + 12.8), 0, 255).astype(np.uint8).tobytes() + chroma
+    assert [frame_rate(x) for x in ("25", "29.97", "30000/1001")] == [(25, 1), (2997, 100), (30000, 1001)]
+    for bad in ("fps=0", "fps=x", "width=0", "height=1.5", "scale=-1", "rotate=90", "contrast=nan", "codec=h264"):
+        with pytest.raises(ValueError):
+            convert_video(spark, str(tmp_path / "in"), str(tmp_path / "never"), [bad])
