@@ -462,6 +462,63 @@ def test_risk_against_sums_and_differences():
     assert quality.risk_of(moved, apart[1], apart[0], 0.9)[1] > negative
 
 
+def plain_features(text: bytes) -> dict[str, float]:
+    """Every feature by its meaning, byte by byte and word by word."""
+    import re
+
+    if not text:
+        return dict.fromkeys(quality.FEATURES, 0.0)
+    kinds = {
+        "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "blank": b" \t\n\x0b\x0c\r", "wide": bytes(range(128, 256)), "stop": b".,",
+        "loud": b"!?", "pipe": b"|", "symbol": b"#$%&*+=@^~<>\\_`", "brace": b"()[]{}", "mark": b"-/:;'\"",
+    }
+    out = {k: sum(b in v for b in text) / len(text) for k, v in kinds.items()}
+    shares = [text.count(bytes([b])) / len(text) for b in set(text)]
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text)
+    lines = [x for x in text.split(b"\n") if re.search(rb"[^\x20\x09-\x0d]", x)]
+    m, k = max(1, len(words)), max(1, len(lines))
+    distances, last = {}, {}
+    for i in range(len(words) - quality.RUN + 1):
+        run = tuple(words[i : i + quality.RUN])
+        if run in last:
+            distances[i - last[run]] = distances.get(i - last[run], 0) + 1
+        last[run] = i
+    period = min((d for d in distances if distances[d] == max(distances.values())), default=0)
+    return out | {
+        "entropy": -sum(p * math.log2(p) for p in shares), "log_words": math.log(1 + m), "word_bytes": sum(map(len, words)) / m, "distinct": len(set(words)) / m**0.8,
+        "repeat": sum(a == b for a, b in zip(words, words[1:], strict=False)) / m, "top": max((words.count(w) for w in set(words)), default=0) / m,
+        "loud_ends": sum(w[-1:] in (b"!", b"?") for w in words) / m, "stop_ends": sum(w[-1:] in (b".", b",") for w in words) / m, "short": sum(len(w) <= 2 for w in words) / m if words else 1.0,
+        "long": sum(len(w) >= 16 for w in words) / m, "lines": math.log(1 + k), "line_words": math.log(1 + m / k), "twin_lines": 1 - len(set(lines)) / k,
+        "pairs": len(set(zip(words, words[1:], strict=False))) / m, "cycle": sum(a == b for a, b in zip(words, words[period:], strict=False)) / len(words) if period else 0.0,
+        "upper_words": sum(bool(re.search(rb"[A-Z]", w)) and not re.search(rb"[a-z]", w) for w in words) / m,
+    }
+
+
+def test_all_features_against_plain_ones(spark, sf):
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    texts += [b"", b" \n\t", b"a", b"A! B? c.", b"x" * 40, "é È 5 | #".encode(), b"one two three four " * 9, b"same line\nsame line\n\n same line\n", b"AB Ab 12 1A\x0b(x)[y]{z} - / : ; ' \" \\ _ `"]
+    for text in texts:
+        want = plain_features(text)
+        assert list(want) == quality.FEATURES and len(want) == 27
+        for name, a, b in zip(want, quality.features_of(text), want.values(), strict=True):
+            assert abs(a - b) < 1e-9, (name, a, b, text[:80])
+
+
+def test_scores_against_a_plain_network(spark, sf):
+    """A table's scores from its texts, one multiplication at a time."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    rng = np.random.default_rng(3)
+    n = len(quality.FEATURES)
+    model = quality.Model(rng.normal(size=n), rng.uniform(0.5, 2, n), [rng.normal(size=(n, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)], 0.5)
+    w, b, v, c = model.layers
+    text = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for r in quality.scored(frame, model).collect():
+        x = [max(-8.0, min(8.0, (f - m) / s)) for f, m, s in zip(plain_features(text[r["doc_id"]].encode()).values(), model.mean, model.scale, strict=True)]
+        z = c[0] + sum(math.tanh(b[j] + sum(x[i] * w[i, j] for i in range(n))) * v[j] for j in range(4))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
+        assert r["predicted"] == int(r["score"] >= quality.THRESHOLD) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_cycles_are_found_anywhere():
     clean = [f"w{i}".encode() for i in range(500)]
     loop = [f"l{i}".encode() for i in range(300)]
