@@ -538,9 +538,18 @@ def scale_pts(spark, sf_dir):
     return rows.select("event_id", timebase.scale(c("pts"), c("num"), c("den"), c("to_num"), c("to_den")).alias("scaled"))
 
 
-@query(f"with {_TICKS} select event_id, try_cast({_WIDE}::hugeint * num * 1000 // (den * 3) as bigint) as rescaled from ticks")
+_LARGE = "case when {edge} then 4294967295 - event_id % {n} else {rest} end"
+_FAR = {"num": _LARGE.format(edge=_EDGE, n=5, rest="num"), "to_den": _LARGE.format(edge=_EDGE, n=3, rest="1000"), "den": _LARGE.format(edge=f"({_EDGE} and event_id % 3 > 0)", n=11, rest="den"), "to_num": _LARGE.format(edge=f"({_EDGE} and event_id % 5 > 0)", n=4, rest="3")}
+_END = f"case when {_EDGE} then (case when event_id % 2 = 0 then 9223372036854775807 else -9223372036854775807 - 1 end) // (event_id % 4 * 100 + 1) else {_WIDE} end"
+
+
+@query(f"""with {_TICKS}, far as (select event_id, {_END} as pts, {", ".join(f"{v} as {k}" for k, v in _FAR.items())} from ticks)
+ select event_id, try_cast(pts::hugeint * (num::hugeint * to_den) // (den::hugeint * to_num) as bigint) as rescaled from far""")
 def rescale_pts(spark, sf_dir):
-    return _wide_ticks(spark, sf_dir).select("event_id", timebase.rescale(c("pts"), c("num"), c("den"), F.lit(3), F.lit(1000)).alias("rescaled"))
+    rows = _wide_ticks(spark, sf_dir)
+    end = F.expr("case when event_id % 2 = 0 then 9223372036854775807 else -9223372036854775807 - 1 end div (event_id % 4 * 100 + 1)")
+    rows = rows.withColumns({"pts": F.when(F.expr(_EDGE), end).otherwise(c("pts"))} | {k: F.expr(v) for k, v in _FAR.items()})
+    return rows.select("event_id", timebase.rescale(c("pts"), c("num"), c("den"), c("to_num"), c("to_den")).alias("rescaled"))
 
 
 @query("select o_orderkey, gcd(o_orderkey * 12, o_custkey * 18) as divisor from orders")

@@ -53,9 +53,19 @@ def scale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column)
 
 
 def rescale(pts: Column, num: Column, den: Column, to_num: Column, to_den: Column) -> Column:
-    """The tick of timebase ``to`` at or before pts (toward zero): one exact division, null beyond 64 bits; a product of over 38 digits is an error."""
+    """The tick of timebase ``to`` at or before pts (toward zero): one exact division, null beyond 64 bits.
+
+    The product can have 39 digits, so the upper half of its factor is divided first and its rest joins the lower half.
+    """
     by = lambda a, b: (a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast("decimal(20,0)")
-    return _div(_whole(pts.cast("decimal(19,0)") * by(num, to_den)), _whole(by(den, to_num))).try_cast("long")
+    half = F.lit(str(2**32)).cast("decimal(10,0)")
+    up, down, ticks = by(num, to_den), _whole(by(den, to_num)), pts.cast("decimal(19,0)")
+    high, low = _div(_whole(up), _whole(half)).cast("decimal(10,0)"), (up % half).cast("decimal(10,0)")
+    first = _whole(ticks * high)
+    whole, rest = _div(first, down), (first % down).cast("decimal(20,0)")
+    tail = _div(_whole(rest * half) + _whole(ticks * low), down)
+    # Beyond this the result has more than 64 bits.
+    return F.when(F.abs(whole) < F.lit(2**33), whole.cast("decimal(11,0)") * half + tail).try_cast("long")
 
 
 def gcd(a: Column, b: Column) -> Column:

@@ -142,3 +142,19 @@ def test_float_writers(spark, value):
         assert [bytes(row[0][f"x4{little}"]) for little in (True, False)] == [struct.pack(f"{o}f", value) for o in "<>"]
     signed = spark.range(1).select(F.hex(binary.little_endian(F.lit(-2), 2)).alias("a"), F.hex(binary.big_endian(F.lit(-(2**63)), 8)).alias("b")).first()
     assert (signed["a"], signed["b"]) == ("FEFF", "8000000000000000")
+
+
+def test_ticks_at_the_ends_of_their_range(spark):
+    """Every extreme of 64-bit ticks and 32-bit timebases, against whole numbers of any size: wrapped at 64 bits, or null beyond them."""
+    import itertools
+
+    edges = (1, 2, 3, 2**31, 2**32 - 2, 2**32 - 1)
+    rows = [(p, *b) for p in (0, 1, -1, 2**63 - 1, -(2**63), 2**62 + 12345, -(10**18) - 7) for b in itertools.product(edges, repeat=4)]
+    frame = spark.createDataFrame(rows, "pts long, num long, den long, to_num long, to_den long")
+    cut = lambda a, b: abs(a) // b * (1 if a >= 0 else -1)
+    got = frame.select("*", timebase.scale(*map(F.col, frame.columns)).alias("x"), timebase.rescale(*map(F.col, frame.columns)).alias("y")).collect()
+    for p, num, den, to_num, to_den, x, y in got:
+        scaled = cut(cut(p * to_num, to_den) * den, num)
+        assert x == (scaled + 2**63) % 2**64 - 2**63
+        exact = cut(p * num * to_den, den * to_num)
+        assert y == (exact if -(2**63) <= exact < 2**63 else None)
