@@ -48,6 +48,10 @@ def read_range(path: str, start: int, size: int) -> bytes:
         return f.read(size)
 
 
+#: Folders given out by this process and not yet cleared.
+_made: list[str] = []
+
+
 def new_folder(spark, name: str) -> str:
     """A fresh folder in the one that driver and executors share (spark.checkpoint.dir); a temporary one where none is set and all runs on this machine."""
     import tempfile
@@ -59,4 +63,13 @@ def new_folder(spark, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="spark-framewright-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def clear(spark) -> None:
+    """Deletes the folders that ``new_folder`` gave out in this process. Frames that still read them fail then."""
+    while _made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

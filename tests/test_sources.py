@@ -199,3 +199,16 @@ def test_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("ts", (F.col("user_id") % 7).alias("stream_id"), F.floor("value").alias("size"))
     per = windowed_sizes(events.withColumn("ts", F.col("ts").cast("timestamp")), window="1 day")
     assert per.agg(F.sum("n_packets")).first()[0] == events.count()
+
+
+def test_folders_stay_until_cleared(spark):
+    from pathlib import Path
+
+    from framewright.sources import files
+
+    folder = files.new_folder(spark, "kept")
+    spark.range(3).write.parquet(folder)
+    local = Path(folder.removeprefix("file:"))
+    assert local.exists()
+    files.clear(spark)
+    assert not local.exists() and files._made == []
