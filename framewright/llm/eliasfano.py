@@ -96,8 +96,15 @@ class EliasFano:
         """The place of the first number that is ``x`` or more, the end of those with the upper half of x, x's lower half."""
         h, low = x >> self.low_bits, (x & ((1 << self.low_bits) - 1)).astype(np.uint64)
         h = np.minimum(h, self.buckets - 1)
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), zeros=True) + 1 - h, 0)
-        end = self._select(h, zeros=True) - h
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), zeros=True) + 1, 0)
+        start = at - h
+        # The ones up to the next zero; where they reach the end of their word, the zero is looked for.
+        shift = (at & 63).astype(np.uint64)
+        rest = ~(self.high[at >> 6] >> shift)
+        run = np.bitwise_count((rest & (np.uint64(0) - rest)) - _ONE).astype(np.int64)
+        over = np.flatnonzero(run >= 64 - (at & 63))
+        run[over] = self._select(h[over], zeros=True) - at[over]
+        end = start + run
         # Numbers with one upper half stand together, often many of them: halve the stretch by the lower half.
         todo = np.flatnonzero(start < end)
         a, b, x_low = start[todo], end[todo], low[todo]
@@ -222,11 +229,13 @@ class Trie:
         """Interpolated probabilities of w after u, v, or after v if ``u`` is None; ``single`` holds those of w alone."""
         get, ef = self.levels.get, self._of
         heads, back = np.unique(v, return_inverse=True)
-        context = ef["contexts"].find(heads)[back]
+        heads_at = ef["contexts"].find(heads)
+        context = heads_at[back]
         known = np.flatnonzero(context >= 0)
         p = single.copy()
         if not len(known):
             return p
+        first = ef["pair_pointers"].access(np.maximum(heads_at, 0))[back][known]  # looked up once a context, not once a place
         context = context[known]
         pairs, back = np.unique(context * self.words + w[known], return_inverse=True)
         pair = ef["pairs"].find(pairs)[back]
@@ -237,14 +246,17 @@ class Trie:
         if u is None:
             return p
         befores, back = np.unique(context * self.words + u[known], return_inverse=True)
-        before = ef["befores"].find(befores)[back]
+        before = ef["befores"].find(befores)
+        base = ef["base_pointers"].access(np.maximum(before, 0))[back]
+        before = before[back]
         longer = np.flatnonzero(before >= 0)
         before, at = before[longer], known[longer]
         seen = np.zeros(len(longer))
         both = np.flatnonzero(has[longer])
         if len(both):
-            relative = pair[longer][both] - ef["pair_pointers"].access(context[longer][both])
-            triple = ef["triples"].find(ef["base_pointers"].access(before[both]) + relative)
+            of = longer[both]
+            triples, back = np.unique(base[of] + pair[of] - first[of], return_inverse=True)
+            triple = ef["triples"].find(triples)[back]
             hit = triple >= 0
             seen[both[hit]] = probability(get("triple_p")[triple[hit]])
         p[at] = seen + probability(get("before_b")[before]) * p[at]
