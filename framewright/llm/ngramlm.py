@@ -9,7 +9,7 @@ block sums its base scores and sends every place (word before, middle word, word
 middle word; a shard counts its training trigrams, builds the trie, maps its levels and scores all its places;
 blocks gather sums by document.
 
-A middle word of more than HOT_PLACES training places is cut a second time. Its counts (v, w) are summed over distinct
+A middle word of more than HOT_PLACES places, or of one in HOT_SHARE of all, is cut a second time. Its counts (v, w) are summed over distinct
 rows of each block and the blocks get them back, so that its places travel with the probability of w after v and meet by
 (v, u), which is all that the next level needs. What follows a pair (u, v) that is as frequent is counted in the same way
 by (v, u, w); its places are scored where they stand.
@@ -33,8 +33,9 @@ from framewright.llm.store import stored
 FOLDS, HELD_OUT = 7, 2
 #: Places that a shard of the trie should see.
 SHARD_PLACES = 1_000_000
-#: Training places after one word, or after one pair of words, that a task may take; beyond, they are cut again.
-HOT_PLACES = 4_000_000
+#: Places after one word, or after one pair of words, that a task may take; beyond, they are cut again. Where a part in
+#: HOT_SHARE of all places is less, that is the bound, so that smaller tables take the same way.
+HOT_PLACES, HOT_SHARE = 4_000_000, 2048
 #: Unigram log10 probabilities travel in steps of this.
 UNIGRAM_STEP = 1 / 24
 
@@ -47,37 +48,39 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _number_words(shards: int, hot: int):
     """Answers each word with its number and its training count, and says each shard's totals and words of over ``hot`` places.
 
-    One shard at a time is held: its words once, its rows packed.
+    One shard at a time is held: its words once, its rows as places among them.
     """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        index: dict[bytes, int] = {}
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        sums: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
         own = None
         for batch in batches:
             for block, shard, p in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if held and shard != own:
-                    yield from one(own, held)
-                    held = []
+                    yield from said(own, index, held, sums)
+                    index, held, sums = {}, [], [np.zeros(0, np.int64)] * 2
                 own = shard
-                held.append((block, p))
+                codes, words, counts = wb.unpack_words(p)
+                at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+                for i, n in enumerate(counts):
+                    if len(sums[i]) < len(index):
+                        sums[i] = np.concatenate([sums[i], np.zeros(len(index), np.int64)])
+                    sums[i][at] += n.astype(np.int64)  # a row has a word once
+                held.append((block, codes.astype(np.int32), at))
         if held:
-            yield from one(own, held)
-
-    def one(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
-        for _, p in rows:
-            _, words, (places,) = wb.unpack_words(p)
-            for w, n in zip(words, places.tolist(), strict=True):
-                counts[w] = counts.get(w, 0) + n
+            yield from said(own, index, held, sums)
+
+    def said(shard: int, index: dict[bytes, int], rows: list[tuple[int, np.ndarray, np.ndarray]], sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        counts, places = (x[: len(index)] for x in sums)
         # Frequent words get small numbers, which pack well; ties by the word.
-        number = {w: i * shards + shard for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
-        for block, p in rows:
-            codes, words, _ = wb.unpack_words(p)
-            n = len(words)
-            own = np.fromiter((number[w] for w in words), np.int64, n), np.fromiter((counts[w] for w in words), np.int64, n)
-            yield _row(block, shard, wb.pack(np.diff(codes, prepend=0), *own))
-        values = np.fromiter(counts.values(), np.int64, len(counts))
-        yield _row(-1, shard, wb.pack(np.array([values.sum()]), np.array([(values > 0).sum()]), np.array([len(values) * shards + shard]), np.array([number[w] for w, n in counts.items() if n > hot], np.int64)))
+        names, order = list(index), counts.tolist()
+        number = np.empty(len(names), np.int64)
+        number[sorted(range(len(names)), key=lambda i: (-order[i], names[i]))] = np.arange(len(names)) * shards + shard
+        for block, codes, at in rows:
+            yield _row(block, shard, wb.pack(np.diff(codes, prepend=0), number[at], counts[at]))
+        yield _row(-1, shard, wb.pack(np.array([counts.sum()]), np.array([(counts > 0).sum()]), np.array([len(names) * shards + shard]), number[places > hot]))
 
     return answer
 
@@ -159,16 +162,17 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), (~held_out).alias("train"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     blocks = stored(wb.word_blocks(slim, tokens, shards, extra="train", counted=True, end=True), "words")
-    answers = stored(wb.answered(blocks, shards, _number_words(shards, HOT_PLACES)), "word-counts")
+    every, n_docs = blocks.filter("shard < 0").select(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)), F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()
+    n_places = every / 1.5  # about a byte and a half of packed codes a place
+    most = max(1, min(HOT_PLACES, int(n_places / HOT_SHARE)))
+    answers = stored(wb.answered(blocks, shards, _number_words(shards, most)), "word-counts")
     totals = [wb.unpack(bytes(r["payload"])) for r in answers.filter("block < 0").select("payload").collect()]  # a row per shard
     train_tokens, vocabulary = sum(int(t[0][0]) for t in totals), sum(int(t[1][0]) for t in totals)
     start = max((int(t[2][0]) for t in totals), default=0) + 1  # the number of what stands before a text
-    every, n_docs = blocks.filter("shard < 0").select(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)), F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()
-    # At most (tokens / HOT_PLACES) words.
-    hot = np.sort(np.concatenate([*(t[3].astype(np.int64) for t in totals), np.array([start] if n_docs > HOT_PLACES else [], np.int64)]))
+    # At most HOT_SHARE words, or one in HOT_PLACES places.
+    hot = np.sort(np.concatenate([*(t[3].astype(np.int64) for t in totals), np.array([start] if n_docs > most else [], np.int64)]))
     none, base = start + 1, start + 2
-    # About a byte and a half of packed codes a place.
-    parts = max(tasks, int(every / 1.5 / SHARD_PLACES) + 1)
+    parts = max(tasks, int(n_places / SHARD_PLACES) + 1)
     mass = np.log10(train_tokens + vocabulary + 1)
     fields = f"block long, shard long, doc_ids array<{kind}>, held array<boolean>, payload binary"
 
@@ -197,7 +201,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             v, u, w, train = v[some], u[some], w[some], train[some]
             no = np.full(len(some), none)
             rows = []
-            for own in [(v, no, w, train), (v, u, no, train)] if pairs is None else [(v, u, w, train)]:
+            for own in [(v, no, w, train), (v, u, no, np.ones_like(train))] if pairs is None else [(v, u, w, train)]:
                 *own, _ = _distinct(*own, base)
                 of = _shard_of(own[0] * 31 + own[1] * 7919 + own[2], parts)
                 order = np.argsort(of, kind="stable")
@@ -205,27 +209,34 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             return pa.table({"block": pa.array([block.number] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
         asked = wb.met(blocks, answers.filter("block >= 0"), ask, "block long, shard int, payload binary", tasks)
-        return stored(wb.answered(asked, parts, _sum_counts(base, HOT_PLACES)), "hot-counts")
+        return stored(wb.answered(asked, parts, _sum_counts(base, most)), "hot-counts")
 
     def said(counts: DataFrame) -> np.ndarray:
-        """v, u, n and types, summed over the shards: a row per hot word or pair and shard."""
-        rows = [wb.unpack(bytes(r["payload"])) for r in counts.filter("block < 0").select("payload").collect()]
-        return np.array([np.concatenate([np.zeros(0, np.int64), *(r[i].astype(np.int64) for r in rows)]) for i in range(4)])
+        """v, u, n and types, summed over the shards: a column per hot word or pair."""
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p in batch.column("payload"):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in wb.unpack(p.as_py())], names=["v", "u", "n", "types"])
+
+        rows = counts.filter("block < 0").select("payload").mapInArrow(opened, "v long, u long, n long, types long")
+        found = rows.groupBy("v", "u").agg(F.sum("n"), F.sum("types")).orderBy("v", "u").collect()
+        return np.array(found, np.int64).reshape(-1, 4).T
 
-    def summed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, back = np.unique(x[0] * base + x[1], return_inverse=True)
-        return keys, *(np.bincount(back, weights=y, minlength=len(keys)).astype(np.int64) for y in x[2:])
+    def by_context(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return x[0] * base + x[1], x[2], x[3]
 
-    after_hot, after_pairs, pairs, given = summed(np.zeros((4, 0), np.int64)), summed(np.zeros((4, 0), np.int64)), np.zeros(0, np.int64), answers.filter("block >= 0")
+    nothing = np.zeros(0, np.int64)
+    after_hot, after_pairs, pairs, given = (nothing,) * 3, (nothing,) * 3, nothing, answers.filter("block >= 0")
     if len(hot):
         counts_two = counted(None)
         x = said(counts_two)
         frequent = x[:, (x[1] != none)]
-        after_hot, pairs = summed(x[:, x[1] == none]), np.unique(frequent[0] * base + frequent[1])
+        after_hot, pairs = by_context(x[:, x[1] == none]), frequent[0] * base + frequent[1]
         given = given.unionByName(counts_two.filter("block >= 0"))
         if len(pairs):
             counts_three = counted(pairs)
-            after_pairs, given = summed(said(counts_three)), given.unionByName(counts_three.filter("block >= 0"))
+            after_pairs, given = by_context(said(counts_three)), given.unionByName(counts_three.filter("block >= 0"))
 
     def sure(v: np.ndarray, u: np.ndarray, w: np.ndarray, table: list[np.ndarray], after: tuple[np.ndarray, ...], shorter: np.ndarray) -> np.ndarray:
         """Probabilities of w after contexts (v, u) whose counts the block has been given."""

@@ -132,7 +132,8 @@ def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
 
     ``split`` gives the words of an array of texts, one after another, and each text's number of them; a null text is
     an empty one. With ``end`` an empty word follows each text's last. ``extra`` is a boolean column kept by
-    document. With ``counted``, words carry the number of their places in the block's documents whose ``extra`` is true.
+    document. With ``counted``, words carry the number of their places in the block's documents whose ``extra`` is true; where
+    ``extra`` is given, that in all of them too.
     ``level`` is the compression of codes and words.
     """
     slim = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), (col(extra) if extra else F.lit(True)).alias("extra"))
@@ -151,21 +152,23 @@ def word_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
             flat = np.insert(flat, np.cumsum(counts), len(names))
             names, counts = pa.concat_arrays([names, pa.array([b""], pa.binary())]), counts + 1
         # Frequent words get small codes, which pack well.
-        order = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
+        all_places = np.bincount(flat, minlength=len(names))
+        order = np.argsort(-all_places, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         flat, names = rank[flat], names.take(pa.array(order))
         del coded, rank
         lengths, body = _bytes_of(names)
         of = _shards_of(lengths, np.frombuffer(body, np.uint8), shards)
-        places = np.bincount(flat[np.repeat(np.array(extras, bool), counts)], minlength=len(names)) if counted else None
+        places = [np.bincount(flat[np.repeat(np.array(extras, bool), counts)], minlength=len(names))] if counted else []
+        places += [all_places[order]] if counted and extra else []
         rows_shard, rows_payload = [-1], [pack(counts, flat, level=level)]
         by_shard = np.argsort(of, kind="stable")
         for part in np.split(by_shard, np.flatnonzero(np.diff(of[by_shard])) + 1):
             if len(part):
                 own_lengths, own_body = _bytes_of(names.take(pa.array(part)))
                 rows_shard.append(int(of[part[0]]))
-                rows_payload.append(pack_words(part, own_lengths, own_body, *([places[part]] if counted else []), level=level))
+                rows_payload.append(pack_words(part, own_lengths, own_body, *(x[part] for x in places), level=level))
         n = len(rows_shard)
         return pa.RecordBatch.from_arrays(
             [pa.array([block] * n, pa.int64()), pa.array(rows_shard, pa.int32()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([extras] + [None] * (n - 1), pa.list_(pa.bool_())), pa.array(rows_payload, pa.binary())],
