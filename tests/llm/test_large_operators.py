@@ -428,6 +428,48 @@ def test_hot_words_are_cut_again(spark, sf, monkeypatch, most):
     assert all(n <= most for x, n in two.items()) and all(n <= most or s >= top for (s, _), n in one.items())
 
 
+def test_words_of_held_out_texts_only_are_cut_too(spark, monkeypatch):
+    held = [i for i in range(1, 2000) if zlib.crc32(str(i).encode()) % 7 == 2][:60]
+    rest = [i for i in range(1, 2000) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    frame = docs(spark, [(i, f"only w{i} only x{i % 3} only only", "s") for i in held] + [(i, f"a{i % 5} b c", "s") for i in rest])
+    met, sent = wb.met, []
+    monkeypatch.setattr(wb, "met", lambda *a: sent.append(met(*a)) or sent[-1])
+    monkeypatch.setattr(ngramlm, "HOT_SHARE", 1)
+    want = by(ngramlm.scored(frame), "doc_id")
+    assert len(sent) == 1  # nothing is over a whole table's places
+    monkeypatch.setattr(ngramlm, "HOT_PLACES", 20)
+    sent.clear()
+    got = by(ngramlm.scored(frame), "doc_id")
+    assert len(sent) == 3  # words, pairs of words, and the places
+    parts = wb.sizes_for(frame)[1]
+    one, two = collections.Counter(), collections.Counter()
+    for r in sent[-1].filter("shard >= 0").collect():
+        _, v, u, _, _, train = wb.unpack(bytes(r["payload"]))
+        for x in zip([r["shard"]] * len(v), v.tolist(), u.tolist(), strict=True):
+            one[x[:2]] += 1
+            two[x] += 1
+    assert all(n <= 20 for (s, _), n in one.items() if s < parts) and all(n <= 20 for n in two.values())
+    assert set(got) == set(want)
+    for i, (a,) in got.items():
+        want_of = want[i][0]
+        assert a[:6] == want_of[:6] and abs(a["score"] - want_of["score"]) < 0.05 * a["n_tokens"] + 0.01
+
+
+def test_each_size_takes_the_cut(spark, sf, monkeypatch):
+    """The bound follows the table's places, so a small table has hot words as a large one has; scores hardly move."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    met, sent = wb.met, []
+    monkeypatch.setattr(wb, "met", lambda *a: sent.append(met(*a)) or sent[-1])
+    got = by(ngramlm.scored(frame), "doc_id")
+    assert len(sent) >= 2
+    sent.clear()
+    monkeypatch.setattr(ngramlm, "HOT_SHARE", 1)
+    want = by(ngramlm.scored(frame), "doc_id")
+    assert len(sent) == 1
+    far = [abs(a["score"] - want[i][0]["score"]) / a["n_tokens"] for i, (a,) in got.items()]
+    assert len(far) == len(want) and max(far) < 0.05 and sum(far) / len(far) < 0.01
+
+
 # --- Pipeline ---------------------------------------------------------------------------------------------
 
 
