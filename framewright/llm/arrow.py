@@ -22,3 +22,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def release() -> None:
+    """Gives what is free but still held back to the system: that of Arrow's pool, and that of the C library's heap, where numpy's arrays were.
+
+    Workers live on from stage to stage, and arrays of just under 32 MB otherwise leave holes that stay with them.
+    """
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()

@@ -17,7 +17,7 @@ by (v, u, w); its places are scored where they stand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import wordblocks as wb
+from framewright.llm.arrow import release
 from framewright.llm.eliasfano import Trie
 from framewright.llm.names import col
 from framewright.llm.store import stored
@@ -38,6 +39,8 @@ SHARD_PLACES = 1_000_000
 HOT_PLACES, HOT_SHARE = 4_000_000, 2048
 #: Unigram log10 probabilities travel in steps of this.
 UNIGRAM_STEP = 1 / 24
+#: Places of hot words whose probabilities are worked out at a time.
+PIECE = 1 << 18
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -127,11 +130,6 @@ def _row(block: int, shard: int, payload: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([payload], pa.binary())], names=["block", "shard", "payload"])
 
 
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
 def _among(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of ``x`` in ascending keys, and which of them are there."""
     at = np.searchsorted(keys, x)
@@ -177,35 +175,47 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     fields = f"block long, shard long, doc_ids array<{kind}>, held array<boolean>, payload binary"
 
     def placed(block: wb.Block, payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Word, word before and word before that of each place; the training counts of the block's words."""
-        numbers, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Codes of the word, the word before and that before it of each place; the number and the training count of each code.
+
+        What stands before a text has the last code. Places stay codes of four bytes: there are millions in a block, and fewer words.
+        """
         got = [wb.unpack(p) for p in payloads]
-        if got:
-            codes = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
-            numbers, counts = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-            numbers[codes], counts[codes] = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-        w, bounds = numbers[block.codes], block.bounds
-        v = np.concatenate([[start], w[:-1]])
-        v[bounds[:-1]] = start
-        u = np.concatenate([[start], v[:-1]])
-        u[bounds[:-1]] = start
-        return w, v, u, counts
+        codes = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got] or [np.zeros(0, np.int64)])
+        numbers, counts = np.full(len(codes) + 1, start), np.zeros(len(codes) + 1, np.int64)
+        for g, own in zip(got, np.split(codes, np.cumsum([len(g[0]) for g in got])[:-1]) if got else [], strict=True):
+            numbers[own], counts[own] = g[1], g[2]
+        w, firsts = block.codes.astype(np.uint32, copy=False), block.bounds[:-1]
+        v, u = np.empty_like(w), np.empty_like(w)
+        v[1:], v[firsts] = w[:-1], len(codes)
+        u[1:], u[firsts] = v[:-1], len(codes)
+        return w, v, u, numbers, counts
 
     def counted(pairs: np.ndarray | None) -> DataFrame:
         """Counts of what follows the hot words and of what stands before them; with ``pairs``, of what follows these."""
 
         def ask(block: wb.Block, payloads: list[bytes]) -> pa.Table:
-            w, v, u, _ = placed(block, payloads)
-            train = np.repeat(np.array(block.extra, bool), np.diff(block.bounds)).astype(np.int64)
-            some = np.flatnonzero(_among(hot, v)[1] if pairs is None else _among(pairs, v * base + u)[1])
-            v, u, w, train = v[some], u[some], w[some], train[some]
-            no = np.full(len(some), none)
+            w, v, u, numbers, _ = placed(block, payloads)
+            train = np.repeat(np.array(block.extra, bool), np.diff(block.bounds))
+            some = np.flatnonzero(_among(hot, numbers)[1][v])
+            asks: list[list[tuple[np.ndarray, ...]]] = [[], []]
+            for at in np.split(some, range(PIECE, len(some), PIECE)):
+                x, y, z, n = numbers[v[at]], numbers[u[at]], numbers[w[at]], train[at].astype(np.int64)
+                if pairs is None:
+                    no = np.full(len(at), none)
+                    asks[0].append(_distinct(x, no, z, n, base)[:4])
+                    asks[1].append(_distinct(x, y, no, np.ones_like(n), base)[:4])
+                else:
+                    here = _among(pairs, x * base + y)[1]
+                    asks[0].append(_distinct(x[here], y[here], z[here], n[here], base)[:4])
+            del w, v, u, train, some
             rows = []
-            for own in [(v, no, w, train), (v, u, no, np.ones_like(train))] if pairs is None else [(v, u, w, train)]:
-                *own, _ = _distinct(*own, base)
+            for pieces in asks if pairs is None else asks[:1]:
+                *own, _ = _distinct(*(np.concatenate(x) for x in zip(*pieces, strict=True)), base)
                 of = _shard_of(own[0] * 31 + own[1] * 7919 + own[2], parts)
                 order = np.argsort(of, kind="stable")
                 rows += [(int(of[x[0]]), wb.pack(*(y[x] for y in own))) for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(x)]
+            del asks, pieces, own, of, order
+            release()
             return pa.table({"block": pa.array([block.number] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
         asked = wb.met(blocks, answers.filter("block >= 0"), ask, "block long, shard int, payload binary", tasks)
@@ -238,50 +248,66 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             counts_three = counted(pairs)
             after_pairs, given = by_context(said(counts_three)), given.unionByName(counts_three.filter("block >= 0"))
 
-    def sure(v: np.ndarray, u: np.ndarray, w: np.ndarray, table: list[np.ndarray], after: tuple[np.ndarray, ...], shorter: np.ndarray) -> np.ndarray:
-        """Probabilities of w after contexts (v, u) whose counts the block has been given."""
-        contexts, at = np.unique(v * base + u, return_inverse=True)
-        of, there = _among(contexts, table[0] * base + table[1])
-        keys = of[there] * base + table[2][there]
+    def sure(table: list[np.ndarray], after: tuple[np.ndarray, ...]) -> Callable[..., np.ndarray]:
+        """Probabilities of w after contexts (v, u) whose counts the block has been given in ``table``."""
+        contexts, at = np.unique(table[0] * base + table[1], return_inverse=True)
+        keys = at * base + table[2]
         order = np.argsort(keys)
-        found, has = _among(keys[order], at * base + w)
-        n = np.where(has, table[3][there][order][found], 0) if len(keys) else np.zeros(len(w), np.int64)
-        total, known = _among(after[0], contexts[at])
-        return np.where(known, _discounted(n, after[1][total], after[2][total], shorter), shorter) if len(after[0]) else shorter
+        keys, counts = keys[order], table[3][order]
+        total, known = _among(after[0], contexts)
+
+        def probabilities(v: np.ndarray, u: np.ndarray | int, w: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+            if not len(keys) or not len(after[0]):
+                return shorter
+            at, there = _among(contexts, v * base + u)
+            found, has = _among(keys, at * base + w)
+            n = np.where(has & there, counts[found], 0)
+            return np.where(known[at] & there, _discounted(n, after[1][total[at]], after[2][total[at]], shorter), shorter)
+
+        return probabilities
 
     def places(block: wb.Block, payloads: list[bytes]) -> pa.Table:
         # The answers for words have three arrays, those for hot ones four.
-        w, v, u, counts = placed(block, [p for p in payloads if p[0] == 3])
-        bounds = block.bounds
+        w, v, u, numbers, counts = placed(block, [p for p in payloads if p[0] == 3])
+        firsts, n_tokens = block.bounds[:-1], np.diff(block.bounds)  # a text has an end at least
         logs = np.log10(counts + 1.0)
-        base_score = _sums(logs[block.codes], bounds) - np.diff(bounds) * mass
-        known = _sums((counts > 0)[block.codes], bounds).astype(np.int64)
-        single = np.round((mass - logs) / UNIGRAM_STEP).astype(np.int64)[block.codes]
-        of, local = _shard_of(v, parts), np.zeros(len(w))
-        own_hot = np.flatnonzero(_among(hot, v)[1])
+        base_score = np.add.reduceat(logs[w], firsts) - n_tokens * mass
+        known = np.add.reduceat((counts > 0)[w], firsts, dtype=np.int64)
+        single = np.round((mass - logs) / UNIGRAM_STEP).astype(np.uint16)[w]
+        owner, local = np.repeat(np.arange(len(n_tokens), dtype=np.int32), n_tokens), np.zeros(len(n_tokens))
+        # Shards of the trie, then as many of hot words; places that are scored here come last.
+        of = _shard_of(numbers, parts).astype(np.min_scalar_type(2 * parts))[v]
+        own_hot = np.flatnonzero(_among(hot, numbers)[1][v])
         if len(own_hot):
             got = [wb.unpack(p) for p in payloads if p[0] == 4]
             table = [np.concatenate([g[i].astype(np.int64) for g in got]) for i in range(4)]
-            two, x, y, z = table[1] == none, v[own_hot], u[own_hot], w[own_hot]
-            p = sure(x, np.full(len(x), none), z, [t[two] for t in table], after_hot, 10.0 ** (logs[block.codes[own_hot]] - mass))
-            single[own_hot] = np.maximum(np.round(-np.log10(p) / UNIGRAM_STEP), 0).astype(np.int64)
-            of[own_hot] = parts + _shard_of(x * 31 + y * 7919, parts)
-            here = _among(pairs, x * base + y)[1]
-            if here.any():
-                p = sure(x[here], y[here], z[here], [t[~two] for t in table], after_pairs, p[here])
-                local[own_hot[here]], of[own_hot[here]] = np.log10(np.minimum(p, 1.0)), -1
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        order = np.argsort(of, kind="stable")
-        order = order[int((of < 0).sum()) :]
+            two = table[1] == none
+            after_word, after_pair = sure([t[two] for t in table], after_hot), sure([t[~two] for t in table], after_pairs)
+            del got, table
+            for at in np.split(own_hot, range(PIECE, len(own_hot), PIECE)):
+                x, y, z = numbers[v[at]], numbers[u[at]], numbers[w[at]]
+                p = after_word(x, none, z, 10.0 ** (logs[w[at]] - mass))
+                single[at] = np.maximum(np.round(-np.log10(p) / UNIGRAM_STEP), 0)
+                of[at] = parts + _shard_of(x * 31 + y * 7919, parts)
+                here = np.flatnonzero(_among(pairs, x * base + y)[1])
+                if len(here):
+                    p = after_pair(x[here], y[here], z[here], p[here])
+                    local += np.bincount(owner[at[here]], np.log10(np.minimum(p, 1.0)), len(local))
+                    of[at[here]] = 2 * parts
+            del after_word, after_pair, own_hot
+        order = np.argsort(of, kind="stable")  # of two bytes, they are ordered by radix
+        ends = np.cumsum(np.bincount(of, minlength=2 * parts)[: 2 * parts])
+        del of
         train = np.array(block.extra, bool)
         ids = block.doc_ids
         number = block.number
-        rows = [(number, -1 - number, ids, pa.array(~train), wb.pack(np.diff(bounds), known) + base_score.tobytes() + _sums(local, bounds).tobytes())]
-        for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            if not len(part):
-                continue
+        rows = [(number, -1 - number, ids, pa.array(~train), wb.pack(n_tokens, known) + base_score.tobytes() + local.tobytes())]
+        for shard in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            part = order[ends[shard - 1] if shard else 0 : ends[shard]]
             own = owner[part]
-            rows.append((number, int(of[part[0]]), None, None, wb.pack(np.diff(own, prepend=0), v[part], u[part], w[part], single[part], train[own])))
+            rows.append((number, shard, None, None, wb.pack(np.diff(own, prepend=0), numbers[v[part]], numbers[u[part]], numbers[w[part]], single[part], train[own])))
+        del w, v, u, single, owner, order
+        release()
         lists = lambda i, t: pa.array([r[i].to_pylist() if r[i] is not None else None for r in rows], pa.list_(t))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), "doc_ids": lists(2, ids.type), "held": lists(3, pa.bool_()), "payload": pa.array([r[4] for r in rows], pa.binary())})
 
@@ -321,7 +347,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             heads = np.flatnonzero(np.diff(owner, prepend=-1))
             sums = np.add.reduceat(np.log10(np.minimum(p, 1.0)), heads)
             out.append(wb.pack(np.diff(owner[heads], prepend=0)) + sums.astype("<f4").tobytes())
-        pa.default_memory_pool().release_unused()
+        del trie
+        release()
         return table.set_column(table.column_names.index("payload"), "payload", pa.array(out, pa.binary()))
 
     def gather(table: pa.Table) -> pa.Table:

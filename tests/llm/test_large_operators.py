@@ -5,7 +5,10 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
+import uuid
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -470,6 +473,30 @@ def test_each_size_takes_the_cut(spark, sf, monkeypatch):
     assert len(far) == len(want) and max(far) < 0.05 and sum(far) / len(far) < 0.01
 
 
+def test_placing_a_block_takes_few_bytes_a_place(spark, monkeypatch, tmp_path):
+    """What a worker holds at most while it deals out a block's places, of which there are millions; hot ones in pieces."""
+    words = np.random.default_rng(5).zipf(1.3, 600_000) % 20_000
+    rows = [(i, " ".join(f"w{x}" for x in part), "s") for i, part in enumerate(np.split(words, 300))]
+    met, folder = wb.met, str(tmp_path)
+
+    def traced(blocks, answers, finish, schema, tasks):
+        def measured(block, payloads):
+            tracemalloc.start()
+            try:
+                return finish(block, payloads)
+            finally:
+                Path(folder, uuid.uuid4().hex).write_text(str(tracemalloc.get_traced_memory()[1] / len(block.codes)))
+                tracemalloc.stop()
+
+        return met(blocks, answers, measured, schema, tasks)
+
+    monkeypatch.setattr(wb, "met", traced)
+    monkeypatch.setattr(ngramlm, "PIECE", 20_000, raising=False)
+    assert ngramlm.scored(docs(spark, rows).coalesce(1)).agg(F.sum("n_tokens")).first()[0] == 600_300
+    taken = [float(x.read_text()) for x in tmp_path.iterdir()]
+    assert len(taken) >= 2 and max(taken) < 90, taken
+
+
 # --- Pipeline ---------------------------------------------------------------------------------------------
 
 
