@@ -945,7 +945,8 @@ def wav_to_raw(spark, sf_dir):
     from framewright.sources.wav import renamed
 
     source, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
-    packets = spark.read.format("wav").options(path=source, limit=LIMIT).load().withColumn("path", renamed("name", "raw"))
+    packets = spark.read.format("wav").options(path=source, limit=LIMIT).load().withColumns({"path": renamed("name", "raw"), "file_size": c("data_size")})
     folder, _ = _written(spark, packets, "raw")
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(_doc_id(c("path")), F.md5("content").alias("data_md5"), c("length").alias("size"))
+    # A file in one packet: its bytes as they are.
+    files = spark.read.format("rawpcm").options(path=folder, channels=1, depth=8, limit=pk.MUX_BYTES).load()
+    return files.select(_doc_id(c("path")), F.md5("data").alias("data_md5"), "size")

@@ -15,8 +15,7 @@ job is done; a failed job leaves none. Existing files are an error, with ``mode(
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -27,28 +26,21 @@ from pyspark.sql.types import StructType
 
 from framewright.functions.formats import INFO_TAGS, header_of, list_chunk_of
 from framewright.operators.packets import PACKET_BYTES
-from framewright.sources.files import filesystem, listed
+from framewright.sources.files import filesystem, listed, ranges, sizes
 from framewright.sources.riff import ADPCM, FLOAT, PCM, WavError, WavHead, read_head
 from framewright.sources.writer import FolderWriter
 
 PACKETS = "path string, name string, k long, data binary, size long, pts long, channels int, sample_rate long, bit_depth int, format_code int, block_size int, data_size long, frames long, metadata map<string,string>"
 HEADER = "path string, name string, channels int, sample_rate long, bit_depth int, format_code int, data_size long, frames long, duration double, codec string, supported boolean, metadata map<string,string>, error string"
 RANGE_BYTES = 64 << 20
-#: Files of a task, at most, however small.
-TASK_FILES = 256
-#: Bytes of packets handed to Spark at a time.
-BATCH_BYTES = 4 << 20
+#: Bytes of packets, and rows, handed to Spark at a time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 8192
+#: A file's first bytes that are read at once.
+HEAD_BYTES = 4096
 MOST_BYTES = 2**32 - 2**16
 _CODEC = {24: "pcm_s24le", 32: "pcm_f32le"}
 
 
-@dataclass
-class _Ranges(InputPartition):
-    """(path, name, size, start, end): the packets of a file that begin in a range of its bytes."""
-
-    files: list[tuple[str, str, int, int, int]]
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], raw: bool) -> None:
         self.options, self.raw = options, raw
@@ -56,17 +48,9 @@ class _Reader(DataSourceReader):
         self.limit = int(options.get("limit", PACKET_BYTES))
         self.skip = options.get("on_error", "fail") == "skip"
 
-    def _files(self) -> list[tuple[str, str, int]]:
-        path = self.options.get("path")
-        if not path:
-            raise ValueError("option path is missing")
-        return listed(path.split(","), (".raw", ".pcm") if self.raw else (".wav",))
-
-    def _head(self, path: str, size: int) -> WavHead:
+    def _head(self, f: pa.NativeFile, size: int) -> WavHead:
         if not self.raw:
-            system, place = filesystem(path)
-            with system.open_input_file(place) as f:
-                return read_head(lambda at, n: (f.seek(at), f.read(n))[1], size)
+            return read_head(_reads(f), size)
         depth = int(self.options.get("depth", 16))
         head = WavHead(int(self.options.get("channels", 2)), int(self.options.get("sample_rate", 44100)), depth, FLOAT if depth == 32 else PCM, 0, size)
         if head.error():
@@ -74,59 +58,66 @@ class _Reader(DataSourceReader):
         return head
 
     def partitions(self) -> list[InputPartition]:
-        most, out, held, total = int(self.options.get("range", RANGE_BYTES)), [], [], 0
-        for path, name, size in self._files():
-            step = size + 1 if self.header else most
-            for start in range(0, max(1, size), step):
-                n = 0 if self.header else min(step, size - start)
-                if held and (total + n > most or len(held) >= TASK_FILES):
-                    out.append(_Ranges(held))
-                    held, total = [], 0
-                held.append((path, name, size, start, start + step))
-                total += n
-        return [*out, _Ranges(held)]
+        path = self.options.get("path")
+        if not path:
+            raise ValueError("option path is missing")
+        return ranges(listed(path.split(","), (".raw", ".pcm") if self.raw else (".wav",)), int(self.options.get("range", RANGE_BYTES)), self.header)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for path, name, size, start, end in partition.files:
-            if self.header:
-                rows.append(self._header_row(path, name, size))
-                continue
-            try:
-                head = self._head(path, size)
-            except WavError as e:
-                if self.skip:
-                    continue
-                raise WavError(f"{path}: {e}") from e
-            packet = max(head.block, self.limit - self.limit % head.block)
-            # Packets that begin in the range; what is before the data counts as its first byte.
-            first, last = (-(-max(0, at - head.data_at) // packet) for at in (start if start else 0, end))
-            for k, part in _parts(path, head, packet, first, min(last, -(-head.data_size // packet))):
-                about = list(head.metadata.items()) if k == 0 else None
-                rows.append((path, name, k, part, len(part), head.frames_in(k * packet), head.channels, head.sample_rate, head.bit_depth, head.format_code, head.block, head.data_size, head.frames_in(head.data_size), about))
-                held += len(part)
-                if held >= BATCH_BYTES:
-                    yield _batch(rows, _ARROW_PACKETS)
-                    rows, held = [], 0
+        rows, held, schema = [], 0, _ARROW_HEADER if self.header else _ARROW_PACKETS
+        for row in self._rows(partition):
+            rows.append(row)
+            held += 0 if self.header else len(row[3])
+            if held >= BATCH_BYTES or len(rows) == BATCH_ROWS:
+                yield _batch(rows, schema)
+                rows, held = [], 0
         if rows:
-            yield _batch(rows, _ARROW_HEADER if self.header else _ARROW_PACKETS)
+            yield _batch(rows, schema)
 
-    def _header_row(self, path: str, name: str, size: int) -> tuple:
+    def _rows(self, partition: InputPartition) -> Iterator[tuple]:
+        for path, name, size, start, end in partition.files:
+            with _opened(path) as f:
+                if self.header:
+                    yield self._header_row(f, path, name, size)
+                    continue
+                try:
+                    head = self._head(f, size)
+                except WavError as e:
+                    if self.skip:
+                        continue
+                    raise WavError(f"{path}: {e}") from e
+                packet = max(head.block, self.limit - self.limit % head.block)
+                # Packets that begin in the range; what is before the data counts as its first byte.
+                first, last = (-(-max(0, at - head.data_at) // packet) for at in (start if start else 0, end))
+                for k, part in _parts(f, head, packet, first, min(last, -(-head.data_size // packet))):
+                    about = list(head.metadata.items()) if k == 0 else None
+                    yield path, name, k, part, len(part), head.frames_in(k * packet), head.channels, head.sample_rate, head.bit_depth, head.format_code, head.block, head.data_size, head.frames_in(head.data_size), about
+
+    def _header_row(self, f: pa.NativeFile, path: str, name: str, size: int) -> tuple:
         try:
-            h = self._head(path, size)
+            h = self._head(f, size)
         except WavError as e:
             return (path, name, *[None] * 8, False, [], str(e))
         frames = h.frames_in(h.data_size)
         return (path, name, h.channels, h.sample_rate, h.bit_depth, h.format_code, h.data_size, frames, frames / h.sample_rate, "adpcm_ima_wav" if h.format_code == ADPCM else _CODEC.get(h.bit_depth, "pcm_s16le"), h.supported, list(h.metadata.items()), None)
 
 
-def _parts(path: str, head: WavHead, packet: int, first: int, last: int) -> Iterator[tuple[int, bytes]]:
+def _opened(path: str) -> pa.NativeFile:
+    system, at = filesystem(path)
+    return system.open_input_file(at)
+
+
+def _reads(f: pa.NativeFile) -> Callable[[int, int], bytes]:
+    """``read(at, n)`` of a file whose first bytes are fetched in one go."""
+    start = f.read(HEAD_BYTES)
+    return lambda at, n: start[at : at + n] if at + n <= len(start) else (f.seek(at), f.read(n))[1]
+
+
+def _parts(f: pa.NativeFile, head: WavHead, packet: int, first: int, last: int) -> Iterator[tuple[int, bytes]]:
     if first < last:
-        system, at = filesystem(path)
-        with system.open_input_file(at) as f:
-            f.seek(head.data_at + first * packet)
-            for k in range(first, last):
-                yield k, f.read(min(packet, head.data_size - k * packet))
+        f.seek(head.data_at + first * packet)
+        for k in range(first, last):
+            yield k, f.read(min(packet, head.data_size - k * packet))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -200,8 +191,8 @@ def by_file(packets: DataFrame) -> DataFrame:
     """Packets (path, k, data, ...) with file_size, each file's in one task and in order: one shuffle, and one of sizes unless they are there."""
     if "file_size" in packets.columns:
         return packets.repartition("path").sortWithinPartitions("path", "k")
-    sizes = packets.groupBy(F.col("path").alias("of")).agg(F.sum(F.octet_length("data").cast("long")).alias("file_size"))
-    sized = packets.join(sizes, F.col("path") == F.col("of")).drop("of")
+    totals = packets.groupBy(F.col("path").alias("of")).agg(F.sum(F.octet_length("data").cast("long")).alias("file_size"))
+    sized = packets.join(totals, F.col("path") == F.col("of")).drop("of")
     return sized.repartition("path").sortWithinPartitions("path", "k")
 
 
@@ -216,7 +207,7 @@ def write_files(packets: DataFrame, folder: str, container: str = "wav", mode: s
     columns = [c for c in ("path", "k", "data", "channels", "sample_rate", "bit_depth", "file_size", "metadata") if c in packets.columns]
     register(packets.sparkSession)
     by_file(packets.select(*columns).filter("octet_length(data) > 0")).write.format("wav" if container == "wav" else "rawpcm").mode(mode).save(folder)
-    return packets.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
+    return sizes(packets.sparkSession, folder)
 
 
 def renamed(path: str, extension: str) -> F.Column:

@@ -1,30 +1,40 @@
-"""Writing files into a folder: tasks stream into attempts, names are given when the job commits."""
+"""Writing files into a folder: tasks stream into attempts, names are given when the job commits.
+
+A task puts the names of its files beside them, and tells the driver where: however many files a job has, the driver holds a part of their names at a time.
+"""
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from framewright.sources.files import filesystem
 
-#: Files that the driver names at a time, and asks for in one go.
-MOVES, ASKED = 32, 10_000
+#: Files that the driver names at a time, one thread of it in a row, and asks for in one go.
+MOVES, RUN, ASKED = 32, 50, 10_000
+#: Names that are compared at a time, by 8 bytes of each.
+COMPARED = 1 << 24
+#: Names that an error shows.
+SHOWN = 3
+#: The file with the names of a task's files.
+NAMES, _NAMES = "names", pa.schema([("name", pa.string())])
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(attempt, name) of a task's files."""
+    """The folder of a task's files, which are numbered, and how many they are. Their names lie there, in order."""
 
-    files: list[tuple[str, str]]
+    place: str
+    n: int
 
 
 class FolderWriter(DataSourceArrowWriter):
@@ -51,7 +61,7 @@ class FolderWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, top = filesystem(self.attempts)
-        own, done, names, name, out = uuid.uuid4().hex, [], set(), None, None
+        own, names, name, out = f"{top}/{uuid.uuid4().hex}", {}, None, None
 
         def close() -> None:
             if out is not None:
@@ -59,8 +69,8 @@ class FolderWriter(DataSourceArrowWriter):
                 out.close()
 
         for batch in batches:
-            if batch.num_rows and not done:
-                system.create_dir(top, recursive=True)
+            if batch.num_rows and not names:
+                system.create_dir(own, recursive=True)
             get = lambda c, b=batch: b.column(c) if c in b.schema.names else pa.nulls(b.num_rows)
             for path, *values in zip(get("path"), *(get(c) for c in self.columns), strict=True):
                 row = dict(zip(self.columns, values, strict=True)) | {"path": path.as_py()}
@@ -69,33 +79,68 @@ class FolderWriter(DataSourceArrowWriter):
                     name = row["path"]
                     if name in names:
                         raise ValueError(f"{name}: its packets don't stand together; bring packets into order with by_file")
-                    names.add(name)
-                    attempt = f"{top}/{own}-{len(done)}"
-                    out = system.open_output_stream(attempt)
-                    done.append((attempt, name))
+                    out = system.open_output_stream(f"{own}/{len(names)}")
+                    names[name] = None
                     out.write(self.head(row))
                 for part in self.body(row):
                     out.write(part)
         close()
-        return Written(done)
+        if names:
+            with system.open_output_stream(f"{own}/{NAMES}") as f, pa.ipc.new_stream(f, _NAMES) as listing:
+                listing.write_table(pa.table([pa.array(names, pa.string())], _NAMES), max_chunksize=ASKED)
+        return Written(own, len(names))
+
+    def _named(self, messages: list[WriterCommitMessage | None]) -> Iterator[list[tuple[str, str]]]:
+        """(attempt, name) of all files, up to ASKED at a time; names as they are below the folder."""
+        system, _ = filesystem(self.folder)
+        for m in messages:
+            if m is not None and m.n:
+                with system.open_input_stream(f"{m.place}/{NAMES}") as f, pa.ipc.open_stream(f) as listing:
+                    i = 0
+                    for batch in listing:
+                        yield [(f"{m.place}/{i + k}", os.path.normpath(n).lstrip("/")) for k, n in enumerate(batch.column(0).to_pylist())]
+                        i += batch.num_rows
+
+    def _twice(self, messages: list[WriterCommitMessage | None]) -> list[str]:
+        """Some of the names that several files have: names of equal hashes are looked at."""
+        total = sum(m.n for m in messages if m is not None)
+        shares, found = -(-total // COMPARED), []
+        for share in range(shares):
+            hashes = np.fromiter((h for part in self._named(messages) for _, n in part if (h := hash(n)) % shares == share), np.int64)
+            hashes.sort()
+            equal = set(np.unique(hashes[1:][hashes[1:] == hashes[:-1]])[:ASKED].tolist())
+            seen: set[str] = set()
+            for n in (n for part in self._named(messages) for _, n in part if hash(n) in equal) if equal else ():
+                if n in seen:
+                    found.append(n)
+                    if len(found) == SHOWN:
+                        return found
+                seen.add(n)
+        return found
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Existing files are asked for in batches, and names are given by a pool: the driver doesn't wait for one file after another."""
         system, top = filesystem(self.folder)
-        files = [x for m in messages if m is not None for x in m.files]
-        names = [os.path.normpath(n).lstrip("/") for _, n in files]
-        twice = [n for n, k in Counter(names).items() if k > 1]
-        there = []
-        if not self.overwrite:
-            for i in range(0, len(names), ASKED):
-                part = names[i : i + ASKED]
-                there += [n for n, x in zip(part, system.get_file_info([f"{top}/{n}" for n in part]), strict=True) if x.type != fs.FileType.NotFound]
-        if twice or there or any(n.startswith("..") for n in names):
+        twice, there, leaves = self._twice(messages), [], False
+        for part in self._named(messages):
+            leaves = leaves or any(n.startswith("..") for _, n in part)
+            if not self.overwrite and len(there) < SHOWN:
+                there += [n for (_, n), x in zip(part, system.get_file_info([f"{top}/{n}" for _, n in part]), strict=True) if x.type != fs.FileType.NotFound]
+        if twice or there or leaves:
             self.abort(messages)
-            raise ValueError(f"files of one name: {twice[:3]}" if twice else f"files that exist: {there[:3]}" if there else "a path leaves the folder")
+            raise ValueError(f"files of one name: {twice}" if twice else f"files that exist: {there[:SHOWN]}" if there else "a path leaves the folder")
+
+        def give(files: list[tuple[str, str]]) -> None:
+            for attempt, n in files:
+                system.move(attempt, f"{top}/{n}")
+
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda folder: system.create_dir(folder, recursive=True), sorted({os.path.dirname(f"{top}/{n}") for n in names})))
-            list(pool.map(lambda x: system.move(x[0][0], f"{top}/{x[1]}"), zip(files, names, strict=True)))
+            made: set[str] = set()
+            for part in self._named(messages):
+                folders = {os.path.dirname(f"{top}/{n}") for _, n in part} - made
+                list(pool.map(lambda folder: system.create_dir(folder, recursive=True), sorted(folders)))
+                made = folders if len(made) > ASKED else made | folders
+                list(pool.map(give, (part[i : i + RUN] for i in range(0, len(part), RUN))))
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
