@@ -934,7 +934,8 @@ def wav_to_wav(spark, sf_dir):
     source, _ = _written(spark, _file_packets(spark, sf_dir), "wav")
     packets = spark.read.format("wav").options(path=source, limit=LIMIT).load()
     errors = packets.groupBy("name").agg(F.max(pcm.length_error(c("data"), c("bit_depth"))).alias("error"), F.max("bit_depth").cast("long").alias("bit_depth")).withColumnRenamed("name", "of")
-    good = packets.join(errors.filter("error is null").select("of"), c("name") == c("of"), "left_semi").withColumn("path", c("name"))
+    # Packets are whole samples but for a file's last, so its head tells of all of them whether they fit, and the size of the result.
+    good = packets.filter("data_size % (bit_depth div 8) = 0").withColumns({"path": c("name"), "file_size": F.expr("data_size div (bit_depth div 8) * 3")})
     folder, _ = _written(spark, pk.transcode(good, c("bit_depth"), F.lit(24)).withColumn("bit_depth", F.lit(24)), "wav")
     out = pk.mux(spark.read.format("wav").options(path=folder).load(), "name").select(c("name").alias("made"), F.md5(F.hex("data")).alias("hex_md5"))
     return errors.join(out, c("of") == c("made"), "left").select(_doc_id(c("of")), "bit_depth", "error", "hex_md5")

@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from framewright import catalog
 from framewright.sources import files, wav, writer
 
 
@@ -88,3 +90,12 @@ def test_sizes_of_a_folder_as_binary_files_have_them(spark, tmp_path):
     for folder in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
         got = files.sizes(spark, folder)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.inputFiles() == []
+
+
+@pytest.mark.parametrize("name", ["wav_to_wav", "wav_to_raw"])
+def test_sizes_of_converted_files_follow_from_heads(spark, sf, monkeypatch, name):
+    made, write = [], wav.write_files
+    monkeypatch.setattr(wav, "write_files", lambda packets, *rest: made.append(packets) or write(packets, *rest))
+    getattr(catalog, name)(spark, sf)
+    per = made[1].groupBy("path").agg(F.sum(F.octet_length("data")).alias("n"), F.min("file_size").alias("a"), F.max("file_size").alias("b"))
+    assert per.count() > 100 and per.filter("n <> a or n <> b").count() == 0
