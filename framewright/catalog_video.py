@@ -82,5 +82,6 @@ def y4m_scan(spark, sf_dir):
 
 @query(f"with {_PICTURES} select doc_id, (length('YUV4MPEG2 W{WIDTH} H{HEIGHT} F' || any_value(rate_num) || ':' || any_value(rate_den) || ' Ip A1:1 C420') + 1 + count(*) * {SIZE + 6})::bigint as size from pictures group by doc_id")
 def y4m_sink(spark, sf_dir):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_y4m(spark, sf_dir))
-    return files.select(_doc_id(c("path")), c("length").alias("size"))
+    from framewright.sources import files
+
+    return files.sizes(spark, _y4m(spark, sf_dir)).select(_doc_id(c("path")), "size")
