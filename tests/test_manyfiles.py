@@ -99,3 +99,11 @@ def test_sizes_of_converted_files_follow_from_heads(spark, sf, monkeypatch, name
     getattr(catalog, name)(spark, sf)
     per = made[1].groupBy("path").agg(F.sum(F.octet_length("data")).alias("n"), F.min("file_size").alias("a"), F.max("file_size").alias("b"))
     assert per.count() > 20 and per.filter("n <> a or n <> b").count() == 0
+
+
+def test_heads_leave_a_task_in_batches(tmp_path, monkeypatch):
+    for i in range(25):
+        (tmp_path / f"{i}.wav").write_bytes(b"RI")
+    monkeypatch.setattr(wav, "BATCH_ROWS", 10)
+    reader = wav._Reader({"path": str(tmp_path), "include": "header"}, False)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [10, 10, 5]
