@@ -2,7 +2,7 @@
 
 A file's frames have one size, so the n-th begins at a computed byte: a long file is read by many tasks, each of which reads the head and the frames that begin in its
 range. Where frames carry parameters of their own and so don't lie at equal distances, a task walks from frame head to frame head, passing
-over pictures. Options: path, include (frames or header), range (most bytes of a task), on_error (fail or skip).
+over pictures. Options: path, include (frames or header), range (most bytes of a task, or a 1024th of all if that is more), on_error (fail or skip).
 
 Written rows are path, k, data, width, height, rate_num, rate_den, format, each file's together and in order (``by_file``).
 """
@@ -19,14 +19,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from framewright.functions.video import picture_size
-from framewright.sources.files import filesystem, listed
+from framewright.sources.files import filesystem, listed, ranges
 from framewright.sources.writer import FolderWriter
 
 HEADER = "path string, name string, width long, height long, rate_num long, rate_den long, format string, frames long, duration double, error string"
 FRAMES = "path string, name string, k long, pts long, data binary, width long, height long, rate_num long, rate_den long, format string"
-RANGE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
-#: Files of a task, at most, however small.
-TASK_FILES = 256
+RANGE_BYTES, BATCH_BYTES, BATCH_ROWS = 64 << 20, 8 << 20, 8192
 MOST_LINE = 4096
 # The head's first word, a frame's, and colour spaces; what follows them (as in 420jpeg) says where chroma lies.
 MAGIC, FRAME = b"YUV4MPEG2", b"FRAME"
@@ -79,13 +77,6 @@ def read_head(start: bytes) -> Y4mHead:
     return Y4mHead(width, height, num, den, format, len(line) + 1)
 
 
-@dataclass
-class _Ranges(InputPartition):
-    """(path, name, size, start, end): the frames of a file that begin in a range of its bytes."""
-
-    files: list[tuple[str, str, int, int, int]]
-
-
 def _frames(f, head: Y4mHead, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """Frames (number, picture) that begin in the range."""
     if (size - head.data_at) % head.stride == 0:
@@ -127,29 +118,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if not self.options.get("path"):
             raise ValueError("option path is missing")
-        most = int(self.options.get("range", RANGE_BYTES))
-        files = listed(self.options["path"].split(","), (".y4m",))
-        out, held, total = [], [], 0
-        for path, name, size in files:
-            step = size + 1 if self.header else most
-            for start in range(0, max(1, size), step):
-                n = 0 if self.header else min(step, size - start)
-                if held and (total + n > most or len(held) >= TASK_FILES):
-                    out.append(_Ranges(held))
-                    held, total = [], 0
-                held.append((path, name, size, start, start + step))
-                total += n
-        return [*out, _Ranges(held)]
-
-    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        return ranges(listed(self.options["path"].split(","), (".y4m",)), int(self.options.get("range", RANGE_BYTES)), self.header)
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for path, name, size, start, end in partition.files:
             try:
                 for row in self._rows(path, name, size, start, end):
                     rows.append(row)
                     held += len(row[4]) if not self.header else 0
-                    if held >= BATCH_BYTES:
-                        yield _batch(rows, _ARROW_FRAMES)
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield _batch(rows, _ARROW_HEADER if self.header else _ARROW_FRAMES)
                         rows, held = [], 0
             except Y4mError as e:
                 if self.header:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright import catalog
-from framewright.sources import files, wav, writer
+from framewright.sources import files, wav, writer, y4m
 
 
 def rows_of(names, data=b"abcd"):
@@ -107,3 +107,14 @@ def test_heads_leave_a_task_in_batches(tmp_path, monkeypatch):
     monkeypatch.setattr(wav, "BATCH_ROWS", 10)
     reader = wav._Reader({"path": str(tmp_path), "include": "header"}, False)
     assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [10, 10, 5]
+
+
+def test_films_are_planned_in_a_few_bytes_each(tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.y4m").write_bytes(b"YUV4MPEG2 W4 H4 Cmono\n" + (b"FRAME\n" + bytes(16)) * (i % 3))
+    reader = y4m._Reader({"path": str(tmp_path), "range": 60})
+    parts = reader.partitions()
+    assert sum(len(pickle.dumps(p)) for p in parts) < 600 * 200 and sum(b.num_rows for p in parts for b in reader.read(p)) == 600
+    reader = y4m._Reader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(pickle.dumps(p)) for p in parts) < 600 * 15 and sum(b.num_rows for p in parts for b in reader.read(p)) == 600
