@@ -118,3 +118,13 @@ def test_films_are_planned_in_a_few_bytes_each(tmp_path):
     reader = y4m._Reader({"path": str(tmp_path)})
     parts = reader.partitions()
     assert len(parts) == 3 and sum(len(pickle.dumps(p)) for p in parts) < 600 * 15 and sum(b.num_rows for p in parts for b in reader.read(p)) == 600
+
+
+def test_raw_files_are_planned_in_a_few_bytes_each(tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.pcm").write_bytes(bytes(i))
+    reader = wav._Reader({"path": str(tmp_path), "limit": "100", "depth": "24", "channels": "2"}, True)
+    parts = reader.partitions()
+    assert sum(len(pickle.dumps(p)) for p in parts) < 600 * 15
+    rows = [(r["name"], r["k"], r["size"], r["pts"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(rows) == sorted((f"{i}.pcm", k, min(96, i - k * 96), k * 16) for i in range(600) for k in range(-(-i // 96)))
